@@ -1,8 +1,63 @@
-"""Placeholder of the corpus pipeline until its stages exist."""
+"""Five stages from raw documents to token files; each works on all that the one before it kept.
 
-STAGES = []
+The stages before the last return the columns of documents. ``run`` writes each stage's rows as
+Parquet in the shared folder and reads them again for the next one.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from roadloom.llm import decontaminate, langid, mixing, simhash, token_files
+from roadloom.llm.common import crc_mod, scratch, table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognisable language go: null, empty and letterless texts."""
+    held = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False))
+    model = langid.fit(docs.select("doc_id", "text", "lang").where(~held))
+    return langid.predict(docs, model, docs.columns).where("lang_pred <> 'und'").select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays."""
+    return simhash.keep_one(docs)
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated or left out so that the domains' token totals meet their targets."""
+    return mixing.resample(docs, table(spark, sf_dir, "labels"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of all documents, read back as one row per document."""
+    return token_files.encode_and_read(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", language),
+    ("near_copies", near_copies),
+    ("leaks", leaks),
+    ("mixture", mixture),
+    ("tokens", tokens),
+]
+
+#: Learned models and SimHash stages have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        out = scratch(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(out)
+        docs = spark.read.parquet(out)
+    return docs

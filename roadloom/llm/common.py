@@ -117,7 +117,7 @@ def map_texts(df: DataFrame, keep: list[str], schema: str, make: Callable[[], Ca
                 yield pa.RecordBatch.from_arrays(cols, names=[str(i) for i in range(len(cols))]).rename_columns(names)
 
     names = [*keep, *(x.split()[0] for x in schema.split(", "))]
-    return df.select(*keep, "text").mapInArrow(run, full)
+    return df.select(*(F.col(f"`{k}`") for k in keep), F.col("text").alias("__text")).mapInArrow(run, full)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 60) -> np.ndarray:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.llm.common import FIT_TEXT_BYTES, bounded_sample, crc_mod, map_texts, text_parts
-from roadloom.llm.textbytes import LOWER, NOT_SPACE, row_sums
+from roadloom.llm.textbytes import LOWER, NOT_SPACE, blocks, row_sums
 
 BITS = 16
 #: Rows per language in the fit sample.
@@ -100,14 +100,17 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> LanguageModel:
     if len(langs) < 2:
         return LanguageModel(langs, code, np.zeros((size, 0), np.float32), np.zeros(0), 1.0, 1.0)
     data, off = text_parts(got.column("text"))
-    h, first = trigrams(data, off)
     which = np.searchsorted(np.array(langs, dtype=object), lang)
-    owner = np.repeat(which, np.diff(first))
-    p = np.stack([np.bincount(h[owner == k], minlength=size) for k in range(len(langs))]) + 0.05
+    p = np.full((len(langs), size), 0.05)
+    for a, b in blocks(off):
+        h, first = trigrams(data[off[a] : off[b]], off[a : b + 1] - off[a])
+        owner = np.repeat(which[a:b], np.diff(first))
+        for k in np.unique(owner).tolist():
+            p[k] += np.bincount(h[owner == k], minlength=size)
     p /= p.sum(axis=1, keepdims=True)
     weight = np.stack([np.log(p[c > 0].mean(axis=0) / p[c < 0].mean(axis=0)) for c in code.T], axis=1).astype(np.float32)
     model = LanguageModel(langs, code, weight, np.ones(code.shape[1]) / code.shape[1], 1.0, 1.0)
-    margin = model.margins(data, off)
+    margin = np.concatenate([model.margins(data[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in blocks(off)])
     right = (np.sign(margin) == code[which]).mean(axis=0)
     model.trust = np.maximum(right - 0.5, 0.01)
     model.trust /= model.trust.sum()

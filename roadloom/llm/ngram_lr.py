@@ -75,7 +75,9 @@ class NgramModel:
     bias: float
 
     def logits(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        index, first = features(data, off)
+        return self.logits_of(*features(data, off))
+
+    def logits_of(self, index: list[np.ndarray], first: np.ndarray) -> np.ndarray:
         n = np.maximum(np.diff(first), 1)
         total = row_sums(sum((np.take(self.weight, i) for i in index[1:]), np.take(self.weight, index[0])), first)
         return self.bias + GAIN * total / n

@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
-from roadloom.llm import langid, ngram_lr, secrets, toxicity
+from roadloom.llm import decontaminate, embedding_dedup, langid, mixing, ngram_lr, pii, secrets, simhash, token_files, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_secrets": secrets.op3_secrets,
+    "op4_simhash": simhash.op4_simhash,
+    "op5_mixing": mixing.op5_mixing,
     "op6_language_id": langid.op6_language_id,
+    "op7_pii": pii.op7_pii,
     "op8_quality": ngram_lr.op8_quality,
+    "op9_token_files": token_files.op9_token_files,
+    "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others are tested against brute-force versions, exact round trips or held-out accuracy.
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontaminate": decontaminate.ORACLE_SQL,
+    "op10_embedding_dedup": embedding_dedup.ORACLE_SQL,
+}
