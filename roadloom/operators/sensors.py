@@ -82,9 +82,9 @@ def positions(points: DataFrame, max_amp: float = 4.0, min_secs: float = 600.0,
     """
     w = in_order()
     still = (F.col("theta_amplitude") <= max_amp).cast("int")
-    df = points.withColumn("__s", still).withColumn("__n", F.row_number().over(w)).withColumn("__N", F.count("*").over(Window.partitionBy("TrackId")))
+    df = points.withColumn("__s", still).withColumn("__n", F.row_number().over(w)).withColumn("__all", F.count("*").over(Window.partitionBy("TrackId")))
     edge = F.coalesce(F.col("__s") != F.lag("__s").over(w), F.lit(True)).cast("int")
-    df = df.withColumn("__r", F.sum(edge).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("__n < __N and __s = 1")
+    df = df.withColumn("__r", F.sum(edge).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("__n < __all and __s = 1")
     inner = Window.partitionBy("TrackId", "__r").orderBy("PointDate", "RowId")
     df = df.withColumn("__dv", F.coalesce(F.col("Speed") - F.lag("Speed").over(inner), F.lit(0.0)))
     z = F.col(ACC[2])

@@ -105,7 +105,7 @@ def test_gate(spark):
 
 def airport_case(spark, first_end, second_start, hours, airport=(55.0, 37.0), **flags):
     def leg(track, start, a, b):
-        rows = [(track, i, "d", start + timedelta(minutes=i), a[0] + (b[0] - a[0]) * i / 9 + i * 1e-7, a[1] + (b[1] - a[1]) * i / 9, 50.0, 0.0) for i in range(10)]
+        rows = [(track, i, "d", start + timedelta(minutes=i), a[0] + (b[0] - a[0]) * i / 59 + i * 1e-7, a[1] + (b[1] - a[1]) * i / 59, 50.0, 0.0) for i in range(60)]
         return spark.createDataFrame(rows, SCHEMA)
 
     p = leg(1, T0, (55.3, 37.3), first_end).union(leg(2, T0 + timedelta(hours=hours), second_start, (second_start[0] + 0.3, second_start[1])))
@@ -195,7 +195,7 @@ def test_models(spark):
     assert learning.auc(scored, "label", "proba").first().auc == 1.0
     assert learning.importances(model)[0][0] == "x"
     assert learning.select_important(df, model).columns == ["x", "label"]
-    _, scores, sets = learning.cross_validate(df, {"maxDepth": [2]}, drop=("id",), fold_col="fold")
+    _, scores, sets = learning.cross_validate(df, {"maxDepth": [2]}, drop=("id",), folds=4, fold_col="fold")
     assert scores[0] > 0.95 and sets[0] == {"maxDepth": 2}
     assert learning.forest(df, drop=("id", "fold"), trees=5).transform(df).count() == 200
     train, test = learning.stratified_split(df, "label", "id", 0.8)
