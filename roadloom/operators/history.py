@@ -83,8 +83,11 @@ def end_counts(points: DataFrame, metre: float = DEGREES_PER_METRE) -> DataFrame
 
 
 def balanced(df: DataFrame, label: str, order: list[str]) -> DataFrame:
-    """Each class cut to the size of the smallest one, in the given order."""
-    counts = df.groupBy(label).count()
-    least = F.broadcast(counts.agg(F.min("count").alias("__least")))
+    """Each class cut to the size of the smallest one, in the given order.
+
+    The size is one number, fetched first: with it as a literal each task keeps its own first rows of
+    a class before they are exchanged.
+    """
+    least = df.groupBy(label).count().agg(F.min("count")).first()[0] or 0
     w = Window.partitionBy(label).orderBy(*order)
-    return df.withColumn("__n", F.row_number().over(w)).crossJoin(least).where(F.col("__n") <= F.col("__least")).drop("__n", "__least")
+    return df.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= least).drop("__n")

@@ -42,11 +42,16 @@ def codes(df: DataFrame, column: str, out: str) -> DataFrame:
 
 
 def stratified_split(df: DataFrame, label: str, key: str, share: float, seed: int = 223) -> tuple[DataFrame, DataFrame]:
-    """Two parts with the same share of each class, by the rank of a hash in its class."""
-    w = Window.partitionBy(label)
-    at = F.percent_rank().over(w.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
-    marked = df.withColumn("__r", at)
-    return marked.where(F.col("__r") < share).drop("__r"), marked.where(F.col("__r") >= share).drop("__r")
+    """Two parts with the same share of each class, by a hash of the key.
+
+    The bound of the hash is a quantile per class, from an aggregate that keeps a sketch, so a class
+    with most of the rows isn't sorted in one task.
+    """
+    h = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40))
+    bounds = df.groupBy(label).agg(F.percentile_approx(h, share, 100_000).alias("__bound"))
+    marked = df.join(F.broadcast(bounds), F.col(label).eqNullSafe(bounds[label]), "left").drop(bounds[label]).withColumn("__h", h)
+    first = F.col("__h") <= F.col("__bound")
+    return marked.where(first).drop("__h", "__bound"), marked.where(~first).drop("__h", "__bound")
 
 
 def _features_of(df: DataFrame, label: str, drop: tuple[str, ...]) -> list[str]:
@@ -100,15 +105,23 @@ def select_important(df: DataFrame, model: PipelineModel, least: float = 0.021,
     return df.select(*[n for n, w in importances(model) if w > least], *keep)
 
 
-def auc(df: DataFrame, label: str, value: str) -> DataFrame:
+def auc(df: DataFrame, label: str, value: str, parts: int = 200) -> DataFrame:
     """Area under the curve from the rank sums of distinct scores; 0 where there is one class only.
 
-    Scores are counted first, so the ordered window has a row per distinct score.
+    Scores are counted first, then cut into ranges at approximate quantiles: the running sums are
+    taken within each range and over the ranges' totals, so no task orders all scores.
     """
-    g = df.groupBy(value).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("q"))
-    below = F.sum("q").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    wins = F.sum(F.col("p") * (F.coalesce(F.col("b"), F.lit(0)) + F.col("q") / 2))
-    return g.withColumn("b", below).agg(F.coalesce(F.try_divide(wins, F.sum("p") * F.sum("q")), F.lit(0.0)).alias("auc"))
+    y = F.col(label).cast("long")
+    g = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("s")).agg(F.sum(y).alias("p"), F.sum(1 - y).alias("q"))
+    cuts = sorted(set(g.approxQuantile("s", [i / parts for i in range(1, parts)], 0.002)))
+    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("s"))) if cuts else F.lit(0)
+    g = g.withColumn("part", at)
+    whole = g.groupBy("part").agg(F.sum("q").alias("q"))
+    whole = whole.select("part", F.coalesce(F.sum("q").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inner = F.coalesce(F.sum("q").over(Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    g = g.withColumn("inner", inner).join(F.broadcast(whole), "part")
+    wins = F.sum(F.col("p") * (F.col("before") + F.col("inner") + F.col("q") / 2))
+    return g.agg(F.coalesce(F.try_divide(wins, F.sum("p") * F.sum("q")), F.lit(0.0)).alias("auc"))
 
 
 def confusion(df: DataFrame, label: str, predicted: Column) -> DataFrame:
