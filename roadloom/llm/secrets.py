@@ -137,7 +137,7 @@ def fit(docs: DataFrame, search: int = FIT_SEARCH, rows: int = FIT_ROWS) -> Secr
     part = docs.where(F.octet_length("text") <= FIT_TEXT_BYTES)
     if total > search:
         part = part.where(unit_hash(F.col("doc_id"), F.lit(3)) < search / total)
-    hint = F.col("text").rlike(r"(?i)password|passwd|secret|token|api_?key|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
+    hint = F.col("text").rlike(r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
     got = part.select("text", hint.alias("hit")).where("hit or rand(5) < 0.02").select("text").limit(rows).toArrow()
     data, off = text_parts(got.column("text"))
     w, line = tokens(data, off)
