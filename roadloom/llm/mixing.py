@@ -25,9 +25,10 @@ from roadloom.llm.common import BROADCAST_ROWS, cut, map_texts, sigmoid, unit_ha
 from roadloom.llm.ngram_lr import NgramModel
 
 DOMAINS = ("good", "low", "toxic")
-#: Shares of the expected tokens.
+#: Shares of the expected tokens. The first domain sets the size: it is wanted HEADROOM times in full.
 TARGETS = {"good": 0.90, "low": 0.07, "toxic": 0.03}
-ROUNDS, CHUNK = 40, 8
+HEADROOM = 1.1
+ROUNDS, CHUNK = 60, 8
 #: Relative distance from the targets at which the fit ends.
 NEAR = 1e-4
 
@@ -60,7 +61,11 @@ def _step(rate: Column, residual: list[float], eta: float) -> Column:
 
 
 def fit_rates(soft: DataFrame, targets: dict[str, float] | None = None, rounds: int = ROUNDS, near: float = NEAR) -> DataFrame:
-    """soft with a column ``rate``; targets are shares of the corpus's tokens by domain."""
+    """soft with a column ``rate``.
+
+    targets are shares by domain. Their total is such that the first domain's target is HEADROOM times
+    the tokens expected of it, so that its documents stay and the others are thinned out or repeated.
+    """
     targets = targets or TARGETS
     state = soft.withColumn("rate", F.lit(1.0))
     sums = [F.sum(F.col("n_tokens") * F.col(f"p_{d}")) for d in DOMAINS]
@@ -71,8 +76,10 @@ def fit_rates(soft: DataFrame, targets: dict[str, float] | None = None, rounds:
     if not total:
         return state
     share = sum(targets.values())
-    goal = [total * targets.get(d, 0.0) / share for d in DOMAINS]
     have = [got[d] for d in DOMAINS]
+    first = targets.get(DOMAINS[0], 0.0) / share
+    size = HEADROOM * have[0] / first if first > 0 and have[0] > 0 else total
+    goal = [size * targets.get(d, 0.0) / share for d in DOMAINS]
     eta = 1.0 / got["trace"]
     for k in range(rounds):
         residual = [float(h - g) for h, g in zip(have, goal, strict=True)]
