@@ -14,8 +14,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Odd multipliers of two independent polynomial hashes, with their inverses.
+_BASES = [(np.uint64(b), np.uint64(pow(b, -1, 1 << 64))) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _SPAN = 1 << 18
 _powers: dict[str, np.ndarray] = {}
@@ -104,8 +104,12 @@ def _power(kind: str, base: np.uint64, n: int) -> np.ndarray:
     return have
 
 
-def hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of each byte range; ranges ascend and don't overlap."""
+def hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit polynomial hash of each byte range; ranges ascend and don't overlap.
+
+    which: 0 or 1, two hashes with different multipliers.
+    """
+    up, down = _BASES[which]
     out = np.empty(len(start), np.uint64)
     i, n = 0, len(start)
     while i < n:
@@ -114,9 +118,9 @@ def hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
         part = data[lo:hi].astype(np.uint64) + np.uint64(1)
         size = len(part)
         sums = np.zeros(size + 1, np.uint64)
-        np.cumsum(part * _power("up", _BASE, size)[:size], out=sums[1:], dtype=np.uint64)
+        np.cumsum(part * _power(f"up{which}", up, size)[:size], out=sums[1:], dtype=np.uint64)
         s, e = start[i:j] - lo, end[i:j] - lo
-        out[i:j] = (sums[e] - sums[s]) * _power("down", _BASE_INV, size)[s]
+        out[i:j] = (sums[e] - sums[s]) * _power(f"down{which}", down, size)[s]
         i = j
     return mix(out)
 

@@ -20,6 +20,7 @@ keep one entry each, side by side; strings of special tokens in a text are ordin
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -28,63 +29,165 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import scratch, unit_hash
+from roadloom.llm.common import scratch, small_batches, unit_hash
+from roadloom.llm.textbytes import blocks, find_words, hash_words, text_buffer
 
 END_ID = 0
 PACK = 1 << 20
 DICTIONARY_BYTES = 64 << 10
 #: Documents whose ids the dictionary is trained on, and the longest of them in characters.
 FIT_ROWS, FIT_CHARS = 1500, 8000
-#: Pieces whose ids a worker keeps.
-MEMO = 400_000
+#: Pieces in a generation of the table of ids that a worker keeps.
+MEMO = 600_000
 LEVEL = 3
 _ODD = re.compile(r"\s[ ]|[ ]\s")
+_NOT_BLANK = np.ones(256, bool)
+_NOT_BLANK[32] = False
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+#: First two bytes of the white-space characters beyond ASCII.
+_WIDE_WHITE = np.array([0xC285, 0xC2A0, 0xE19A, 0xE280, 0xE281, 0xE380], np.uint16)
 _workers: dict[str, PieceEncoder] = {}
 
 
+def odd_rows(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Rows in which a blank stands beside other white space or at the end, so that it doesn't just begin a piece."""
+    n = len(off) - 1
+    odd = np.zeros(n, bool)
+    if not len(data):
+        return odd
+    full = np.flatnonzero(off[1:] > off[:-1])
+    odd[full] = data[off[1:][full] - 1] == 32
+    white, blank = _WHITE[data], data == 32
+    at = np.flatnonzero((white[:-1] & blank[1:]) | (blank[:-1] & white[1:]))
+    odd[np.searchsorted(off, at, "right") - 1] = True
+    pair = (data[:-1].astype(np.uint16) << 8) | data[1:]
+    rows = np.unique(np.searchsorted(off, np.flatnonzero((data[:-1] >= 0xC2) & np.isin(pair, _WIDE_WHITE)), "right") - 1)
+    for r in rows[~odd[rows]].tolist():
+        odd[r] = _ODD.search(data[off[r] : off[r + 1]].tobytes().decode()) is not None
+    return odd
+
+
+class IdTable:
+    """Ids of pieces by two 64-bit hashes: sorted arrays in two generations of bounded size.
+
+    When the young generation is full it becomes the old one, and the one before that goes.
+    """
+
+    def __init__(self, size: int):
+        self.size = size
+        self.young, self.old = self._empty(), self._empty()
+
+    @staticmethod
+    def _empty() -> tuple:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def find(self, h: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each pair of hashes (h ascending): begin and number of its ids, -1 where unknown; and the ids."""
+        begin, count = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
+        shift = 0
+        for keys, checks, at, n, ids in (self.young, self.old):
+            if len(keys):
+                pos = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                hit = (keys[pos] == h) & (checks[pos] == check) & (begin < 0)
+                begin[hit], count[hit] = at[pos[hit]] + shift, n[pos[hit]]
+            shift += len(ids)
+        return begin, count, np.concatenate([self.young[4], self.old[4]])
+
+    def add(self, h: np.ndarray, check: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
+        """New pairs of hashes (h ascending) with their ids one after the other."""
+        if len(self.young[0]) > self.size:
+            self.old, self.young = self.young, self._empty()
+        keys, checks, at, n, have = self.young
+        begin = len(have) + np.cumsum(count) - count
+        order = np.argsort(np.concatenate([keys, h]), kind="stable")
+        joined = [np.concatenate(x)[order] for x in ((keys, h), (checks, check), (at, begin), (n, count))]
+        self.young = (*joined, np.concatenate([have, ids]))
+
+
 class PieceEncoder:
-    """Ids of texts as little-endian 32-bit bytes."""
+    """Ids of texts as little-endian 32-bit numbers.
+
+    With a byte-level tokenizer without a normalizer, the new pieces of a block are encoded as short
+    texts of some pieces with blanks between them; as a piece holds no blank, the ids that begin with
+    one tell the pieces apart. Any other tokenizer encodes whole texts.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
-        self.newline = self._ids("\n")
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Ids of new pieces (each with its blank), found together: as lines of one text."""
-        plain = [p for p in pieces if p and not any(c.isspace() for c in p)]
-        for p in set(pieces).difference(plain):
-            self.memo[p] = self._ids(" " + p)
-        if not plain:
-            return
-        ids = np.array(self.tok.encode("\n " + "\n ".join(plain), add_special_tokens=False).ids, "<u4")
-        line = np.frombuffer(self.newline, "<u4")
-        at = np.flatnonzero(ids == line[0]) if len(line) == 1 else np.zeros(0, np.int64)
-        if len(at) != len(plain):  # the tokenizer doesn't part lines that way
-            for p in plain:
-                self.memo[p] = self._ids(" " + p)
-            return
-        ends = np.append(at[1:], len(ids))
-        for p, a, b in zip(plain, (at + 1).tolist(), ends.tolist(), strict=True):
-            self.memo[p] = ids[a:b].tobytes()
+        self.parts = self.tok.normalizer is None and isinstance(self.tok.pre_tokenizer, pre_tokenizers.ByteLevel) and not self.tok.pre_tokenizer.add_prefix_space
+        self.table = IdTable(MEMO)
+        self.opens = np.zeros(self.tok.get_vocab_size(), bool)
+        if self.parts:
+            blank = self.tok.pre_tokenizer.pre_tokenize_str(" ")[0][0]
+            self.opens[[i for t, i in self.tok.get_vocab().items() if t.startswith(blank)]] = True
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _learn(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, each with the blank before it, one after the other; and how many each has."""
+        all_ids, counts = [], []
+        for lo in range(0, len(pieces), 64 * 256):
+            part = pieces[lo : lo + 64 * 256]
+            # short texts of some pieces each: the tokenizer is slower on long ones
+            texts = [" " + b" ".join(part[k : k + 64]).decode() for k in range(0, len(part), 64)]
+            ids = np.array(list(itertools.chain.from_iterable(e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False))), np.uint32)
+            at = np.flatnonzero(self.opens[ids])
+            if len(at) == len(part) and not any(_ODD.search(t) for t in texts):
+                count = np.diff(np.append(at, len(ids)))
+            else:  # pieces that begin or end with white space, or a tokenizer that parts texts in another way
+                each = [self._ids(" " + p.decode()) for p in part]
+                ids, count = np.concatenate(each), np.array([len(x) for x in each])
+            all_ids.append(ids)
+            counts.append(count)
+        return np.concatenate(all_ids), np.concatenate(counts)
+
+    def encode_block(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a block of texts one after the other, and where each text's ids begin (n + 1 values).
+
+        Each different piece of the block is looked up once, by two 64-bit hashes of its bytes.
+        """
+        n = len(off) - 1
+        if not self.parts or not len(data):
+            each = [self._ids(data[a:b].tobytes().decode()) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            return np.concatenate([np.zeros(0, np.uint32), *each]), np.cumsum([0, *(len(x) for x in each)])
+        w = find_words(data, off, _NOT_BLANK)
+        h, check = hash_words(data, w.start, w.end), hash_words(data, w.start, w.end, 1)
+        kind, rep, inv = np.unique(h, return_index=True, return_inverse=True)
+        odd = odd_rows(data, off)
+        odd[w.row[check != check[rep][inv]]] = True  # two pieces with one hash: their texts are encoded whole
+        begin, count, flat = self.table.find(kind, check[rep])
+        new = np.flatnonzero(begin < 0)
+        raw = data.tobytes()
+        if len(new):
+            at = rep[new]
+            ids, sizes = self._learn([raw[a:b] for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)])
+            begin[new], count[new] = len(flat) + np.cumsum(sizes) - sizes, sizes
+            flat = np.concatenate([flat, ids])
+            self.table.add(kind[new], check[at], sizes, ids)
+        lead = np.flatnonzero(w.start == off[w.row])  # a text's first word, with no blank before it
+        heads = [self._ids(raw[a:b].decode()) for a, b in zip(w.start[lead].tolist(), w.end[lead].tolist(), strict=True)]
+        sizes = np.array([len(x) for x in heads], np.int64)
+        inv[lead] = len(begin) + np.arange(len(lead))
+        begin, count = np.concatenate([begin, len(flat) + np.cumsum(sizes) - sizes]), np.concatenate([count, sizes])
+        flat = np.concatenate([flat, *heads])
+        each = np.where(odd[w.row], 0, count[inv])
+        total = np.concatenate([[0], np.cumsum(each)])
+        out = flat[np.repeat(begin[inv] - total[:-1], each) + np.arange(total[-1])]
+        first = total[w.first]
+        if odd.any():
+            pieces = [self._ids(raw[off[r] : off[r + 1]].decode()) if odd[r] else out[first[r] : first[r + 1]] for r in range(n)]
+            out, first = np.concatenate(pieces), np.cumsum([0, *(len(x) for x in pieces)])
+        return out, first
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if _ODD.search(t) else t.split(" ") for t in texts]
-        memo = self.memo
-        new = {p for s in split if s for p in s[1:] if p not in memo}
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = {p for s in split if s for p in s[1:]}
-        if new:
-            self._learn(list(new))
-        get = memo.__getitem__
-        return [self._ids(t) if s is None else (self._ids(s[0]) if s[0] else b"") + b"".join(map(get, s[1:])) for t, s in zip(texts, split, strict=True)]
+        data, off = text_buffer(pa.array(texts, pa.string()))
+        ids, first = self.encode_block(data, off)
+        return [ids[a:b].astype("<u4").tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
 
 
 def _worker(path: str) -> PieceEncoder:
@@ -100,13 +203,15 @@ def default_tokenizer() -> str:
 
 
 def _encode_batches(path: str, end_id: int):
+    """Batches (doc_id, text) into (doc_ids, ids of a block with end ids, where each document's begin)."""
+
     def run(batches):
-        enc, tail = _worker(path), np.array([end_id], "<u4").tobytes()
+        enc = _worker(path)
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                yield part.column(0), [x + tail for x in enc.encode(texts)]
+            data, off = text_buffer(b.column(1))
+            for lo, hi in blocks(off, 4 << 20):
+                ids, first = enc.encode_block(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                yield b.column(0).slice(lo, hi - lo), np.insert(ids, first[1:], end_id), first + np.arange(len(first))
 
     return run
 
@@ -118,8 +223,8 @@ def train_dictionary(docs: DataFrame, path: str, width: int, end_id: int = END_I
     step = _encode_batches(path, end_id)
 
     def run(batches):
-        for _, ids in step(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([_narrow(x, width) for x in ids], pa.binary())], names=["ids"])
+        for _, ids, first in step(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(_serialized(ids, first, width), pa.binary())], names=["ids"])
 
     samples = [r for r in part.select("doc_id", "text").mapInArrow(run, "ids binary").limit(2 * rows).toArrow().column("ids").to_pylist()]
     try:
@@ -128,8 +233,9 @@ def train_dictionary(docs: DataFrame, path: str, width: int, end_id: int = END_I
         return b"".join(samples)[-DICTIONARY_BYTES:].ljust(8, b"\0")
 
 
-def _narrow(ids: bytes, width: int) -> bytes:
-    return ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+def _serialized(ids: np.ndarray, first: np.ndarray, width: int) -> list[bytes]:
+    flat = ids.astype("<u4" if width == 4 else "<u2")
+    return [flat[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
 
 
 def _wide(ids: bytes, width: int) -> bytes:
@@ -143,6 +249,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
     """Writes the ids of docs (doc_id, text) in ascending doc_id order; returns the folder."""
     spark = docs.sparkSession
     path = path or default_tokenizer()
+    small_batches(spark)
     from tokenizers import Tokenizer
 
     width = 2 if max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
@@ -155,9 +262,9 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
 
     def compress(batches):
         z = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(shared.value), write_content_size=True)
-        for doc_id, ids in step(batches):
-            n = pa.array([len(x) // 4 for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([doc_id, n, pa.array([z.compress(_narrow(x, width)) for x in ids], pa.binary())], names=["doc_id", "n", "frame"])
+        for doc_id, ids, first in step(batches):
+            frames = pa.array([z.compress(x) for x in _serialized(ids, first, width)], pa.binary())
+            yield pa.RecordBatch.from_arrays([doc_id, pa.array(np.diff(first)), frames], names=["doc_id", "n", "frame"])
 
     # frames are written once, so that the range partitioning below samples them and doesn't encode again
     stage = scratch(spark, "frames")
