@@ -48,8 +48,8 @@ def stratified_split(df: DataFrame, label: str, key: str, share: float, seed: in
     with most of the rows isn't sorted in one task.
     """
     h = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40))
-    bounds = df.groupBy(label).agg(F.percentile_approx(h, share, 100_000).alias("__bound"))
-    marked = df.join(F.broadcast(bounds), F.col(label).eqNullSafe(bounds[label]), "left").drop(bounds[label]).withColumn("__h", h)
+    bounds = df.groupBy(F.col(label).alias("__class")).agg(F.percentile_approx(h, share, 100_000).alias("__bound"))
+    marked = df.join(F.broadcast(bounds), F.col(label).eqNullSafe(F.col("__class")), "left").drop("__class").withColumn("__h", h)
     first = F.col("__h") <= F.col("__bound")
     return marked.where(first).drop("__h", "__bound"), marked.where(~first).drop("__h", "__bound")
 

@@ -189,7 +189,7 @@ def test_names():
 
 
 def test_models(spark):
-    df = spark.range(200).select(F.col("id"), (F.col("id") % 2).cast("int").alias("label"), (F.col("id") % 2 + F.rand(1) * 0.2).alias("x"), F.rand(2).alias("y"), (F.col("id") % 4).cast("int").alias("fold"))
+    df = spark.range(200).select(F.col("id"), (F.col("id") % 2).cast("int").alias("label"), (F.col("id") % 2 + F.rand(1) * 0.2).alias("x"), F.rand(2).alias("y"), (F.floor(F.col("id") / 2) % 4).cast("int").alias("fold"))
     model = learning.booster(df, drop=("id", "fold"), rounds=5)
     scored = learning.score(df, model)
     assert learning.auc(scored, "label", "proba").first().auc == 1.0
