@@ -94,6 +94,25 @@ def score(df: DataFrame, model: PipelineModel) -> DataFrame:
     return out.select(*(F.col(f"`{c}`") for c in df.columns), "proba")
 
 
+def learning_curve(df: DataFrame, key: str, shares: list[float], label: str = "label", trees: int = 150) -> list[tuple[float, float]]:
+    """(share, AUC on a fixed fifth) of forests trained on growing shares of the other rows."""
+    train, test = stratified_split(df, label, key, 0.8)
+    out = []
+    for share in shares:
+        part = stratified_split(train, label, key, share, seed=7)[0] if share < 1 else train
+        scored = score(test, forest(part, label, (key,), trees))
+        out.append((share, auc(scored, label, "proba").first().auc))
+    return out
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def importances(model: PipelineModel) -> list[tuple[str, float]]:
     """Features by falling importance."""
     names = model.stages[0].getInputCols()

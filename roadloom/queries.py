@@ -611,6 +611,13 @@ def geo_speed_profile(spark, d):
     return rounded(geometry.speed_profile(geometry.without_outliers(p), p).groupBy("TrackId", "src").agg(F.count("*").alias("n"), F.max("dist").alias("dist")), 3)
 
 
+@query("geo_speed_curve")
+def geo_speed_curve(spark, d):
+    p = _points(spark, d)
+    profile = geometry.speed_profile(geometry.without_outliers(p), p)
+    return rounded(geometry.speed_curve(profile, degree=3).groupBy("TrackId").agg(F.count("*").alias("n"), F.max("dist").alias("dist")), 3)
+
+
 # ---- rules, places, sensors, models, streams -----------------------------------------------------
 
 

@@ -188,7 +188,7 @@ def test_names():
     assert trips.trip_files(files, ("T", "R", "I")) == [("/x/2_T.csv", "/x/2_R.csv", "/x/2_I.csv")]
 
 
-def test_models(spark):
+def test_models(spark, tmp_path):
     df = spark.range(200).select(F.col("id"), (F.col("id") % 2).cast("int").alias("label"), (F.col("id") % 2 + F.rand(1) * 0.2).alias("x"), F.rand(2).alias("y"), (F.floor(F.col("id") / 2) % 4).cast("int").alias("fold"))
     model = learning.booster(df, drop=("id", "fold"), rounds=5)
     scored = learning.score(df, model)
@@ -198,6 +198,9 @@ def test_models(spark):
     _, scores, sets = learning.cross_validate(df, {"maxDepth": [2]}, drop=("id",), folds=4, fold_col="fold")
     assert scores[0] > 0.95 and sets[0] == {"maxDepth": 2}
     assert learning.forest(df, drop=("id", "fold"), trees=5).transform(df).count() == 200
+    learning.save_model(model, str(tmp_path / "model"))
+    assert learning.score(df, learning.load_model(str(tmp_path / "model"))).select("id", "proba").exceptAll(scored.select("id", "proba")).count() == 0
+    assert [s for s, a in learning.learning_curve(df.drop("fold"), "id", [0.5, 1.0], trees=5) if a > 0.9] == [0.5, 1.0]
     train, test = learning.stratified_split(df, "label", "id", 0.8)
     assert train.count() == 160 and test.count() == 40
     assert learning.auc(df.where("label = 1"), "label", "x").first().auc == 0
