@@ -32,20 +32,46 @@ def words(text: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """One row per distinct window: width, w_hash, w_text and the sorted ids of the items that have it."""
+    """One row per distinct window: width, w_text and the sorted ids of the items that have it."""
     item = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     item = item.withColumn("width", F.least(F.lit(size), F.size("w")))
     each = item.select("item", "width", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("width") + 1), lambda i: F.slice("w", i, F.col("width")))).alias("window"))
     return (
         each.groupBy("width", "window")
         .agg(F.sort_array(F.collect_set("item")).alias("items"))
-        .select("width", F.xxhash64("window").alias("w_hash"), F.array_join("window", " ").alias("w_text"), "items")
+        .select("width", F.array_join("window", " ").alias("w_text"), "items")
     )
 
 
+def with_window_hashes(df: DataFrame, widths: list[int], column: str = "w") -> DataFrame:
+    """Adds hash_<width>: the hash of each window of so many words, null where there are too few.
+
+    Hashes of 1, 2, 4, ... words are combined in pairs, so a window costs a few hashes of two numbers
+    instead of one over all its words. Each step is a column of its own, computed once.
+    """
+    step, levels = 1, {1: "__h1"}
+    df = df.withColumn("__h1", F.transform(column, lambda x: F.xxhash64(x)))
+
+    def paired(left: str, right: str, by: int):
+        return F.zip_with(left, F.slice(right, by + 1, F.greatest(F.size(right) - by, F.lit(0))), lambda x, y: F.xxhash64(x, y))
+
+    while 2 * step <= max(widths):
+        levels[2 * step] = f"__h{2 * step}"
+        df = df.withColumn(levels[2 * step], paired(levels[step], levels[step], step))
+        step *= 2
+    for width in widths:
+        bits = [b for b in sorted(levels, reverse=True) if width & b]
+        now, size = levels[bits[0]], bits[0]
+        for k, b in enumerate(bits[1:]):
+            df = df.withColumn(f"__h{width}_{k}", paired(now, levels[b], size))
+            now, size = f"__h{width}_{k}", size + b
+        df = df.withColumn(f"hash_{width}", F.when(F.size(column) >= width, F.slice(now, 1, F.greatest(F.size(column) - width + 1, F.lit(0)))))
+    return df.drop(*(c for c in df.columns if c.startswith("__h")))
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """Per row of docs: row_key, doc_id, n_words, spans (word ranges, start included, end not), items."""
-    known = cut(item_windows(benchmark, size))
+    known = item_windows(benchmark, size)
     widths = sorted(r[0] for r in known.select("width").distinct().collect())
     base = docs.select(
         "doc_id",
@@ -56,13 +82,17 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame
     if not widths:
         none = F.array().cast("array<struct<start:int,stop:int>>")
         return base.select("row_key", "doc_id", "text_key", "n_words", none.alias("spans"), F.array().cast("array<string>").alias("items"))
+    hashed = with_window_hashes(known.withColumn("w", F.split("w_text", " ")), widths)
+    own = F.coalesce(*(F.when(F.col("width") == k, F.get(f"hash_{k}", F.lit(0))) for k in widths))
+    known = cut(hashed.select("width", own.alias("w_hash"), "w_text", "items"))
     small = known.agg(F.sum(F.size("items") + 1)).first()[0] <= BROADCAST_ROWS
-    width = F.lit(widths[0])
-    if len(widths) > 1:
-        base = base.withColumn("of", F.explode(F.array(*map(F.lit, widths))))
-        width = F.col("of")
-    hashes = F.when(F.size("w") >= width, F.transform(F.sequence(F.lit(1), F.size("w") - width + 1), lambda i: F.xxhash64(F.slice("w", i, width))))
-    each = base.select("*", F.posexplode_outer(hashes).alias("at", "hash"), width.cast("int").alias("wide"))
+    base = with_window_hashes(base, widths)
+    kept = ["row_key", "doc_id", "text_key", "n_words", "w"]
+    if len(widths) == 1:
+        each = base.select(*kept, F.posexplode_outer(f"hash_{widths[0]}").alias("at", "hash"), F.lit(widths[0]).alias("wide"))
+    else:
+        of = F.explode(F.array(*(F.struct(F.lit(k).alias("wide"), F.col(f"hash_{k}").alias("hashes")) for k in widths)))
+        each = base.select(*kept, of.alias("of")).select(*kept, F.posexplode_outer("of.hashes").alias("at", "hash"), F.col("of.wide").alias("wide"))
     lead = (F.coalesce(F.col("at"), F.lit(0)) == 0) & (F.col("wide") == widths[0])
     window = F.array_join(F.slice("w", F.col("at") + 1, F.col("wide")), " ")
     if small:
