@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.llm.textbytes import blocks, text_buffer
+from roadloom.llm.textbytes import blocks, released, text_buffer
 
 #: Rows of a fit sample whose text is longer are left out of it (they are still scored whole).
 FIT_TEXT_BYTES = 20_000
@@ -44,6 +44,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch table that nothing reads any more, in whatever store it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage at a copy in the shared folder."""
     shared_dir(df.sparkSession)
@@ -99,6 +105,12 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int
     return out.sort_by([("doc_id", "ascending")])
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the rows and bytes of a batch that goes to Python, so that long texts don't add up."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 def map_texts(df: DataFrame, keep: list[str], schema: str, make: Callable[[], Callable]) -> DataFrame:
     """Maps whole texts in blocks: ``make()`` gives fn(data, off) -> new columns, once a task.
 
@@ -117,7 +129,8 @@ def map_texts(df: DataFrame, keep: list[str], schema: str, make: Callable[[], Ca
                 yield pa.RecordBatch.from_arrays(cols, names=[str(i) for i in range(len(cols))]).rename_columns(names)
 
     names = [*keep, *(x.split()[0] for x in schema.split(", "))]
-    return df.select(*(F.col(f"`{k}`") for k in keep), F.col("text").alias("__text")).mapInArrow(run, full)
+    small_batches(df.sparkSession)
+    return df.select(*(F.col(f"`{k}`") for k in keep), F.col("text").alias("__text")).mapInArrow(released(run), full)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 60) -> np.ndarray:

@@ -19,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import cut
+from roadloom.llm.common import cut, small_batches
 from roadloom.llm.components import connected_components
 from roadloom.llm.simhash import Forest, spanning
+from roadloom.llm.textbytes import released
 
 COSINE = 0.9
 #: A pair at cosine 0.9 agrees in a bit with probability 0.856: it meets in one of 20 tables of 10 bits
@@ -74,7 +75,7 @@ def bucket_rows(classes: DataFrame, tables: int, bits: int) -> DataFrame:
                         names=["dim", "tab", "bucket", "node", "copies", "sigs", "vec"],
                     )
 
-    return classes.select("node", "copies", "embedding").mapInArrow(run, "dim int, tab int, bucket int, node bigint, copies bigint, sigs binary, vec binary")
+    return classes.select("node", "copies", "embedding").mapInArrow(released(run), "dim int, tab int, bucket int, node bigint, copies bigint, sigs binary, vec binary")
 
 
 def bucket_blocks(rows: DataFrame) -> DataFrame:
@@ -102,7 +103,7 @@ def bucket_blocks(rows: DataFrame) -> DataFrame:
         if got:
             yield flush(key, got)
 
-    return ordered.mapInArrow(run, "dim int, tab int, bucket int, first bigint, nodes binary, copies binary, sigs binary, vecs binary")
+    return ordered.mapInArrow(released(run), "dim int, tab int, bucket int, first bigint, nodes binary, copies binary, sigs binary, vecs binary")
 
 
 def verified(blocks: DataFrame, tables: int, cosine: float) -> DataFrame:
@@ -150,7 +151,7 @@ def verified(blocks: DataFrame, tables: int, cosine: float) -> DataFrame:
         if count:
             yield _counts(count)
 
-    return pairs.mapInArrow(run, "a bigint, b bigint, n bigint")
+    return pairs.mapInArrow(released(run), "a bigint, b bigint, n bigint")
 
 
 def _links(links):
@@ -164,9 +165,9 @@ def _counts(count):
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, bits: int = BITS) -> DataFrame:
     """(vec_id, n_links, component_id) per row of vectors (vec_id, embedding)."""
-    number = F.lit(0.0)
+    small_batches(vectors.sparkSession)
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    usable = F.coalesce((F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != number), F.lit(False))
+    usable = F.coalesce((F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = vectors.select("vec_id", "embedding", usable.alias("usable"))
     good = rows.where("usable")
     classes = cut(good.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).select(F.monotonically_increasing_id().alias("node"), "least", "copies", "embedding"))

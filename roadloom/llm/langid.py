@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.llm.common import FIT_TEXT_BYTES, bounded_sample, crc_mod, map_texts, text_parts
-from roadloom.llm.textbytes import LOWER, NOT_SPACE, blocks, row_sums
+from roadloom.llm.textbytes import LOWER, NOT_SPACE, blocks, release_memory, row_sums
 
 BITS = 16
 #: Rows per language in the fit sample.
@@ -122,6 +122,8 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> LanguageModel:
             if cost < best - 1e-6:
                 best, chosen = cost, (scale, sharp)
     model.scale, model.sharp = chosen
+    del got, data
+    release_memory()
     return model
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.llm.common import crc_mod, labelled, map_texts, sigmoid, text_parts
-from roadloom.llm.textbytes import LOWER, NOT_SPACE, bucket, find_words, hash_words, mix, row_sums
+from roadloom.llm.textbytes import LOWER, NOT_SPACE, bucket, find_words, hash_words, mix, release_memory, row_sums
 
 BITS = 18
 #: Rows per label value in the fit sample.
@@ -120,7 +120,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, rows: int = FIT_ROWS) ->
     if len(y) == 0 or y.min() == y.max():
         return NgramModel(np.zeros(1 << BITS, np.float32), 0.0 if len(y) == 0 else (4.0 if y[0] else -4.0))
     data, off = text_parts(got.column("text"))
-    return train(data, off, y)
+    model = train(data, off, y)
+    del got, data
+    release_memory()
+    return model
 
 
 def score(docs: DataFrame, model: NgramModel, keep: list[str]) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from roadloom.llm.common import BROADCAST_ROWS, cut, map_texts
 from roadloom.llm.components import connected_components
-from roadloom.llm.textbytes import LOWER, NOT_SPACE, find_words, row_sums
+from roadloom.llm.textbytes import LOWER, NOT_SPACE, find_words, released, row_sums
 
 BOUND = 4
 SHINGLE = 4
@@ -143,7 +143,7 @@ def index_nodes(fps: DataFrame, blocks: int, bound: int = BOUND) -> DataFrame:
                 names=["mask", "value", "first", "same", "pattern", "members"],
             )
 
-    return ordered.mapInArrow(cut_runs, "mask int, value bigint, first bigint, same bigint, pattern bigint, members binary")
+    return ordered.mapInArrow(released(cut_runs), "mask int, value bigint, first bigint, same bigint, pattern bigint, members binary")
 
 
 def spanning(link: np.ndarray) -> np.ndarray:
@@ -212,7 +212,7 @@ def near_links(fps: DataFrame, bound: int = BOUND, blocks: int | None = None) ->
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], names=["a", "b"])
 
-    return pairs.mapInArrow(compare, "a bigint, b bigint")
+    return pairs.mapInArrow(released(compare), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, bound: int = BOUND) -> DataFrame:

@@ -29,8 +29,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import scratch, small_batches, unit_hash
-from roadloom.llm.textbytes import blocks, find_words, hash_words, text_buffer
+from roadloom.llm.common import discard, scratch, small_batches, unit_hash
+from roadloom.llm.textbytes import blocks, find_words, hash_words, released, text_buffer
 
 END_ID = 0
 PACK = 1 << 20
@@ -209,7 +209,7 @@ def _encode_batches(path: str, end_id: int):
         enc = _worker(path)
         for b in batches:
             data, off = text_buffer(b.column(1))
-            for lo, hi in blocks(off, 4 << 20):
+            for lo, hi in blocks(off):
                 ids, first = enc.encode_block(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 yield b.column(0).slice(lo, hi - lo), np.insert(ids, first[1:], end_id), first + np.arange(len(first))
 
@@ -226,7 +226,7 @@ def train_dictionary(docs: DataFrame, path: str, width: int, end_id: int = END_I
         for _, ids, first in step(batches):
             yield pa.RecordBatch.from_arrays([pa.array(_serialized(ids, first, width), pa.binary())], names=["ids"])
 
-    samples = [r for r in part.select("doc_id", "text").mapInArrow(run, "ids binary").limit(2 * rows).toArrow().column("ids").to_pylist()]
+    samples = [r for r in part.select("doc_id", "text").mapInArrow(released(run), "ids binary").limit(2 * rows).toArrow().column("ids").to_pylist()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:  # too little to learn from: raw content serves as the dictionary
@@ -268,7 +268,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
 
     # frames are written once, so that the range partitioning below samples them and doesn't encode again
     stage = scratch(spark, "frames")
-    docs.mapInArrow(compress, "doc_id bigint, n bigint, frame binary").write.option("compression", "none").parquet(stage)
+    docs.mapInArrow(released(compress), "doc_id bigint, n bigint, frame binary").write.option("compression", "none").parquet(stage)
     frames = spark.read.parquet(stage)
     size = frames.agg(F.sum(F.length("frame"))).first()[0] or 0
     parts = max(1, min(10_000, int(size // (32 << 20)) + 1), spark.sparkContext.defaultParallelism)
@@ -302,7 +302,8 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
         if ids:
             yield flush()
 
-    ordered.mapInArrow(pack, _PACKS).write.option("compression", "none").parquet(f"{folder}/packs")
+    ordered.mapInArrow(released(pack), _PACKS).write.option("compression", "none").parquet(f"{folder}/packs")
+    discard(spark, stage)
     return folder
 
 
@@ -348,7 +349,7 @@ def read(spark: SparkSession, folder: str, doc_ids: list[int] | None = None) ->
                     )
 
     cols = ["shard", "dictionary_sha256", "payload", "doc_ids", "offsets", "starts"]
-    return packs.select(*cols).mapInArrow(run, "doc_id bigint, start bigint, ids binary")
+    return packs.select(*cols).mapInArrow(released(run), "doc_id bigint, start bigint, ids binary")
 
 
 def summary(spark: SparkSession, folder: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from roadloom.llm.common import crc_mod, labelled, logistic, map_texts, sigmoid, text_parts
 from roadloom.llm.crf import Chain, fit as fit_chain, marginals
-from roadloom.llm.textbytes import ALNUM, LOWER, Words, bucket, code_points, find_words, hash_words, mix, prefix_hash, row_max, row_sums
+from roadloom.llm.textbytes import ALNUM, LOWER, Words, bucket, code_points, find_words, hash_words, mix, prefix_hash, release_memory, row_max, row_sums
 
 BITS = 18
 #: Rows per label value in the fit sample.
@@ -176,6 +176,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> ToxicityMod
     model = ToxicityModel(chain, np.zeros(4))
     w, logit = model.token_logits(data, off)
     model.weights = logistic(document_columns(w, logit), y.astype(float))
+    del got, data, w, keys, logit
+    release_memory()
     return model
 
 
