@@ -489,7 +489,7 @@ def set_union_by_name(spark, d):
 # ---- geometry ------------------------------------------------------------------------------------
 
 
-@query("geo_distance", f", l AS (SELECT TrackId, RowId, Latitude, Longitude, lag(Latitude) OVER w AS pa, lag(Longitude) OVER w AS po FROM tp WINDOW w AS (PARTITION BY TrackId ORDER BY PointDate, RowId)) SELECT TrackId, RowId, round({_HAV.format('pa', 'po', 'Latitude', 'Longitude')}, 3) AS m, round(radians(Longitude) * 6378137, 3) AS x, round(ln(tan(pi() / 4 + radians(Latitude) / 2)) * 6378137, 3) AS y FROM l")
+@query("geo_distance", f", l AS (SELECT TrackId, RowId, Latitude, Longitude, lag(Latitude) OVER w AS pa, lag(Longitude) OVER w AS po FROM tp WINDOW w AS (PARTITION BY TrackId ORDER BY PointDate, RowId)) SELECT TrackId, RowId, CASE WHEN pa IS NOT NULL THEN round({_HAV.format('pa', 'po', 'Latitude', 'Longitude')}, 3) END AS m, round(radians(Longitude) * 6378137, 3) AS x, round(ln(tan(pi() / 4 + radians(Latitude) / 2)) * 6378137, 3) AS y FROM l")
 def geo_distance(spark, d):
     p = _points(spark, d)
     m = gx.haversine_m(F.lag("Latitude").over(in_order()), F.lag("Longitude").over(in_order()), F.col("Latitude"), F.col("Longitude"))

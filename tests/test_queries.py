@@ -1,8 +1,10 @@
 """Every query that has SQL must give the same rows as DuckDB; the others must run."""
 
+import numbers
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -16,7 +18,7 @@ def rows(df):
     cols = sorted(df.columns)
     out = []
     for r in df[cols].itertuples(index=False):
-        out.append(tuple(None if v is None or v != v else (float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)) for v in r))
+        out.append(tuple(None if pd.isna(v) else (float(v) if isinstance(v, numbers.Number) and not isinstance(v, bool) else str(v)) for v in r))
     return cols, sorted(out, key=repr)
 
 
