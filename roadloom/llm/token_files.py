@@ -38,7 +38,7 @@ DICTIONARY_BYTES = 64 << 10
 #: Documents whose ids the dictionary is trained on, and the longest of them in characters.
 FIT_ROWS, FIT_CHARS = 1500, 8000
 #: Pieces in a generation of the table of ids that a worker keeps.
-MEMO = 600_000
+MEMO = 350_000
 LEVEL = 3
 _ODD = re.compile(r"\s[ ]|[ ]\s")
 _NOT_BLANK = np.ones(256, bool)
@@ -209,7 +209,7 @@ def _encode_batches(path: str, end_id: int):
         enc = _worker(path)
         for b in batches:
             data, off = text_buffer(b.column(1))
-            for lo, hi in blocks(off):
+            for lo, hi in blocks(off, 2 << 20):
                 ids, first = enc.encode_block(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 yield b.column(0).slice(lo, hi - lo), np.insert(ids, first[1:], end_id), first + np.arange(len(first))
 
