@@ -6,16 +6,20 @@ regressions of the quality operator. Nonnegative rates of the documents are then
 gradient descent on the squared distance between the expected token totals of the domains,
 sum(rate * tokens * posterior), and their targets. The gradient of one document needs only the
 few domain residuals, so an iteration is one aggregation of a narrow table, whatever its size.
-Rates start at 1 and a document's step is scaled by its tokens. A rate is an expected number of
+Rates start at 1 and a document's step is scaled by its tokens. ``meet_targets`` preconditions the
+steps by the curvature of the documents whose rate is above 0, which is a matrix of the domains'
+size, and goes on until each domain is within NEAR of its own target. A rate is an expected number of
 copies: ``resample`` repeats or leaves out documents by it, with a hash of the id as the dice.
 
 Defined results: null and wordless texts have no tokens, weigh nothing and keep rate 1; an empty
 table gives an empty result; without labels the posterior is even; repeated rows get equal rates.
-A target domain that no document can belong to is approached as far as posteriors allow.
+Targets that posteriors can't meet are approached by ROUNDS plain steps; a warning has the residuals.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +33,8 @@ DOMAINS = ("good", "low", "toxic")
 TARGETS = {"good": 0.90, "low": 0.07, "toxic": 0.03}
 HEADROOM = 1.1
 ROUNDS, CHUNK = 60, 8
+#: Preconditioned steps, and halvings of one, before targets count as out of reach.
+STEPS, HALVINGS = 60, 12
 #: Relative distance from the targets at which the fit ends.
 NEAR = 1e-4
 
@@ -93,6 +99,57 @@ def fit_rates(soft: DataFrame, targets: dict[str, float] | None = None, rounds:
     return state
 
 
+def meet_targets(soft: DataFrame, targets: dict[str, float] | None = None, near: float = NEAR) -> tuple[DataFrame, dict[str, float]]:
+    """soft with the column ``rate``, and by domain the residual as a share of its target.
+
+    Steps add up before the projection, so rates are max(0, 1 + posterior . c): of all nonnegative
+    rates with the target totals those closest to 1. Only c changes, and no table is kept between rounds.
+    """
+    targets = targets or TARGETS
+    k = len(DOMAINS)
+
+    def rate(c: np.ndarray) -> Column:
+        pull = sum((F.col(f"p_{d}") * F.lit(float(x)) for d, x in zip(DOMAINS, c, strict=True)), F.lit(1.0))
+        return F.when(F.col("n_tokens") > 0, F.greatest(F.lit(0.0), pull)).otherwise(F.lit(1.0))
+
+    def measure(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        live = F.when(F.col("__r") > 0, F.col("n_tokens")).otherwise(F.lit(0))
+        sums = [F.sum(F.col("__r") * F.col("n_tokens") * F.col(f"p_{d}")) for d in DOMAINS]
+        sums += [F.sum(live * F.col(f"p_{d}") * F.col(f"p_{e}")) for d in DOMAINS for e in DOMAINS]
+        row = soft.withColumn("__r", rate(c)).agg(*(x.alias(str(i)) for i, x in enumerate([*sums, F.sum(F.col("n_tokens") * F.col("__r") ** 2)]))).first()
+        got = np.array([x or 0.0 for x in row], float)
+        return got[:k], got[k:-1].reshape(k, k), got[-1] / 2
+
+    c = np.zeros(k)
+    have, curve, cost = measure(c)
+    if cost <= 0:
+        return soft.withColumn("rate", F.lit(1.0)), dict.fromkeys(DOMAINS, 0.0)
+    share = np.array([targets.get(d, 0.0) for d in DOMAINS]) / sum(targets.values())
+    size = HEADROOM * have[0] / share[0] if share[0] > 0 and have[0] > 0 else have.sum()
+    goal = share * size
+    scale = np.maximum(goal, near * size)
+    ridge = 1e-9 * np.trace(curve) * np.eye(k)
+    for _ in range(STEPS):
+        residual = have - goal
+        if (np.abs(residual) <= near * scale).all():
+            return soft.withColumn("rate", rate(c)), dict(zip(DOMAINS, (residual / scale).tolist(), strict=True))
+        step = -np.linalg.solve(curve + ridge, residual)
+        for half in range(HALVINGS):
+            to = c + step / 2**half
+            now = measure(to)
+            value = now[2] - to @ goal
+            if value <= cost + 1e-4 * (residual @ step) / 2**half + 1e-13 * abs(cost):
+                break
+        else:
+            break
+        c, (have, curve, _), cost = to, now, value
+    state = fit_rates(soft, targets)
+    row = state.agg(*(F.sum(F.col("rate") * F.col("n_tokens") * F.col(f"p_{d}")) for d in DOMAINS)).first()
+    left = dict(zip(DOMAINS, ((np.array(row, float) - goal) / scale).tolist(), strict=True))
+    warnings.warn(f"targets are out of reach; residuals as shares of the targets: {left}", stacklevel=2)
+    return state, left
+
+
 def copies(rate: Column, doc_id: Column) -> Column:
     """A whole number of copies with the rate as its expectation over ids."""
     return F.floor(rate + unit_hash(doc_id, F.lit(5))).cast("int")
@@ -102,14 +159,14 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     """(doc_id, text_key, n_tokens, posteriors, rate) per row of docs."""
     parts = fit_classifier(docs, labels)
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("text_key"), "text")
-    return fit_rates(cut(posteriors(keyed, parts, ["doc_id", "text_key"])), targets)
+    return meet_targets(cut(posteriors(keyed, parts, ["doc_id", "text_key"])), targets)[0]
 
 
 def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """docs with each document as often as its rate says."""
     parts = fit_classifier(docs, labels)
     soft = cut(posteriors(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("text_key"), "text"), parts, ["doc_id", "text_key"]))
-    rates = fit_rates(soft, targets).select("text_key", copies(F.col("rate"), F.col("doc_id")).alias("__n")).dropDuplicates(["text_key"])
+    rates = meet_targets(soft, targets)[0].select("text_key", copies(F.col("rate"), F.col("doc_id")).alias("__n")).dropDuplicates(["text_key"])
     changed = cut(rates.where("__n <> 1"))
     side = F.broadcast(changed) if changed.count() <= BROADCAST_ROWS else changed
     joined = docs.join(side, F.xxhash64("doc_id", "text") == F.col("text_key"), "left")

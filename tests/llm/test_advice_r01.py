@@ -1,0 +1,39 @@
+"""The whole job where a reviewer found less of it."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from roadloom.llm import mixing
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+# ---- 5 ---------------------------------------------------------------------------------------------
+
+
+def soft_rows(spark, p, n):
+    rows = [(i, int(n[i]), *map(float, p[i])) for i in range(len(n))]
+    return spark.createDataFrame(rows, "doc_id long, n_tokens long, p_good double, p_low double, p_toxic double")
+
+
+@pytest.mark.parametrize("logit", [2, 4])
+def test_mixing_meets_each_target(spark, logit):
+    rng = np.random.default_rng(logit)
+    kind = rng.choice(3, 2000, p=[0.97, 0.02, 0.01])
+    q, t = (1 / (1 + np.exp(-(np.where(x, logit, -logit) + rng.normal(0, 0.7, 2000)))) for x in (kind == 0, kind == 2))
+    p, n = np.column_stack([q * (1 - t), (1 - q) * (1 - t), t]), rng.integers(0, 500, 2000)
+    got, left = mixing.meet_targets(soft_rows(spark, p, n))
+    rate = np.array([r.rate for r in got.orderBy("doc_id").collect()])
+    goal = np.array([mixing.TARGETS[d] for d in mixing.DOMAINS]) * mixing.HEADROOM * (n @ p)[0] / mixing.TARGETS["good"]
+    assert (rate >= 0).all() and (rate[n == 0] == 1).all()
+    assert np.allclose((rate * n) @ p / goal, 1, atol=2 * mixing.NEAR)
+    assert max(map(abs, left.values())) <= mixing.NEAR
+
+
+def test_mixing_tells_what_is_out_of_reach(spark):
+    soft = soft_rows(spark, np.tile([0.9, 0.08, 0.02], (50, 1)), np.full(50, 100))
+    with pytest.warns(UserWarning, match="out of reach"):
+        got, left = mixing.meet_targets(soft)
+    assert max(map(abs, left.values())) > 0.1 and got.agg(F.min("rate")).first()[0] >= 0
+    assert mixing.meet_targets(soft.limit(0))[0].count() == 0
