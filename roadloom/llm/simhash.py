@@ -215,25 +215,37 @@ def near_links(fps: DataFrame, bound: int = BOUND, blocks: int | None = None) ->
     return pairs.mapInArrow(released(compare), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, bound: int = BOUND) -> DataFrame:
-    """(doc_id, fp, component_id): the smallest doc_id reachable over links, per row of docs."""
-    marked = cut(fingerprints(docs, ["doc_id"]))
-    kinds = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+def _grouped(marked: DataFrame, name: str, least: Column, bound: int) -> DataFrame:
+    """marked with the column ``name``: the least value of ``least`` among the rows reachable over links."""
+    kinds = cut(marked.groupBy("fp").agg(least.alias("least")))
     roots = connected_components(near_links(kinds.select("fp"), bound))
     of = kinds.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of = cut(of)
-    best = cut(of.groupBy("root").agg(F.min("least").alias("component_id")))
-    classes = cut(of.join(best, "root").select("fp", "component_id"))
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    best = cut(of.groupBy("root").agg(F.min("least").alias(name)))
+    classes = cut(of.join(best, "root").select("fp", name))
+    return marked.join(classes, "fp")
+
+
+def near_duplicates(docs: DataFrame, bound: int = BOUND) -> DataFrame:
+    """(doc_id, fp, component_id): the smallest doc_id reachable over links, per row of docs."""
+    marked = cut(fingerprints(docs, ["doc_id"]))
+    return _grouped(marked, "component_id", F.min("doc_id"), bound).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, bound: int = BOUND) -> DataFrame:
-    """docs with one document of each near-duplicate group: the one with the smallest doc_id."""
-    groups = cut(near_duplicates(docs.select("doc_id", "text"), bound))
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"))
-    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
-    repeats = groups.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeats else kept
+    """docs with one row of each near-duplicate group: the one with the smallest doc_id, then text hash.
+
+    A row is known by its id and text, as ids may be null or repeated; null ids come last.
+    """
+    key = F.xxhash64("text")
+    marked = cut(fingerprints(docs.select("doc_id", key.alias("__key"), "text"), ["doc_id", "__key"]))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__key").alias("key"))
+    groups = cut(_grouped(marked, "__least", F.min(row), bound).select("doc_id", "__key", (row == F.col("__least")).alias("__stays")))
+    gone = groups.where(~F.col("__stays")).select(F.col("doc_id").alias("__id"), F.col("__key").alias("__gone")).distinct()
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    kept = docs.withColumn("__key", key).join(side, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__gone")), "left_anti")
+    repeats = groups.where("__stays").groupBy("doc_id", "__key").count().where("count > 1").limit(1).count()
+    return (kept.dropDuplicates(["doc_id", "__key"]) if repeats else kept).drop("__key")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from roadloom.llm import mixing
+from roadloom.llm import mixing, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -37,3 +37,17 @@ def test_mixing_tells_what_is_out_of_reach(spark):
         got, left = mixing.meet_targets(soft)
     assert max(map(abs, left.values())) > 0.1 and got.agg(F.min("rate")).first()[0] >= 0
     assert mixing.meet_targets(soft.limit(0))[0].count() == 0
+
+
+# ---- 4 ---------------------------------------------------------------------------------------------
+
+
+def test_keep_one_goes_by_row(spark):
+    rng = np.random.default_rng(4)
+    far = [" ".join(rng.choice([f"v{i}" for i in range(300)], 60)) for _ in range(6)]
+    # 5 has two texts, one of them a copy of 1's; two null ids have texts of their own, one copies 2's
+    rows = [(1, far[0]), (5, far[0]), (5, far[1]), (5, far[1]), (2, far[2]), (None, far[2]), (None, far[3]), (None, far[4]), (None, far[4]), (7, far[5]), (None, far[5])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, far.index(r.text)) for r in kept.collect()) == [(0, 3), (0, 4), (1, 0), (2, 2), (5, 1), (7, 5)]
