@@ -61,39 +61,47 @@ def unit_hash(*cols: Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) / float(1 << 40)
 
 
-def bounded_sample(df: DataFrame, key: str, stratum: str, rows: int, columns: list[str]) -> pa.Table:
+def sampling_shares(df: DataFrame, stratum: str, rows: int) -> dict:
+    """By stratum the share of its rows that a sample of about ``rows`` rows takes. Null strata are left out."""
+    counts = df.where(F.col(stratum).isNotNull()).groupBy(stratum).count().collect()
+    return {r[0]: min(1.0, rows / r[1]) for r in counts}
+
+
+def bounded_sample(df: DataFrame, key: str, stratum: str, rows: int, columns: list[str], shares: dict | None = None) -> pa.Table:
     """About ``rows`` rows of each stratum, chosen by a hash of the key, brought to the driver.
 
     The number of rows is bounded (``limit`` guards against a key that repeats), and so is their
     size if the caller has bounded the text of a row. Null strata are left out.
     """
-    df = df.where(F.col(stratum).isNotNull())
-    counts = df.groupBy(stratum).count().collect()
-    if not counts:
+    shares = sampling_shares(df, stratum, rows) if shares is None else shares
+    if not shares:
         return df.select(*columns).limit(0).toArrow()
     share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col(stratum) == F.lit(r[0]), F.lit(min(1.0, rows / r[1]))).otherwise(share)
-    picked = df.where(unit_hash(F.col(key), F.lit(7)) < share).select(*columns).limit(2 * rows * len(counts))
+    for value, part in shares.items():
+        share = F.when(F.col(stratum) == F.lit(value), F.lit(part)).otherwise(share)
+    picked = df.where(unit_hash(F.col(key), F.lit(7)) < share).select(*columns).limit(2 * rows * len(shares))
     out = picked.toArrow()
     return out.sort_by([(key, "ascending")]) if key in columns else out
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, rows: int) -> pa.Table:
-    """A bounded sample (doc_id, text, label) of the documents that the label table covers.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, rows: int) -> tuple[pa.Table, float]:
+    """A bounded sample (doc_id, text, label) of the documents that the label table covers, and its shift.
 
     Only rows off the held-out fold count. The sample is drawn from the label table first, so the
-    join sees a bounded set of ids and never moves text.
+    join sees a bounded set of ids and never moves text. The shift is what the sample's class shares
+    add to the log-odds of label 1; a fitted intercept less the shift has the label table's prior.
     """
     known = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), mod) != held))
         .groupBy("doc_id")
         .agg(F.max(label).cast("int").alias("label"))
     )
-    ids = bounded_sample(known, "doc_id", "label", rows, ["doc_id", "label"])
+    shares = sampling_shares(known, "label", rows)
+    shift = float(np.log(shares.get(1, 1.0) / shares.get(0, 1.0)))
+    ids = bounded_sample(known, "doc_id", "label", rows, ["doc_id", "label"], shares)
     spark = docs.sparkSession
     if ids.num_rows == 0:
-        return pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string()), "label": pa.array([], pa.int32())})
+        return pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string()), "label": pa.array([], pa.int32())}), 0.0
     small = spark.createDataFrame(ids.to_pandas())
     out = (
         docs.select("doc_id", "text")
@@ -102,7 +110,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int
         .limit(4 * rows)
         .toArrow()
     )
-    return out.sort_by([("doc_id", "ascending")])
+    return out.sort_by([("doc_id", "ascending")]), shift
 
 
 def small_batches(spark: SparkSession) -> None:

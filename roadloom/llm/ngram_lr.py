@@ -114,13 +114,14 @@ def train(data: np.ndarray, off: np.ndarray, label: np.ndarray, epochs: int = 4,
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, rows: int = FIT_ROWS) -> NgramModel:
-    """Fits on a bounded sample of up to ``rows`` labelled documents of each class."""
-    got = labelled(docs, labels, label, 5, 0, rows)
+    """Fits on a bounded sample of up to ``rows`` labelled documents of each class; scores have the labels' prior."""
+    got, shift = labelled(docs, labels, label, 5, 0, rows)
     y = got.column("label").to_numpy().astype(float)
     if len(y) == 0 or y.min() == y.max():
         return NgramModel(np.zeros(1 << BITS, np.float32), 0.0 if len(y) == 0 else (4.0 if y[0] else -4.0))
     data, off = text_parts(got.column("text"))
     model = train(data, off, y)
+    model.bias -= shift
     del got, data
     release_memory()
     return model

@@ -150,8 +150,8 @@ class ToxicityModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> ToxicityModel:
-    """Fits on a bounded sample of up to ``rows`` labelled documents of each class."""
-    got = labelled(docs, labels, "toxic", 5, 0, rows)
+    """Fits on a bounded sample of up to ``rows`` labelled documents of each class; scores have the labels' prior."""
+    got, shift = labelled(docs, labels, "toxic", 5, 0, rows)
     y = got.column("label").to_numpy().astype(bool)
     if len(y) == 0 or y.all() or not y.any():
         return ToxicityModel(None, np.array([0.0, 0.0, 0.0, 0.0 if len(y) == 0 else (4.0 if y[0] else -4.0)]))
@@ -176,6 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> ToxicityMod
     model = ToxicityModel(chain, np.zeros(4))
     w, logit = model.token_logits(data, off)
     model.weights = logistic(document_columns(w, logit), y.astype(float))
+    model.weights[-1] -= shift
     del got, data, w, keys, logit
     release_memory()
     return model

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from roadloom.llm import mixing, simhash
+from roadloom.llm import mixing, ngram_lr, simhash, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -51,3 +51,17 @@ def test_keep_one_goes_by_row(spark):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or 0, far.index(r.text)) for r in kept.collect()) == [(0, 3), (0, 4), (1, 0), (2, 2), (5, 1), (7, 5)]
+
+
+# ---- 1, 8 ------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("method", [ngram_lr, toxicity])
+def test_scores_have_the_prior_at_every_sample_size(spark, method):
+    texts = [f"the plain words of line {i % 5}" for i in range(600)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    labels = spark.createDataFrame([(i, int(i % 10 == 3)) for i in range(600)], "doc_id long, toxic int")
+    args = ("toxic",) if method is ngram_lr else ()
+    for rows in (1000, 25):
+        score = np.mean([r.score for r in method.score(docs, method.fit(docs, labels, *args, rows=rows), ["doc_id"]).collect()])
+        assert 0.05 < score < 0.2, rows
