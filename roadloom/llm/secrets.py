@@ -4,8 +4,8 @@ White-space tokens get the tags outside, begin and inside. Features are the toke
 of letters, digits and other characters by class, length class), its changes between letters and
 digits, the hashed neighbouring words, their shapes, and a class of the whole file (how much of it
 is punctuation and digits). The field is fitted on silver tags from the base patterns over a
-bounded sample and decoded by Viterbi; a line is a sequence. Decoded spans that touch no base span
-are added with the kind ``crf``; base spans always stay.
+bounded sample and decoded by Viterbi; a line is a sequence. Decoded tokens that touch no base span
+are added as spans of the kind ``crf``; base spans always stay.
 
 Defined results: null and empty texts have no span; without a base match in the sample nothing is
 added; repeated rows get equal results; offsets are code points, ends are exclusive.
@@ -38,6 +38,8 @@ _HEX[48:58] = _HEX[97:103] = True
 BITS = 16
 #: Rows of the corpus that are searched for silver tags, and rows kept of those.
 FIT_SEARCH, FIT_ROWS = 40_000, 1500
+#: Share of the rows without a hint of a base match in the sample.
+OTHERS = 0.02
 
 
 def base_spans(data: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -132,13 +134,20 @@ def silver_tags(w: Words, spans: list[tuple[int, int, int, int]]) -> np.ndarray:
 
 
 def fit(docs: DataFrame, search: int = FIT_SEARCH, rows: int = FIT_ROWS) -> SecretModel:
-    """Fits on a bounded sample: of about ``search`` rows up to ``rows``, those with a base match first."""
+    """Fits on a bounded sample: of about ``search`` rows about ``rows``, chosen by hash from all of them.
+
+    It holds the rows that a hint of a base match marks and OTHERS of the rest, or the same share of
+    both where that is more than ``rows``.
+    """
     total = docs.select("doc_id").count()
     part = docs.where(F.octet_length("text") <= FIT_TEXT_BYTES)
     if total > search:
         part = part.where(unit_hash(F.col("doc_id"), F.lit(3)) < search / total)
     hint = F.col("text").rlike(r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
-    got = part.select("text", hint.alias("hit")).where("hit or rand(5) < 0.02").select("text").limit(rows).toArrow()
+    part = part.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"), F.when(hint, 1.0).otherwise(OTHERS).alias("share"))
+    wanted = part.agg(F.sum("share")).first()[0] or 0.0
+    part = part.where(unit_hash(F.col("key"), F.lit(5)) < F.col("share") * min(1.0, rows / max(wanted, 1.0)))
+    got = part.select("key", "text").limit(2 * rows).toArrow().sort_by([("key", "ascending")])
     data, off = text_parts(got.column("text"))
     w, line = tokens(data, off)
     if not len(w.start):
@@ -150,16 +159,15 @@ def fit(docs: DataFrame, search: int = FIT_SEARCH, rows: int = FIT_ROWS) -> Secr
 
 
 def added_spans(model: SecretModel, data: np.ndarray, off: np.ndarray, base: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """Viterbi spans of tokens that touch no base span; quotes and brackets around them go."""
+    """Viterbi spans without the tokens that touch a base span; quotes and brackets around them go.
+
+    A decoded run is cut at base spans, and what is left of it on either side is a span of its own.
+    """
     w, line = tokens(data, off)
     if model.chain is None or not len(w.start):
         return []
     tag = viterbi(model.chain, model.chain.scores(fields(data, off, w, line)), line)
-    hot = np.flatnonzero(tag)
-    if not len(hot):
-        return []
-    taken = np.array([(s, e) for _, s, e, _k in base], np.int64).reshape(-1, 2)
-    taken = taken[np.argsort(taken[:, 0])]
+    hot = np.flatnonzero((tag > 0) & (silver_tags(w, base) == 0))
     opens = np.zeros(len(tag), bool)
     opens[line[:-1]] = True
     out, i = [], 0
@@ -168,12 +176,11 @@ def added_spans(model: SecretModel, data: np.ndarray, off: np.ndarray, base: lis
         while j < len(hot) and hot[j] == hot[j - 1] + 1 and tag[hot[j]] == 2 and not opens[hot[j]]:
             j += 1
         s, e = int(w.start[hot[i]]), int(w.end[hot[j - 1]])
-        if not ((taken[:, 0] < e) & (taken[:, 1] > s)).any():
-            piece = data[s:e].tobytes()
-            s += len(piece) - len(piece.lstrip(b"\"'([{<"))
-            e -= len(piece) - len(piece.rstrip(b"\"')]}>,;."))
-            if e > s:
-                out.append((int(w.row[hot[i]]), s, e, 3))
+        piece = data[s:e].tobytes()
+        s += len(piece) - len(piece.lstrip(b"\"'([{<"))
+        e -= len(piece) - len(piece.rstrip(b"\"')]}>,;."))
+        if e > s:
+            out.append((int(w.row[hot[i]]), s, e, 3))
         i = j
     return out
 
