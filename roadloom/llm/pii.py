@@ -3,7 +3,7 @@
 Kinds, in the order of their choice where two could begin at one place:
   card   13 to 19 digits, or 15 or 16 in the usual groups, that pass the Luhn check
   date   a calendar date, yyyy-mm-dd or dd/mm/yyyy or dd.mm.yyyy, years 1900 to 2099
-  phone  a +1 number with area code, in its usual forms
+  phone  a North American number with area code, in its usual forms, with or without +1
   ssn    ddd-dd-dddd with valid parts
   ip     dotted quad of numbers to 255
 
@@ -29,10 +29,12 @@ DEMO_KEY = "demonstration key"
 ROUNDS = 8
 CARD = r"[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{4}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5}|[0-9]{13,19}"
 DATE = r"(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9]|[0-3][0-9](?:/[01][0-9]/|\.[01][0-9]\.)(?:19|20)[0-9]{2}"
-PHONE = r"\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
+PHONE = r"\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}|(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
-PATTERN = rf"(?<![0-9A-Za-z+.-])(?:{PHONE}|{DATE}|{SSN}|{IP}|{CARD})(?![0-9A-Za-z]|[.-][0-9])"
+#: A full stop or hyphen before a value belongs to the word or bracket before it, and a time may follow a date.
+BEFORE = r"(?:(?<![0-9A-Za-z+.-])|(?<=[\p{L})\]:][.-]))"
+PATTERN = rf"{BEFORE}(?:(?:{DATE})(?=T[0-9]{{2}}:?[0-9]{{2}})|(?:{PHONE}|{DATE}|{SSN}|{IP}|{CARD})(?![0-9A-Za-z]|[.-][0-9]))"
 #: Days from 1900-01-01 to 2099-12-31: 73 049 = 17 * 4 297.
 _DAYS = (17, 4297)
 
@@ -131,7 +133,7 @@ def pseudonym(value: Column, key: Column, back: bool = False) -> Column:
     day = F.date_diff(_date(value), F.lit("1900-01-01").cast("date")).cast("long")
     new_day = F.date_add(F.lit("1900-01-01").cast("date"), feistel(day, *_DAYS, key, "date", back).cast("int"))
     date = F.when(value.substr(5, 1) == "-", F.date_format(new_day, "yyyy-MM-dd")).when(value.substr(3, 1) == "/", F.date_format(new_day, "dd/MM/yyyy")).otherwise(F.date_format(new_day, "dd.MM.yyyy"))
-    ten = F.concat(F.lit("1"), F.lpad(feistel(F.substr(d, F.lit(2)).cast("long"), 10**5, 10**5, key, "phone", back).cast("string"), 10, "0"))
+    ten = F.concat(F.when(value.startswith("+"), F.lit("1")).otherwise(F.lit("")), F.lpad(feistel(F.right(d, F.lit(10)).cast("long"), 10**5, 10**5, key, "phone", back).cast("string"), 10, "0"))
     # valid areas are 001-899 but 666 (898 of them), groups 01-99, serials 0001-9999
     area, group, serial = (F.substr(d, F.lit(a), F.lit(n)).cast("long") for a, n in ((1, 3), (4, 2), (6, 4)))
     rank = ((F.when(area > 666, area - 2).otherwise(area - 1)) * 99 + group - 1) * 9999 + serial - 1

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from roadloom.llm import mixing, ngram_lr, secrets, simhash, toxicity
+from roadloom.llm import mixing, ngram_lr, pii, secrets, simhash, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -91,3 +91,29 @@ def test_secret_beside_a_base_match_stays(monkeypatch):
     chain = type("Any", (), {"scores": lambda self, f: None})()
     added = secrets.added_spans(secrets.SecretModel(chain), data, off, secrets.base_spans(data, off))
     assert [text[s:e] for _, s, e, _k in added] == [b"wJalrXUtnFEMIK7MDENG"]
+
+
+# ---- 7 ---------------------------------------------------------------------------------------------
+
+
+def test_values_beside_labels_and_times(spark):
+    cases = {
+        "at 2024-05-06T12:30:00Z": ["date"],
+        "20240506 2024-05-06Tx": [],
+        "No.4111111111111111": ["card"],
+        "é.10.0.0.255 x": ["ip"],
+        "id-123-45-6789": ["ssn"],
+        "= .4111111111111111 1.10.0.0.255": [],
+        "call (212) 555-0123 or 212-555-0123, 212.555.0123.": ["phone"] * 3,
+        "+1 (212) 555-0123": ["phone"],
+        "1212-555-0123 212-555-01234 212-555-0123-4": [],
+    }
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    out = pii.pseudonymise(docs, "k")
+    got = {r.doc_id: r for r in out.collect()}
+    for i, (text, kinds) in enumerate(cases.items()):
+        assert [c.kind for c in got[i].changed] == kinds, text
+        assert all(c.old != c.new for c in got[i].changed) and (kinds or got[i].text == text)
+    digits = {"".join(x for x in c.new if x.isdigit())[-10:] for i in (6, 7) for c in got[i].changed}
+    assert len(digits) == 1 and got[0].text.endswith("T12:30:00Z")
+    assert {r.doc_id: r.text for r in pii.pseudonymise(out.drop("changed"), "k", back=True).collect()} == dict(enumerate(cases))
