@@ -17,6 +17,8 @@ from roadloom.llm.textbytes import blocks, released, text_buffer
 FIT_TEXT_BYTES = 20_000
 #: Key sets up to this many rows may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Values that a column of classes may have.
+MAX_STRATA = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,12 +30,18 @@ def crc_mod(doc_id: Column, mod: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share.
+
+    Where none is set, a local session (one process, as in tests) gets a temporary one; on a cluster
+    that is an error, as executors could not see it.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if folder is None:
         folder = current
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="roadloom-")
     if current is None:
         spark.sparkContext.setCheckpointDir(folder)
@@ -61,9 +69,30 @@ def unit_hash(*cols: Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) / float(1 << 40)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with all columns but doc_id and text under numbers, so that no name can clash; and its names.
+
+    ``named`` undoes it.
+    """
+    names = [c if c in ("doc_id", "text") else f"_{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), names
+
+
+def named(df: DataFrame, names: list[str], docs: DataFrame) -> DataFrame:
+    return df.select(*names).toDF(*docs.columns)
+
+
+def text_key() -> Column:
+    """128 bits of SHA-256 over the text, null texts apart from empty ones: with doc_id it tells rows apart."""
+    digest = F.unhex(F.substring(F.sha2(F.col("text"), 256), 1, 32))
+    return F.coalesce(digest, F.lit(b""))
+
+
 def sampling_shares(df: DataFrame, stratum: str, rows: int) -> dict:
     """By stratum the share of its rows that a sample of about ``rows`` rows takes. Null strata are left out."""
-    counts = df.where(F.col(stratum).isNotNull()).groupBy(stratum).count().collect()
+    counts = df.where(F.col(stratum).isNotNull()).groupBy(stratum).count().limit(MAX_STRATA + 1).collect()
+    if len(counts) > MAX_STRATA:
+        raise ValueError(f"{stratum} has more than {MAX_STRATA} values: no column of classes")
     return {r[0]: min(1.0, rows / r[1]) for r in counts}
 
 
@@ -122,23 +151,30 @@ def small_batches(spark: SparkSession) -> None:
 def map_texts(df: DataFrame, keep: list[str], schema: str, make: Callable[[], Callable]) -> DataFrame:
     """Maps whole texts in blocks: ``make()`` gives fn(data, off) -> new columns, once a task.
 
-    keep: columns passed through unchanged. The result has them and then ``schema``.
+    keep: columns passed through unchanged. The result has them and then ``schema``; a new column
+    takes the place of a kept one with its name.
     """
+    made_names = [x.split()[0] for x in schema.split(", ")]
+    keep = [k for k in keep if k.lower() not in made_names]
     kinds = dict(df.dtypes)
-    full = ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), schema])
+    at = keep.index("text") if "text" in keep else len(keep)
+    inner = [f"k{i}" for i in range(len(keep))]
+    full = ", ".join([*(f"{n} {kinds[k]}" for n, k in zip(inner, keep, strict=True)), *(f"m{i} {x.split(maxsplit=1)[1]}" for i, x in enumerate(schema.split(", ")))])
 
     def run(batches):
         fn = make()
         for b in batches:
-            data, off = text_buffer(b.column(len(keep)))
+            data, off = text_buffer(b.column(at))
             for lo, hi in blocks(off):
                 made = fn(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                cols = [b.column(i).slice(lo, hi - lo) for i in range(len(keep))] + [x if isinstance(x, pa.Array) else pa.array(x) for x in made]
-                yield pa.RecordBatch.from_arrays(cols, names=[str(i) for i in range(len(cols))]).rename_columns(names)
+                cols = [b.column(i).slice(lo, hi - lo) for i in range(len(inner))] + [x if isinstance(x, pa.Array) else pa.array(x) for x in made]
+                yield pa.RecordBatch.from_arrays(cols, names=[*inner, *(f"m{i}" for i in range(len(made_names)))])
 
-    names = [*keep, *(x.split()[0] for x in schema.split(", "))]
     small_batches(df.sparkSession)
-    return df.select(*(F.col(f"`{k}`") for k in keep), F.col("text").alias("__text")).mapInArrow(released(run), full)
+    sent = [F.col(f"`{k}`").alias(n) for n, k in zip(inner, keep, strict=True)]
+    if at == len(keep):
+        sent.append(F.col("text").alias("t"))
+    return df.select(*sent).mapInArrow(released(run), full).toDF(*keep, *made_names)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 60) -> np.ndarray:

@@ -4,39 +4,48 @@ A classifier fitted on the label table predicts each document's posterior over t
 (quality 1, not toxic), ``low`` (quality 0) and ``toxic``; its binary parts are the hashed n-gram
 regressions of the quality operator. Nonnegative rates of the documents are then fitted by projected
 gradient descent on the squared distance between the expected token totals of the domains,
-sum(rate * tokens * posterior), and their targets. The gradient of one document needs only the
-few domain residuals, so an iteration is one aggregation of a narrow table, whatever its size.
-Rates start at 1 and a document's step is scaled by its tokens. ``meet_targets`` preconditions the
-steps by the curvature of the documents whose rate is above 0, which is a matrix of the domains'
-size, and goes on until each domain is within NEAR of its own target. A rate is an expected number of
-copies: ``resample`` repeats or leaves out documents by it, with a hash of the id as the dice.
+sum(rate * tokens * posterior), and their targets. In each round a document's rate moves against its
+gradient, posterior . multiplier, and is projected on 0 and up. The multiplier is the residual of the
+domains divided by their curvature over the documents with a positive rate (a matrix of the domains'
+size), halved until the distance falls, so rare domains converge as fast as frequent ones.
+
+A round is one aggregation of a narrow table; the driver gets a few sums. A document's rate follows
+from its posteriors and the list of multipliers, so ``resample`` makes the copies in the pass that
+scores the text again: no text is joined or shuffled. A rate is an expected number of copies; the
+dice are a hash of the id.
 
 Defined results: null and wordless texts have no tokens, weigh nothing and keep rate 1; an empty
-table gives an empty result; without labels the posterior is even; repeated rows get equal rates.
-Targets that posteriors can't meet are approached by ROUNDS plain steps; a warning has the residuals.
+table gives an empty result; repeated rows get equal rates; other columns of docs may have any name.
+Targets that the posteriors can't meet (no labels, labels of one class) are approached as far as
+least squares goes. If a domain then misses its target by more than TOLERANCE, ``mix`` and
+``resample`` leave all rates at 1, so that nothing is lost to an impossible aim. Both warn with the residuals.
 """
 
 from __future__ import annotations
 
 import warnings
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.llm import ngram_lr
-from roadloom.llm.common import BROADCAST_ROWS, cut, map_texts, sigmoid, unit_hash
+from roadloom.llm.common import cut, map_texts, named, numbered, sigmoid, unit_hash
 from roadloom.llm.ngram_lr import NgramModel
 
 DOMAINS = ("good", "low", "toxic")
-#: Shares of the expected tokens. The first domain sets the size: it is wanted HEADROOM times in full.
+#: Shares of the expected tokens.
 TARGETS = {"good": 0.90, "low": 0.07, "toxic": 0.03}
+#: Without a size, the targets add up to what makes the first domain's HEADROOM times its own tokens,
+#: so that its documents stay and the others are thinned out or repeated.
 HEADROOM = 1.1
-ROUNDS, CHUNK = 60, 8
-#: Preconditioned steps, and halvings of one, before targets count as out of reach.
-STEPS, HALVINGS = 60, 12
-#: Relative distance from the targets at which the fit ends.
+#: Rounds, and halvings of one step, before targets count as out of reach.
+ROUNDS, HALVINGS = 60, 12
+#: Distance from each domain's own target, as a share of it, at which the fit ends.
 NEAR = 1e-4
+#: Beyond this distance the mixture is not applied.
+TOLERANCE = 0.1
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, rows: int = 1500) -> tuple[NgramModel, NgramModel]:
@@ -61,93 +70,78 @@ def posteriors(docs: DataFrame, parts: tuple[NgramModel, NgramModel], keep: list
     return map_texts(docs, keep, "n_tokens bigint, p_good double, p_low double, p_toxic double", make)
 
 
-def _step(rate: Column, residual: list[float], eta: float) -> Column:
-    pull = sum((F.col(f"p_{d}") * F.lit(r) for d, r in zip(DOMAINS, residual, strict=True)), F.lit(0.0))
-    return F.when(F.col("n_tokens") > 0, F.greatest(F.lit(0.0), rate - F.lit(eta) * pull)).otherwise(rate)
+@dataclass
+class Mixture:
+    """multipliers: by round, what a rate loses per posterior. residuals: by domain, as a share of its target."""
 
+    multipliers: list[list[float]]
+    residuals: dict[str, float]
 
-def fit_rates(soft: DataFrame, targets: dict[str, float] | None = None, rounds: int = ROUNDS, near: float = NEAR) -> DataFrame:
-    """soft with a column ``rate``.
+    @property
+    def met(self) -> bool:
+        return max(map(abs, self.residuals.values()), default=0.0) <= NEAR
 
-    targets are shares by domain. Their total is such that the first domain's target is HEADROOM times
-    the tokens expected of it, so that its documents stay and the others are thinned out or repeated.
-    """
-    targets = targets or TARGETS
-    state = soft.withColumn("rate", F.lit(1.0))
-    sums = [F.sum(F.col("n_tokens") * F.col(f"p_{d}")) for d in DOMAINS]
-    # the curvature of the fit in this scaling, for the step size: the trace bounds the largest one
-    trace = F.sum(F.col("n_tokens") * (sum((F.col(f"p_{d}") ** 2 for d in DOMAINS), F.lit(0.0))))
-    got = soft.agg(F.sum("n_tokens").alias("n"), trace.alias("trace"), *(x.alias(d) for x, d in zip(sums, DOMAINS, strict=True))).first()
-    total = got["n"] or 0
-    if not total:
-        return state
-    share = sum(targets.values())
-    have = [got[d] for d in DOMAINS]
-    first = targets.get(DOMAINS[0], 0.0) / share
-    size = HEADROOM * have[0] / first if first > 0 and have[0] > 0 else total
-    goal = [size * targets.get(d, 0.0) / share for d in DOMAINS]
-    eta = 1.0 / got["trace"]
-    for k in range(rounds):
-        residual = [float(h - g) for h, g in zip(have, goal, strict=True)]
-        if max(map(abs, residual)) <= near * total:
-            break
-        state = state.withColumn("rate", _step(F.col("rate"), residual, eta))
-        if k % CHUNK == CHUNK - 1:
-            state = cut(state)
-        row = state.agg(*(F.sum(F.col("rate") * F.col("n_tokens") * F.col(f"p_{d}")).alias(d) for d in DOMAINS)).first()
-        have = [row[d] for d in DOMAINS]
-    return state
+    def rate(self) -> Column:
+        """A document's rate from its columns n_tokens and p_*: the rounds applied one after the other."""
+        if not self.multipliers:
+            return F.lit(1.0)
+        rounds = F.array(*(F.array(*map(F.lit, m)) for m in self.multipliers))
+
+        def moved(rate: Column, m: Column) -> Column:
+            return F.greatest(F.lit(0.0), rate - sum((m[i] * F.col(f"p_{d}") for i, d in enumerate(DOMAINS)), F.lit(0.0)))
+
+        return F.when(F.col("n_tokens") > 0, F.aggregate(rounds, F.lit(1.0), moved)).otherwise(F.lit(1.0))
 
 
-def meet_targets(soft: DataFrame, targets: dict[str, float] | None = None, near: float = NEAR) -> tuple[DataFrame, dict[str, float]]:
-    """soft with the column ``rate``, and by domain the residual as a share of its target.
+def fit_rates(soft: DataFrame, targets: dict[str, float] | None = None, size: float | None = None, rounds: int = ROUNDS) -> Mixture:
+    """Projected gradient descent on soft (n_tokens, p_good, p_low, p_toxic).
 
-    Steps add up before the projection, so rates are max(0, 1 + posterior . c): of all nonnegative
-    rates with the target totals those closest to 1. Only c changes, and no table is kept between rounds.
+    targets: shares by domain, a missing one is 0. size: tokens of the whole mixture; by default
+    HEADROOM times the first domain's tokens over its share.
     """
     targets = targets or TARGETS
     k = len(DOMAINS)
 
-    def rate(c: np.ndarray) -> Column:
-        pull = sum((F.col(f"p_{d}") * F.lit(float(x)) for d, x in zip(DOMAINS, c, strict=True)), F.lit(1.0))
-        return F.when(F.col("n_tokens") > 0, F.greatest(F.lit(0.0), pull)).otherwise(F.lit(1.0))
-
-    def measure(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    def measure(multipliers: list) -> tuple[np.ndarray, np.ndarray]:
+        """Totals of the domains, and their curvature over the rows with a positive rate."""
         live = F.when(F.col("__r") > 0, F.col("n_tokens")).otherwise(F.lit(0))
         sums = [F.sum(F.col("__r") * F.col("n_tokens") * F.col(f"p_{d}")) for d in DOMAINS]
         sums += [F.sum(live * F.col(f"p_{d}") * F.col(f"p_{e}")) for d in DOMAINS for e in DOMAINS]
-        row = soft.withColumn("__r", rate(c)).agg(*(x.alias(str(i)) for i, x in enumerate([*sums, F.sum(F.col("n_tokens") * F.col("__r") ** 2)]))).first()
+        row = soft.withColumn("__r", Mixture(multipliers, {}).rate()).agg(*(x.alias(str(i)) for i, x in enumerate(sums))).first()
         got = np.array([x or 0.0 for x in row], float)
-        return got[:k], got[k:-1].reshape(k, k), got[-1] / 2
+        return got[:k], got[k:].reshape(k, k)
 
-    c = np.zeros(k)
-    have, curve, cost = measure(c)
-    if cost <= 0:
-        return soft.withColumn("rate", F.lit(1.0)), dict.fromkeys(DOMAINS, 0.0)
+    steps: list[list[float]] = []
+    have, curve = measure(steps)
+    if have.sum() <= 0:
+        return Mixture([], dict.fromkeys(DOMAINS, 0.0))
     share = np.array([targets.get(d, 0.0) for d in DOMAINS]) / sum(targets.values())
-    size = HEADROOM * have[0] / share[0] if share[0] > 0 and have[0] > 0 else have.sum()
+    if size is None:
+        size = HEADROOM * have[0] / share[0] if share[0] > 0 and have[0] > 0 else have.sum()
     goal = share * size
-    scale = np.maximum(goal, near * size)
-    ridge = 1e-9 * np.trace(curve) * np.eye(k)
-    for _ in range(STEPS):
+    scale = np.maximum(goal, NEAR * size)
+    for _ in range(rounds):
         residual = have - goal
-        if (np.abs(residual) <= near * scale).all():
-            return soft.withColumn("rate", rate(c)), dict(zip(DOMAINS, (residual / scale).tolist(), strict=True))
-        step = -np.linalg.solve(curve + ridge, residual)
+        if (np.abs(residual) <= NEAR * scale).all():
+            break
+        inverse = np.linalg.pinv(curve, rcond=1e-10, hermitian=True)
+        step, before = inverse @ residual, residual @ inverse @ residual
+        if before <= 1e-12 * have.sum():
+            break
         for half in range(HALVINGS):
-            to = c + step / 2**half
-            now = measure(to)
-            value = now[2] - to @ goal
-            if value <= cost + 1e-4 * (residual @ step) / 2**half + 1e-13 * abs(cost):
+            tried = [*steps, (step / 2**half).tolist()]
+            now, bent = measure(tried)
+            after = (now - goal) @ inverse @ (now - goal)
+            if after <= before * (1 - 0.1 / 2**half):
                 break
         else:
             break
-        c, (have, curve, _), cost = to, now, value
-    state = fit_rates(soft, targets)
-    row = state.agg(*(F.sum(F.col("rate") * F.col("n_tokens") * F.col(f"p_{d}")) for d in DOMAINS)).first()
-    left = dict(zip(DOMAINS, ((np.array(row, float) - goal) / scale).tolist(), strict=True))
-    warnings.warn(f"targets are out of reach; residuals as shares of the targets: {left}", stacklevel=2)
-    return state, left
+        steps, have, curve = tried, now, bent
+    left = dict(zip(DOMAINS, ((have - goal) / scale).tolist(), strict=True))
+    out = Mixture(steps, left)
+    if not out.met:
+        warnings.warn(f"targets are out of reach; residuals as shares of the targets: {left}", stacklevel=2)
+    return out
 
 
 def copies(rate: Column, doc_id: Column) -> Column:
@@ -155,23 +149,27 @@ def copies(rate: Column, doc_id: Column) -> Column:
     return F.floor(rate + unit_hash(doc_id, F.lit(5))).cast("int")
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """(doc_id, text_key, n_tokens, posteriors, rate) per row of docs."""
+def _fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None, size: float | None) -> tuple[tuple, DataFrame, Mixture]:
     parts = fit_classifier(docs, labels)
-    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("text_key"), "text")
-    return meet_targets(cut(posteriors(keyed, parts, ["doc_id", "text_key"])), targets)[0]
+    soft = cut(posteriors(docs, parts, ["doc_id"]))
+    found = fit_rates(soft, targets, size)
+    if max(map(abs, found.residuals.values())) > TOLERANCE:
+        found = Mixture([], found.residuals)
+    return parts, soft, found
 
 
-def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, size: float | None = None) -> DataFrame:
+    """(doc_id, n_tokens, posteriors, rate) per row of docs."""
+    _, soft, found = _fit(docs, labels, targets, size)
+    return soft.withColumn("rate", found.rate())
+
+
+def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, size: float | None = None) -> DataFrame:
     """docs with each document as often as its rate says."""
-    parts = fit_classifier(docs, labels)
-    soft = cut(posteriors(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("text_key"), "text"), parts, ["doc_id", "text_key"]))
-    rates = meet_targets(soft, targets)[0].select("text_key", copies(F.col("rate"), F.col("doc_id")).alias("__n")).dropDuplicates(["text_key"])
-    changed = cut(rates.where("__n <> 1"))
-    side = F.broadcast(changed) if changed.count() <= BROADCAST_ROWS else changed
-    joined = docs.join(side, F.xxhash64("doc_id", "text") == F.col("text_key"), "left")
-    times = F.coalesce("__n", F.lit(1))
-    return joined.withColumn("__i", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
+    plain, names = numbered(docs)
+    parts, _, found = _fit(plain, labels, targets, size)
+    scored = posteriors(plain, parts, names)
+    return named(scored.withColumn("__i", F.explode(F.array_repeat(F.lit(0), copies(found.rate(), F.col("doc_id"))))), names, docs)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,26 +17,83 @@ def soft_rows(spark, p, n):
     return spark.createDataFrame(rows, "doc_id long, n_tokens long, p_good double, p_low double, p_toxic double")
 
 
+def rates_of(soft, found):
+    return np.array([r.rate for r in soft.withColumn("rate", found.rate()).orderBy("doc_id").collect()])
+
+
+def brute_rates(n, p, goal):
+    """Nonnegative least squares by coordinate descent over the rows, one at a time."""
+    r, have = np.ones(len(n)), n @ p
+    for _ in range(400):
+        for i in np.flatnonzero(n > 0):
+            v = n[i] * p[i] / goal
+            new = max(0.0, r[i] - v @ ((have - goal) / goal) / (v @ v))
+            have = have + (new - r[i]) * n[i] * p[i]
+            r[i] = new
+        if (np.abs(have / goal - 1) < 1e-6).all():
+            break
+    return r, have
+
+
 @pytest.mark.parametrize("logit", [2, 4])
 def test_mixing_meets_each_target(spark, logit):
     rng = np.random.default_rng(logit)
     kind = rng.choice(3, 2000, p=[0.97, 0.02, 0.01])
     q, t = (1 / (1 + np.exp(-(np.where(x, logit, -logit) + rng.normal(0, 0.7, 2000)))) for x in (kind == 0, kind == 2))
     p, n = np.column_stack([q * (1 - t), (1 - q) * (1 - t), t]), rng.integers(0, 500, 2000)
-    got, left = mixing.meet_targets(soft_rows(spark, p, n))
-    rate = np.array([r.rate for r in got.orderBy("doc_id").collect()])
+    soft = soft_rows(spark, p, n)
+    found = mixing.fit_rates(soft)
+    rate = rates_of(soft, found)
     goal = np.array([mixing.TARGETS[d] for d in mixing.DOMAINS]) * mixing.HEADROOM * (n @ p)[0] / mixing.TARGETS["good"]
     assert (rate >= 0).all() and (rate[n == 0] == 1).all()
     assert np.allclose((rate * n) @ p / goal, 1, atol=2 * mixing.NEAR)
-    assert max(map(abs, left.values())) <= mixing.NEAR
+    assert found.met and max(map(abs, found.residuals.values())) <= mixing.NEAR
+    # the rates are those of the rounds, applied with numpy
+    again = np.ones(len(n))
+    for m in found.multipliers:
+        again = np.maximum(0, again - p @ np.array(m))
+    assert np.allclose(rate[n > 0], again[n > 0])
+
+
+def test_mixing_agrees_with_another_solver(spark):
+    rng = np.random.default_rng(6)
+    p, n = rng.dirichlet([0.4, 0.3, 0.3], 300), rng.integers(0, 500, 300)
+    goal = np.array([0.5, 0.2, 0.3]) * 60_000
+    _, have = brute_rates(n, p, goal)
+    assert np.allclose(have / goal, 1, atol=1e-5)  # so the targets can be met
+    soft = soft_rows(spark, p, n)
+    found = mixing.fit_rates(soft, {"good": 0.5, "low": 0.2, "toxic": 0.3}, 60_000)
+    assert np.allclose((rates_of(soft, found) * n) @ p / goal, 1, atol=2 * mixing.NEAR)
 
 
 def test_mixing_tells_what_is_out_of_reach(spark):
-    soft = soft_rows(spark, np.tile([0.9, 0.08, 0.02], (50, 1)), np.full(50, 100))
+    p = np.tile([0.9, 0.08, 0.02], (50, 1))
+    soft = soft_rows(spark, p, np.full(50, 100))
+    with pytest.warns(UserWarning, match="out of reach"):
+        found = mixing.fit_rates(soft)
+    goal = np.array([0.90, 0.07, 0.03]) / 0.90 * 1.1 * 4500
+    have = (rates_of(soft, found) * 100) @ p
+    best = p[0] * 5000 * (p[0] @ goal) / (p[0] @ p[0]) / 5000  # all rows are alike: one number to choose
+    assert np.allclose(have, best, rtol=1e-6) and max(map(abs, found.residuals.values())) > 0.1
+    assert mixing.fit_rates(soft.limit(0)).multipliers == []
+    assert mixing.fit_rates(soft.withColumn("n_tokens", F.lit(0).cast("long"))).multipliers == []
+
+
+@pytest.mark.parametrize("quality", [0, 1, None])
+def test_mixing_with_labels_of_one_class_loses_nothing(spark, quality):
+    docs = spark.createDataFrame([(i, f"some words of text {i}", "en", "s", 20) for i in range(40)], DOCS)
+    labels = spark.createDataFrame([(i, quality, 0) for i in range(40)], "doc_id long, quality int, toxic int")
     with pytest.warns(UserWarning, match="out of reach"):
-        got, left = mixing.meet_targets(soft)
-    assert max(map(abs, left.values())) > 0.1 and got.agg(F.min("rate")).first()[0] >= 0
-    assert mixing.meet_targets(soft.limit(0))[0].count() == 0
+        assert mixing.resample(docs, labels).count() == 40
+
+
+def test_mixing_moves_no_text(spark):
+    docs = spark.createDataFrame([(i, f"some words of text {i}", "en", "s", 20) for i in range(40)], DOCS)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    with pytest.warns(UserWarning):
+        out = mixing.resample(docs, labels)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
 
 
 # ---- 4 ---------------------------------------------------------------------------------------------

@@ -400,32 +400,6 @@ def test_scores_of_odd_texts(spark):
     assert q[6] == q[7] and q[0] == q[1] and all(0 <= x <= 1 for x in q.values())
 
 
-def brute_rates(n, p, target, near):
-    r, total = np.ones(len(n)), n.sum()
-    size = mixing.HEADROOM * (n @ p)[0] / target[0]
-    eta = 1 / (n[:, None] * p**2).sum()
-    for _ in range(mixing.ROUNDS):
-        res = (r * n) @ p - target * size
-        if np.abs(res).max() <= near * total:
-            break
-        r = np.where(n > 0, np.maximum(0, r - eta * (p @ res)), r)
-    return r
-
-
-def test_mixing_rates(spark):
-    rng = np.random.default_rng(5)
-    p = rng.dirichlet([0.4, 0.3, 0.3], 300)
-    n = rng.integers(0, 500, 300)
-    df = spark.createDataFrame([(i, int(n[i]), *map(float, p[i])) for i in range(300)], "doc_id long, n_tokens long, p_good double, p_low double, p_toxic double")
-    got = np.array([r.rate for r in mixing.fit_rates(df).orderBy("doc_id").collect()])
-    target = np.array([mixing.TARGETS[d] for d in mixing.DOMAINS])
-    assert np.allclose(got, brute_rates(n, p, target, mixing.NEAR), atol=1e-6) and (got >= 0).all()
-    mix = (got * n) @ p
-    assert np.allclose(mix / mix.sum(), target, atol=0.03)
-    assert mixing.fit_rates(df.limit(0)).count() == 0
-    assert mixing.fit_rates(df.withColumn("n_tokens", F.lit(0).cast("long"))).agg(F.max("rate")).first()[0] == 1
-
-
 def test_copies_have_the_rate_as_mean(spark):
     m = spark.range(20_000).select(mixing.copies(F.lit(1.3), F.col("id")).alias("c")).agg(F.mean("c"), F.max("c")).first()
     assert abs(m[0] - 1.3) < 0.02 and m[1] == 2
@@ -435,8 +409,15 @@ def test_copies_have_the_rate_as_mean(spark):
 def test_mixing_of_documents(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
     out = mixing.resample(docs, labels)
-    assert out.columns == docs.columns and 0.5 * docs.count() < out.count() < 1.5 * docs.count()
-    assert out.select("doc_id").distinct().join(docs, "doc_id", "left_anti").count() == 0
+    assert out.columns == docs.columns
+    want = mixing.op5_mixing(spark, DATA).where("copies > 0").select("doc_id", "copies")
+    got = out.groupBy("doc_id").count()
+    assert got.count() == want.count() == got.join(want, "doc_id").where("count = copies").count()
+    soft = mixing.op5_mixing(spark, DATA).toPandas()
+    total = np.array([(soft.rate * soft.n_tokens * soft[f"p_{d}"]).sum() for d in mixing.DOMAINS])
+    assert np.allclose(total / total.sum(), [mixing.TARGETS[d] for d in mixing.DOMAINS], rtol=1e-3)
+    drawn = np.array([(soft.copies * soft.n_tokens * soft[f"p_{d}"]).sum() for d in mixing.DOMAINS])
+    assert np.allclose(drawn / total, 1, rtol=0.1)
 
 
 @real
