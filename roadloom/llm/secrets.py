@@ -4,8 +4,10 @@ White-space tokens get the tags outside, begin and inside. Features are the toke
 of letters, digits and other characters by class, length class), its changes between letters and
 digits, the hashed neighbouring words, their shapes, and a class of the whole file (how much of it
 is punctuation and digits). The field is fitted on silver tags from the base patterns over a
-bounded sample and decoded by Viterbi; a line is a sequence. Decoded tokens that touch no base span
-are added as spans of the kind ``crf``; base spans always stay.
+bounded sample and decoded by Viterbi; a line is a sequence. Each tagged line is also shown with
+other names and values of other alphabets and lengths in the place of its secret, tagged alike, so
+that the field learns the look and the place of a secret and not the base patterns. Decoded tokens
+that touch no base span are added as spans of the kind ``crf``; base spans always stay.
 
 Defined results: null and empty texts have no span; without a base match in the sample nothing is
 added; repeated rows get equal results; offsets are code points, ends are exclusive.
@@ -36,10 +38,17 @@ _HEX = np.zeros(256, bool)
 _HEX[48:58] = _HEX[97:103] = True
 
 BITS = 16
-#: Rows of the corpus that are searched for silver tags, and rows kept of those.
-FIT_SEARCH, FIT_ROWS = 40_000, 1500
-#: Share of the rows without a hint of a base match in the sample.
-OTHERS = 0.02
+#: Rows of the corpus that are searched for silver tags, and rows kept of those: half with a hint, half without.
+FIT_SEARCH, FIT_ROWS = 40_000, 1000
+#: Names, what parts them from the value, and alphabets of the other forms shown of a tagged line, and how many of them.
+NAMES = ("credential", "auth", "key", "pwd", "signature", "client_key", "access", "login", "bearer", "private_key")
+PARTED = (' = "', ': "', '="', ":'", ": ", "=", ' => "', " := ")
+ALPHABETS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
+FORMS, FORM_LINES = 6, 200
+#: Epochs of the fit, and tokens after which it parts a line of its sample (decoding never does).
+FIT_EPOCHS, FIT_LINE = 30, 200
+#: Shorter values are not added.
+MIN_ADDED = 8
 
 
 def base_spans(data: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -133,33 +142,65 @@ def silver_tags(w: Words, spans: list[tuple[int, int, int, int]]) -> np.ndarray:
     return tag
 
 
+def other_forms(data: np.ndarray, spans: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]:
+    """Lines with a base span, the secret in them written in other ways: their bytes, offsets and spans."""
+    rng = np.random.default_rng(3)
+    raw, lines, out, at = data.tobytes(), [], [], 0
+    step = max(1, len(spans) // FORM_LINES)
+    for _, s, e, kind in spans[::step]:
+        lo, hi = raw.rfind(b"\n", 0, s) + 1, raw.find(b"\n", e)
+        lo, hi = max(lo, s - 200), min(len(raw) if hi < 0 else hi, e + 200)
+        found = ASSIGN.match(raw, s, e) if kind == 0 else None
+        value = found.start(1) if found else s
+        for form in range(FORMS):
+            letters = ALPHABETS[int(rng.integers(len(ALPHABETS)))]
+            secret = "".join(letters[i] for i in rng.integers(0, len(letters), int(rng.integers(16, 45)))).encode()
+            head, after = raw[s:value], raw[e:hi]
+            if found and form:
+                parted = PARTED[int(rng.integers(len(PARTED)))]
+                head = (NAMES[int(rng.integers(len(NAMES)))] + parted).encode()
+                after = after[after[:1] in (b'"', b"'") :]
+                if parted[-1] in "\"'":
+                    after = parted[-1].encode() + after
+            before, after = (x.decode("utf-8", "ignore").encode() for x in (raw[lo:s], after))
+            line = before + head + secret + after
+            out.append((len(lines), at + len(before), at + len(before) + len(head) + len(secret), kind))
+            lines.append(line)
+            at += len(line)
+    return np.frombuffer(b"".join(lines), np.uint8), np.cumsum([0, *map(len, lines)]), out
+
+
 def fit(docs: DataFrame, search: int = FIT_SEARCH, rows: int = FIT_ROWS) -> SecretModel:
     """Fits on a bounded sample: of about ``search`` rows about ``rows``, chosen by hash from all of them.
 
-    It holds the rows that a hint of a base match marks and OTHERS of the rest, or the same share of
-    both where that is more than ``rows``.
+    Half of it are rows that a hint of a base match marks, half are others; more of one where the other has fewer.
     """
     total = docs.select("doc_id").count()
-    part = docs.where(F.octet_length("text") <= FIT_TEXT_BYTES)
-    if total > search:
-        part = part.where(unit_hash(F.col("doc_id"), F.lit(3)) < search / total)
+    key = F.xxhash64("doc_id", "text")
     hint = F.col("text").rlike(r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
-    part = part.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"), F.when(hint, 1.0).otherwise(OTHERS).alias("share"))
-    wanted = part.agg(F.sum("share")).first()[0] or 0.0
-    part = part.where(unit_hash(F.col("key"), F.lit(5)) < F.col("share") * min(1.0, rows / max(wanted, 1.0)))
-    got = part.select("key", "text").limit(2 * rows).toArrow().sort_by([("key", "ascending")])
+    part = docs.where(F.octet_length("text") <= FIT_TEXT_BYTES).where(unit_hash(key, F.lit(3)) < search / max(total, 1)).select(key.alias("key"), "text", hint.alias("hint"))
+    counts = {r[0]: r[1] for r in part.groupBy("hint").count().collect()}
+    marked, others = counts.get(True, 0), counts.get(False, 0)
+    share = F.when(F.col("hint"), F.lit(max(rows / 2, rows - others) / max(marked, 1))).otherwise(F.lit(max(rows / 2, rows - marked) / max(others, 1)))
+    got = part.where(unit_hash(F.col("key"), F.lit(5)) < share).select("key", "text").limit(2 * rows).toArrow().sort_by([("key", "ascending")])
     data, off = text_parts(got.column("text"))
     w, line = tokens(data, off)
-    if not len(w.start):
-        return SecretModel(None)
-    tag = silver_tags(w, base_spans(data, off))
+    spans = base_spans(data, off) if len(w.start) else []
+    tag = silver_tags(w, spans)
     if not (tag > 0).any():
         return SecretModel(None)
-    return SecretModel(fit_chain(fields(data, off, w, line), tag, line, BITS, 3, epochs=30))
+    index = fields(data, off, w, line)
+    more, more_off, more_spans = other_forms(data, spans)
+    more_w, more_line = tokens(more, more_off)
+    index = [np.concatenate(x) for x in zip(index, fields(more, more_off, more_w, more_line), strict=True)]
+    tag = np.concatenate([tag, silver_tags(more_w, more_spans)])
+    first = np.concatenate([line, len(w.start) + more_line[1:]])
+    first = np.unique(np.concatenate([first, *(np.arange(a, b, FIT_LINE) for a, b in zip(first[:-1], first[1:], strict=True) if b - a > FIT_LINE)]))
+    return SecretModel(fit_chain(index, tag, first, BITS, 3, epochs=FIT_EPOCHS))
 
 
 def added_spans(model: SecretModel, data: np.ndarray, off: np.ndarray, base: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """Viterbi spans without the tokens that touch a base span; quotes and brackets around them go.
+    """Viterbi spans without the tokens that touch a base span; quotes and brackets around them go, and short ones.
 
     A decoded run is cut at base spans, and what is left of it on either side is a span of its own.
     """
@@ -179,7 +220,7 @@ def added_spans(model: SecretModel, data: np.ndarray, off: np.ndarray, base: lis
         piece = data[s:e].tobytes()
         s += len(piece) - len(piece.lstrip(b"\"'([{<"))
         e -= len(piece) - len(piece.rstrip(b"\"')]}>,;."))
-        if e > s:
+        if e - s >= MIN_ADDED:
             out.append((int(w.row[hot[i]]), s, e, 3))
         i = j
     return out
