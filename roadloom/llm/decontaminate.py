@@ -7,7 +7,8 @@ Hits are gathered per document; spans of hit words or whole documents can then b
 
 Defined results: null and wordless texts have no words and no hit; null or wordless items have no
 window; an item id that occurs twice counts once; repeated documents each give a row; a document
-word inside several windows counts once.
+word inside several windows counts once; other columns of docs may have any name. A document is
+found again by its id and 128 bits of SHA-256 over its text, so rows with one id stay apart.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import BROADCAST_ROWS, cut
+from roadloom.llm.common import BROADCAST_ROWS, cut, named, numbered, text_key
 
 WINDOW = 10
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -69,25 +70,29 @@ def with_window_hashes(df: DataFrame, widths: list[int], column: str = "w") -> D
     return df.drop(*(c for c in df.columns if c.startswith("__h")))
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Per row of docs: row_key, doc_id, n_words, spans (word ranges, start included, end not), items."""
+def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, keyed: bool = False) -> DataFrame:
+    """Per row of docs: row_key, doc_id, n_words, spans (word ranges, start included, end not), items.
+
+    keyed: with the column text_key, which beside doc_id tells rows apart.
+    """
     known = item_windows(benchmark, size)
     widths = sorted(r[0] for r in known.select("width").distinct().collect())
+    own = ["row_key", "doc_id", "text_key", "n_words"] if keyed else ["row_key", "doc_id", "n_words"]
     base = docs.select(
         "doc_id",
-        F.xxhash64("doc_id", "text").alias("text_key"),
+        text_key().alias("text_key"),
         words(F.col("text")).alias("w"),
         F.monotonically_increasing_id().alias("row_key"),
     ).withColumn("n_words", F.size("w").cast("long"))
     if not widths:
         none = F.array().cast("array<struct<start:int,stop:int>>")
-        return base.select("row_key", "doc_id", "text_key", "n_words", none.alias("spans"), F.array().cast("array<string>").alias("items"))
+        return base.select(*own, none.alias("spans"), F.array().cast("array<string>").alias("items"))
     hashed = with_window_hashes(known.withColumn("w", F.split("w_text", " ")), widths)
-    own = F.coalesce(*(F.when(F.col("width") == k, F.get(f"hash_{k}", F.lit(0))) for k in widths))
-    known = cut(hashed.select("width", own.alias("w_hash"), "w_text", "items"))
+    hash_of = F.coalesce(*(F.when(F.col("width") == k, F.get(f"hash_{k}", F.lit(0))) for k in widths))
+    known = cut(hashed.select("width", hash_of.alias("w_hash"), "w_text", "items"))
     small = known.agg(F.sum(F.size("items") + 1)).first()[0] <= BROADCAST_ROWS
     base = with_window_hashes(base, widths)
-    kept = ["row_key", "doc_id", "text_key", "n_words", "w"]
+    kept = [*own, "w"]
     if len(widths) == 1:
         each = base.select(*kept, F.posexplode_outer(f"hash_{widths[0]}").alias("at", "hash"), F.lit(widths[0]).alias("wide"))
     else:
@@ -99,15 +104,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame
         known = F.broadcast(known)
         same = window == F.col("w_text")
     else:  # the words themselves don't travel
-        each = each.select("row_key", "doc_id", "text_key", "n_words", "at", "hash", "wide", window.alias("window"))
+        each = each.select(*own, "at", "hash", "wide", window.alias("window"))
         same = F.col("window") == F.col("w_text")
     hit = F.col("w_text").isNotNull()
     found = (
         each.join(known, (F.col("hash") == F.col("w_hash")) & (F.col("wide") == F.col("width")) & same, "left")
         .where(hit | lead)
-        .select("row_key", "doc_id", "text_key", "n_words", F.when(hit, F.struct(F.col("at").alias("start"), (F.col("at") + F.col("wide")).alias("stop"))).alias("span"), "items")
+        .select(*own, F.when(hit, F.struct(F.col("at").alias("start"), (F.col("at") + F.col("wide")).alias("stop"))).alias("span"), "items")
     )
-    return found.groupBy("row_key", "doc_id", "text_key", "n_words").agg(
+    return found.groupBy(*own).agg(
         F.sort_array(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
     )
 
@@ -131,19 +136,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     """
     if mode not in ("documents", "spans"):
         raise ValueError(f"mode is documents or spans, not {mode!r}")
-    bad = scan(docs, benchmark, size).where(F.size("spans") > 0).groupBy("text_key").agg(F.first("spans").alias("spans"))
-    bad = cut(bad if mode == "spans" else bad.select("text_key"))
-    load = bad.agg(F.sum(F.size("spans")) if mode == "spans" else F.count("*")).first()[0] or 0
-    key = F.xxhash64("doc_id", "text") == F.col("text_key")
+    plain, names = numbered(docs)
+    bad = scan(plain, benchmark, size, keyed=True).where(F.size("spans") > 0).groupBy(F.col("doc_id").alias("__id"), "text_key").agg(F.first("spans").alias("__spans"))
+    bad = cut(bad if mode == "spans" else bad.drop("__spans"))
+    load = bad.agg(F.sum(F.size("__spans")) if mode == "spans" else F.count("*")).first()[0] or 0
+    key = F.col("doc_id").eqNullSafe(F.col("__id")) & (text_key() == F.col("text_key"))
     side = F.broadcast(bad) if load <= BROADCAST_ROWS else bad
     if mode == "documents":
-        return docs.join(side, key, "left_anti")
-    side = side.withColumnRenamed("spans", "__spans")
+        return named(plain.join(side, key, "left_anti"), names, docs)
     piece = F.regexp_extract_all("text", F.lit(f"([{_RAW_SEPARATORS}]*[^{_RAW_SEPARATORS}]+)"), F.lit(1))
     tail = F.regexp_extract("text", f"[{_RAW_SEPARATORS}]*\\z", 0)
     clean = F.concat(F.array_join(F.filter(piece, lambda _p, i: ~F.exists("__spans", lambda s: (i >= s["start"]) & (i < s["stop"]))), ""), tail)
     text = F.when(F.col("__spans").isNotNull(), clean).otherwise(F.col("text"))
-    return docs.join(side, key, "left").withColumn("text", text).select(*docs.columns)
+    return named(plain.join(side, key, "left").withColumn("text", text), names, docs)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,8 +24,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used where no key is given; a deployment passes its own.
-DEMO_KEY = "demonstration key"
+from roadloom.llm.common import numbered
+
+#: Key of the query over the test tables only; the library asks for one.
+QUERY_KEY = "key of the test query"
 ROUNDS = 8
 CARD = r"[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{4}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5}|[0-9]{13,19}"
 DATE = r"(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9]|[0-3][0-9](?:/[01][0-9]/|\.[01][0-9]\.)(?:19|20)[0-9]{2}"
@@ -154,15 +156,21 @@ def pseudonym(value: Column, key: Column, back: bool = False) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = DEMO_KEY, back: bool = False) -> DataFrame:
-    """docs with every validated value in ``text`` replaced; adds array ``changed`` of (kind, old, new)."""
+def pseudonymise(docs: DataFrame, key: str, back: bool = False) -> DataFrame:
+    """docs with every validated value in ``text`` replaced; adds array ``changed`` of (kind, old, new).
+
+    A column ``changed`` of docs gives way to it; other columns may have any name. The key is a
+    literal of the plan, so whoever may read the plans of a session (event logs) can read it.
+    """
+    docs = docs.drop("changed")
+    plain, names = numbered(docs)
     text = F.coalesce("text", F.lit(""))
-    found = docs.withColumn("__m", F.when(text.rlike("[0-9][^A-Za-z]*[0-9]"), F.regexp_extract_all(text, F.lit(f"({PATTERN})"), F.lit(1))).otherwise(F.array().cast("array<string>")))
+    found = plain.withColumn("__m", F.when(text.rlike("[0-9][^A-Za-z]*[0-9]"), F.regexp_extract_all(text, F.lit(f"({PATTERN})"), F.lit(1))).otherwise(F.array().cast("array<string>")))
     found = found.withColumn("__c", F.transform("__m", lambda v: F.struct(kind_of(v).alias("kind"), v.alias("old"), pseudonym(v, F.lit(key), back).alias("new"))))
     parts = F.transform(F.split("text", PATTERN, -1), lambda p, i: F.concat(p, F.coalesce(F.get(F.col("__c"), i)["new"], F.lit(""))))
     new = F.when(F.size("__c") > 0, F.array_join(parts, "")).otherwise(F.col("text"))
-    others = [F.col(f"`{c}`") if c != "text" else new.alias("text") for c in docs.columns]
-    return found.select(*others, F.filter("__c", lambda c: c["kind"].isNotNull()).alias("changed"))
+    others = [F.col(n) if n != "text" else new.alias("text") for n in names]
+    return found.select(*others, F.filter("__c", lambda c: c["kind"].isNotNull()).alias("changed")).toDF(*docs.columns, "changed")
 
 
 KINDS = ("card", "date", "phone", "ssn", "ip")
@@ -170,7 +178,7 @@ KINDS = ("card", "date", "phone", "ssn", "ip")
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = pseudonymise(docs)
+    out = pseudonymise(docs, QUERY_KEY)
 
     def count(kind: str) -> Column:
         return F.size(F.filter("changed", lambda c: c["kind"] == kind)).cast("long").alias(f"n_{kind}")

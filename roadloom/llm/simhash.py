@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import BROADCAST_ROWS, cut, map_texts
+from roadloom.llm.common import BROADCAST_ROWS, cut, map_texts, named, numbered, text_key
 from roadloom.llm.components import connected_components
 from roadloom.llm.textbytes import LOWER, NOT_SPACE, find_words, released, row_sums
 
@@ -233,19 +233,24 @@ def near_duplicates(docs: DataFrame, bound: int = BOUND) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, bound: int = BOUND) -> DataFrame:
-    """docs with one row of each near-duplicate group: the one with the smallest doc_id, then text hash.
+    """docs with one row of each near-duplicate group: the one with the smallest doc_id, then text key.
 
-    A row is known by its id and text, as ids may be null or repeated; null ids come last.
+    A row is known by its id and 128 bits of SHA-256 over its text, as ids may be null or repeated;
+    null ids come last. Only keys are grouped. Texts move in two cases: rows that are repeated as they
+    are (to keep one of each), and all rows once if more than BROADCAST_ROWS keys go.
     """
-    key = F.xxhash64("text")
-    marked = cut(fingerprints(docs.select("doc_id", key.alias("__key"), "text"), ["doc_id", "__key"]))
+    plain, names = numbered(docs)
+    plain = plain.withColumn("__key", text_key())
+    marked = cut(fingerprints(plain, ["doc_id", "__key"]))
     row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__key").alias("key"))
-    groups = cut(_grouped(marked, "__least", F.min(row), bound).select("doc_id", "__key", (row == F.col("__least")).alias("__stays")))
-    gone = groups.where(~F.col("__stays")).select(F.col("doc_id").alias("__id"), F.col("__key").alias("__gone")).distinct()
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    kept = docs.withColumn("__key", key).join(side, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__gone")), "left_anti")
-    repeats = groups.where("__stays").groupBy("doc_id", "__key").count().where("count > 1").limit(1).count()
-    return (kept.dropDuplicates(["doc_id", "__key"]) if repeats else kept).drop("__key")
+    groups = cut(_grouped(marked, "__least", F.min(row), bound).groupBy(F.col("doc_id").alias("__id"), F.col("__key").alias("__own")).agg(F.first((F.col("doc_id").eqNullSafe(F.col("__least.id"))) & (F.col("__key") == F.col("__least.key"))).alias("__stays"), F.count("*").alias("__n")))
+    gone, repeated = groups.where("not __stays").select("__id", "__own"), groups.where("__stays and __n > 1").select("__id", "__own")
+    most = groups.agg(F.count_if(~F.col("__stays")), F.count_if(F.col("__stays") & (F.col("__n") > 1))).first()
+    gone, repeated = (F.broadcast(x) if n <= BROADCAST_ROWS else x for x, n in zip((gone, repeated), most, strict=True))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__own"))
+    kept = plain.join(gone, same, "left_anti")
+    once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "__key"])
+    return named(kept.join(repeated, same, "left_anti").unionByName(once), names, docs)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,10 +11,12 @@ one slice of the payload; no other document is decompressed.
 
 The tokenizer works on whole texts. Pieces between single blanks are looked up in a table that keeps
 the ids of pieces seen before; a blank between two characters that aren't white space always begins
-a new pre-token, so the ids are those of the whole text. Other texts are encoded as they are.
+a new pre-token, so the ids are those of the whole text. Other texts, and those that hold the string
+of an added token, are encoded as they are.
 
 Defined results: null and empty texts have the end id only; a null doc_id sorts first; repeated ids
-keep one entry each, side by side; strings of special tokens in a text are ordinary text.
+keep one entry each, side by side; strings of special tokens in a text become those tokens, as the
+tokenizers library has it by default; columns but doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from roadloom.llm.textbytes import blocks, find_words, hash_words, released, tex
 
 END_ID = 0
 PACK = 1 << 20
+#: Bytes of frames in a shard, the number of shards from which on they grow, and how large they get.
+SHARD, MANY, LARGE_SHARD = 32 << 20, 10_000, 1 << 30
 DICTIONARY_BYTES = 64 << 10
 #: Documents whose ids the dictionary is trained on, and the longest of them in characters.
 FIT_ROWS, FIT_CHARS = 1500, 8000
@@ -117,8 +121,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.parts = self.tok.normalizer is None and isinstance(self.tok.pre_tokenizer, pre_tokenizers.ByteLevel) and not self.tok.pre_tokenizer.add_prefix_space
+        self.added = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+        self.parts = self.tok.normalizer is None and isinstance(self.tok.pre_tokenizer, pre_tokenizers.ByteLevel) and not self.tok.pre_tokenizer.add_prefix_space and not any(b" " in a for a in self.added)
         self.table = IdTable(MEMO)
         self.opens = np.zeros(self.tok.get_vocab_size(), bool)
         if self.parts:
@@ -163,6 +167,11 @@ class PieceEncoder:
         begin, count, flat = self.table.find(kind, check[rep])
         new = np.flatnonzero(begin < 0)
         raw = data.tobytes()
+        for added in self.added:
+            at = raw.find(added)
+            while at >= 0:
+                odd[np.searchsorted(off, at, "right") - 1] = True
+                at = raw.find(added, at + 1)
         if len(new):
             at = rep[new]
             ids, sizes = self._learn([raw[a:b] for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)])
@@ -219,7 +228,7 @@ def _encode_batches(path: str, end_id: int):
 def train_dictionary(docs: DataFrame, path: str, width: int, end_id: int = END_ID, rows: int = FIT_ROWS) -> bytes:
     """A zstandard dictionary from the serialized ids of a bounded sample of shorter documents."""
     total = docs.select("doc_id").count()
-    part = docs.where(F.length("text") <= FIT_CHARS).where(unit_hash(F.col("doc_id"), F.lit(11)) < rows / max(total, 1))
+    part = docs.where(F.length("text") <= FIT_CHARS).where(unit_hash(F.col("doc_id"), F.col("text"), F.lit(11)) < rows / max(total, 1))
     step = _encode_batches(path, end_id)
 
     def run(batches):
@@ -271,7 +280,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
     docs.mapInArrow(released(compress), "doc_id bigint, n bigint, frame binary").write.option("compression", "none").parquet(stage)
     frames = spark.read.parquet(stage)
     size = frames.agg(F.sum(F.length("frame"))).first()[0] or 0
-    parts = max(1, min(10_000, int(size // (32 << 20)) + 1), spark.sparkContext.defaultParallelism)
+    parts = max(min(MANY, size // SHARD + 1), size // LARGE_SHARD, spark.sparkContext.defaultParallelism)
     ordered = frames.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "n", F.xxhash64("frame")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", F.xxhash64("frame"))
     ordered = ordered.withColumn("shard", F.spark_partition_id())
 

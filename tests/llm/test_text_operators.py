@@ -210,12 +210,11 @@ def test_embeddings_match_brute_force(spark):
 def test_token_files_round_trip(spark, tmp_path):
     from tokenizers import Tokenizer
 
-    texts = odd_texts() + ["a  b", " lead", "x \n y", "a.\nB c!?\nDé,", "<|endoftext|> b", "don't it's 123"]
+    texts = odd_texts() + ["a  b", " lead", "x \n y", "a.\nB c!?\nDé,", "<|endoftext|> b", "a <|endoftext|> b<|endoftext|>", "<|endoftext|>", "don't it's 123"]
     docs = documents(spark, texts).orderBy(F.col("doc_id").desc())
     folder = token_files.write(docs, str(tmp_path / "files"))
     got = sorted((r.doc_id, r.start, bytes(r.ids)) for r in token_files.read(spark, folder).collect())
     tok = Tokenizer.from_file(token_files.default_tokenizer())
-    tok.encode_special_tokens = True
     start = 0
     for (i, s, b), t in zip(got, texts, strict=True):
         ids = tok.encode(t or "", add_special_tokens=False).ids + [0]
@@ -247,8 +246,8 @@ def test_piece_encoder_is_the_tokenizer(name, sample):
 
     enc = token_files.PieceEncoder(public_tokenizers.path(name))
     tok = Tokenizer.from_file(public_tokenizers.path(name))
-    tok.encode_special_tokens = True
-    texts = sample.text.tolist()[:200]
+    marks = [t.content for t in tok.get_added_tokens_decoder().values()]
+    texts = sample.text.tolist()[:200] + [f"{a} {m} {b}" for m in marks for a, b in (("x", "y"), ("", ""), (m, "z."))] + [f"x{m}y w" for m in marks]
     assert [np.frombuffer(b, "<u4").tolist() for b in enc.encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
@@ -289,7 +288,8 @@ def test_secret_field_finds_what_the_base_patterns_miss(spark, sample):
     hidden = [value(mixed) for _ in range(120)]
     unknown = [put(t, forms[i % 3].format(v)) for i, (t, v) in enumerate(zip(plain[150:270], hidden, strict=True))]
     docs = documents(spark, known + unknown + plain[270:])
-    model = secrets.fit(docs)
+    seen = docs.where("not doc_id between 150 and 269")  # the unknown forms are in no row of the fit
+    model = secrets.fit(seen)
     out = {r.doc_id: r for r in secrets.scan(docs, model, ["doc_id"]).collect()}
     right = wrong = 0
     for i, r in out.items():
@@ -300,7 +300,7 @@ def test_secret_field_finds_what_the_base_patterns_miss(spark, sample):
             hit = 150 <= i < 270 and hidden[i - 150] in text[s:e]
             right, wrong = right + hit, wrong + (not hit)
     assert right >= 0.7 * len(hidden) and right >= 0.95 * (right + wrong)
-    again = secrets.scan(docs, secrets.fit(docs.repartition(7, "text")), ["doc_id"])
+    again = secrets.scan(docs, secrets.fit(seen.repartition(7, "text")), ["doc_id"])
     assert {r.doc_id: r.spans for r in again.collect()} == {i: r.spans for i, r in out.items()}
     assert secrets.fit(docs.limit(0)).chain is None
 
