@@ -4,9 +4,11 @@ Fingerprints that occur more than once are first reduced to one. Two fingerprint
 differing bits agree in some of the pigeonhole masks, so the upper nodes of the index are shared
 masked bit patterns (mask, value). Below a mask, fingerprints are sorted by the Gray rank of their
 other bits over the whole cluster (a range partitioning, so a frequent pattern spreads over many
-tasks) and consecutive ones form leaf nodes that keep the bits all members share. Leaf nodes of one
-upper node are joined with each other, and a pair of nodes is pruned as a whole when the shared bits
-alone differ too often; members of the others are compared. Tasks return spanning links, not all pairs.
+tasks) and consecutive ones form nodes, and inside them twigs, that keep the bits all members share.
+Nodes of one upper node are joined with each other. On the way down the differences add up: a pair of
+nodes counts the differing bits among those that both share, a pair of their twigs adds what differs in
+the bits that only the twigs share, and members add the rest. A pair is pruned with all below it as
+soon as its sum exceeds the bound. Tasks return spanning links, not all pairs.
 
 Defined results: null, empty and white-space texts have fingerprint zero, linked like any other;
 a text of fewer than four words is one shingle; repeated rows share their fingerprint; a null doc_id
@@ -30,8 +32,8 @@ from roadloom.llm.textbytes import LOWER, NOT_SPACE, find_words, released, row_s
 BOUND = 4
 SHINGLE = 4
 SEED = 42
-#: Members of a leaf node.
-LEAF = 128
+#: Members of a node and of a twig in it.
+LEAF, TWIG = 128, 16
 #: Expected fingerprints under an upper node; more blocks are used where there would be more.
 GROUP = 4096
 _LANES = np.ascontiguousarray(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)).view(np.uint64)[:, 0]
@@ -159,6 +161,33 @@ def spanning(link: np.ndarray) -> np.ndarray:
         a, b = a2, b2
 
 
+def shared_bits(members: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the runs of members that begin at ``at``: which bits all of a run share, and their values."""
+    ones, some = np.bitwise_and.reduceat(members, at), np.bitwise_or.reduceat(members, at)
+    return ones | ~some, ones
+
+
+def descend(a: np.ndarray, b: np.ndarray, bound: int) -> np.ndarray:
+    """Which members of two nodes differ in at most ``bound`` bits, found by adding up differences from node to member."""
+    top = np.zeros(1, np.int64)
+    (same_a, bits_a), (same_b, bits_b) = shared_bits(a, top), shared_bits(b, top)
+    known = same_a & same_b
+    apart = np.bitwise_count((bits_a ^ bits_b) & known).astype(np.int16)[0]
+    out = np.zeros((-(-len(a) // TWIG), TWIG, -(-len(b) // TWIG), TWIG), bool)
+    if apart <= bound:
+        (sa, va), (sb, vb) = (shared_bits(x, np.arange(0, len(x), TWIG)) for x in (a, b))
+        more = sa[:, None] & sb[None] & ~known
+        added = apart + np.bitwise_count((va[:, None] ^ vb[None]) & more)
+        i, j = np.nonzero(added <= bound)
+        rest = ~(known | more[i, j])
+        x, y = (np.resize(v, n * TWIG).reshape(n, TWIG) for v, n in ((a, out.shape[0]), (b, out.shape[2])))
+        for lo in range(0, len(i), 64):  # bounds the memory of a step
+            part = slice(lo, lo + 64)
+            apart_of = added[i[part], j[part], None, None] + np.bitwise_count((x[i[part], :, None] ^ y[j[part], None]) & rest[part, None, None])
+            out[i[part], :, j[part]] = apart_of <= bound
+    return out.reshape(out.shape[0] * TWIG, -1)[: len(a), : len(b)]
+
+
 class Forest:
     """Union-find over what one task has seen; says which links join two trees."""
 
@@ -198,7 +227,7 @@ def near_links(fps: DataFrame, bound: int = BOUND, blocks: int | None = None) ->
             out = []
             for x, y in zip(b.column(0), b.column(1), strict=True):
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                link = np.bitwise_count(p[:, None] ^ q[None]) <= bound
+                link = descend(p, q, bound)
                 if len(p) == len(q) and p[0] == q[0]:
                     np.fill_diagonal(link, False)
                 if not link.any():

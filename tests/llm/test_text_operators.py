@@ -160,6 +160,32 @@ def test_simhash_index_is_exact(spark, blocks):
         assert (r.a ^ r.b).bit_count() <= 64
 
 
+@pytest.mark.parametrize("sizes", [(1, 1), (16, 17), (128, 128), (100, 3)])
+def test_simhash_descent_adds_up_to_the_distance(sizes):
+    rng = np.random.default_rng(sizes[0])
+    base = rng.integers(0, 2**63, 4).astype(np.uint64)
+
+    def near(n):
+        flips = (np.uint64(1) << rng.integers(0, 64, (n, 5)).astype(np.uint64)) * rng.integers(0, 2, (n, 5)).astype(np.uint64)
+        return np.sort(base[rng.integers(0, 4, n)] ^ np.bitwise_xor.reduce(flips, axis=1))
+
+    a, b = near(sizes[0]), near(sizes[1])
+    want = np.bitwise_count(a[:, None] ^ b[None]) <= 4
+    assert (simhash.descend(a, b, 4) == want).all() and (want.any() or len(a) == 1)
+    assert not simhash.descend(a, ~a, 4).any()
+
+
+def test_simhash_descent_prunes_before_members(monkeypatch):
+    counted = []
+    real = np.bitwise_count
+    monkeypatch.setattr(simhash.np, "bitwise_count", lambda x: counted.append(np.size(x)) or real(x))
+    rng = np.random.default_rng(0)
+    groups = rng.integers(0, 2**63, 8).astype(np.uint64)
+    a = np.concatenate([g ^ np.arange(16, dtype=np.uint64) for g in groups])  # a twig of near ones in each group
+    assert (simhash.descend(a, a, 4) == (real(a[:, None] ^ a[None]) <= 4)).all()
+    assert sum(counted) < len(a) ** 2 / 4
+
+
 def test_simhash_blocks_grow_with_the_corpus():
     assert simhash.blocks_for(1000) == 5 and simhash.blocks_for(10**9) > 5
     assert len(simhash.masks(6)) == 15
@@ -204,6 +230,50 @@ def test_embeddings_match_brute_force(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_design_grows_with_the_corpus():
+    for n in (1, 500, 50_000, 10**7, 10**9):
+        tables, bits = embedding_dedup.design(n)
+        assert n / 2**bits <= embedding_dedup.BUCKET
+        assert 1 - (1 - (1 - np.arccos(0.9) / np.pi) ** bits) ** tables >= embedding_dedup.RECALL
+
+
+def linked_vectors(n, seed=1):
+    """Unit vectors of 64 dimensions; every fourth has a partner at a cosine from 0.9 to 0.97."""
+    rng = np.random.default_rng(seed)
+    v = rng.standard_normal((n, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    for i in range(0, n - 1, 4):
+        c = rng.uniform(0.9, 0.97)
+        side = v[i + 1] - (v[i + 1] @ v[i]) * v[i]
+        v[i + 1] = c * v[i] + np.sqrt(1 - c * c) * side / np.linalg.norm(side)
+    return v
+
+
+def test_embedding_recall_near_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BUCKET", 16)  # as many bits and tables as a larger corpus has
+    v = linked_vectors(4000)
+    cos = v @ v.T
+    want = (cos >= 0.9).sum() - len(v)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    out = embedding_dedup.near_duplicates(df).collect()
+    assert 0.99 * want <= sum(r.n_links for r in out) <= want and want > 1800
+    plain = {r.vec_id: r.n_links for r in out}
+    assert all(plain[i] <= (cos[i] >= 0.9).sum() - 1 for i in range(len(v)))
+
+
+def test_embeddings_with_links_match_sql(spark, tmp_path):
+    v = np.round(linked_vectors(600, 2), 6)
+    v[40:60] = v[40] + np.random.default_rng(3).normal(0, 0.02, (20, 64))  # a group of near vectors
+    v[60:64] = v[60]  # and one of copies
+    spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    c = duckdb.connect()
+    c.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = c.sql(queries.ORACLE_SQL["op10_embedding_dedup"]).df()
+    got = embedding_dedup.op10_embedding_dedup(spark, str(tmp_path)).toPandas()[list(want.columns)]
+    a, b = (x.sort_values("vec_id").reset_index(drop=True) for x in (got, want))
+    assert want.n_links.sum() > 600 and a.equals(b.astype(a.dtypes.to_dict()))
+
+
 # ---- 9 ---------------------------------------------------------------------------------------------
 
 
