@@ -70,3 +70,58 @@ def in_ring(x: Column, y: Column, ring: Column) -> Column:
 
 def cell(value, size: float) -> Column:
     return F.floor(value / F.lit(size)).cast("long")
+
+
+def segment_cells(df, ax: str, ay: str, bx: str, by: str, reach, size: float, reach_y=None):
+    """df with cx, cy: a row for each grid cell that lies within ``reach`` of the segment, and a few more.
+
+    The part of the segment over a column of cells bounds the rows of cells, so a long slanting
+    segment meets the cells along it and not those of its box. reach_y: the reach across rows, if it
+    is another; both are numbers or columns.
+    """
+    reach_y = reach if reach_y is None else reach_y
+    df = df.withColumn("cx", F.explode(F.sequence(cell(F.least(ax, bx) - reach, size), cell(F.greatest(ax, bx) + reach, size))))
+    left, right = F.col("cx") * size - reach, (F.col("cx") + 1) * size + reach
+    slope = F.try_divide(F.col(by) - F.col(ay), F.col(bx) - F.col(ax))
+    lo, hi = F.greatest(F.least(ax, bx), left), F.least(F.greatest(ax, bx), right)
+    y0 = F.coalesce(F.col(ay) + (lo - F.col(ax)) * slope, F.col(ay))
+    y1 = F.coalesce(F.col(ay) + (hi - F.col(ax)) * slope, F.col(by))
+    return df.withColumn("cy", F.explode(F.sequence(cell(F.least(y0, y1) - reach_y, size), cell(F.greatest(y0, y1) + reach_y, size))))
+
+
+def _between(c0, c1, lo, hi) -> Column:
+    """The stretch (lo, hi) of t in 0..1 where c0 + t * c1 is between lo and hi; null if there is none."""
+    a, b = F.try_divide(lo - c0, c1), F.try_divide(hi - c0, c1)
+    flat = F.when((c0 >= lo) & (c0 <= hi), F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")))
+    return F.when(c1 == 0, flat).otherwise(_stretch(F.least(a, b), F.greatest(a, b)))
+
+
+def _stretch(lo, hi) -> Column:
+    known = lo.isNotNull() & hi.isNotNull()  # least and greatest skip nulls
+    lo, hi = F.greatest(lo, F.lit(0.0)), F.least(hi, F.lit(1.0))
+    return F.when(known & (lo <= hi), F.struct(lo.alias("lo"), hi.alias("hi")))
+
+
+def _in_circle(px, py, dx, dy, cx, cy, r: float) -> Column:
+    a, b = dx * dx + dy * dy, (px - cx) * dx + (py - cy) * dy
+    c = F.pow(px - cx, 2) + F.pow(py - cy, 2) - r * r
+    root = F.sqrt(F.when(b * b - a * c >= 0, b * b - a * c))
+    all_in = F.when(c <= 0, F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")))
+    return F.when(a == 0, all_in).otherwise(_stretch(F.try_divide(-b - root, a), F.try_divide(-b + root, a)))
+
+
+def near_segment(px, py, qx, qy, ax, ay, bx, by, r: float) -> Column:
+    """The part (lo, hi), in 0..1 from p to q, of the segment p-q within r of the segment a-b; null if there is none.
+
+    What is within r of a segment is a strip with a half circle at each end. It is convex, so the parts
+    in the strip and in the two circles make up one stretch.
+    """
+    dx, dy, wx, wy = qx - px, qy - py, bx - ax, by - ay
+    size2 = wx * wx + wy * wy
+    foot = _between(((px - ax) * wx + (py - ay) * wy) / size2, (dx * wx + dy * wy) / size2, F.lit(0.0), F.lit(1.0))
+    reach = F.lit(r) * F.sqrt(size2)
+    side = _between(wx * (py - ay) - wy * (px - ax), wx * dy - wy * dx, -reach, reach)
+    strip = _stretch(F.greatest(foot["lo"], side["lo"]), F.least(foot["hi"], side["hi"]))
+    strip = F.when(foot.isNotNull() & side.isNotNull(), strip)
+    parts = F.filter(F.array(strip, _in_circle(px, py, dx, dy, ax, ay, r), _in_circle(px, py, dx, dy, bx, by, r)), lambda x: x.isNotNull())
+    return F.when(F.size(parts) > 0, F.struct(F.array_min(F.transform(parts, lambda x: x["lo"])).alias("lo"), F.array_max(F.transform(parts, lambda x: x["hi"])).alias("hi")))

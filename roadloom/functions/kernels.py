@@ -22,83 +22,170 @@ def simplify(xy: np.ndarray, eps: float) -> np.ndarray:
         if b - a < 2:
             continue
         rel, way = xy[a + 1 : b] - xy[a], xy[b] - xy[a]
-        span = np.hypot(*way)
-        d = np.abs(way[0] * rel[:, 1] - way[1] * rel[:, 0]) / span if span > 0 else np.hypot(rel[:, 0], rel[:, 1])
-        far = int(np.argmax(d))
-        if d[far] > eps:
+        span = np.sqrt(way[0] * way[0] + way[1] * way[1])
+        d = np.abs(way[0] * rel[:, 1] - way[1] * rel[:, 0]) if span > 0 else rel[:, 0] * rel[:, 0] + rel[:, 1] * rel[:, 1]
+        far = int(np.argmax(d))  # of the areas, or of the squares: in the order of the distances
+        if (d[far] / span if span > 0 else np.sqrt(d[far])) > eps:
             cut = a + 1 + far
             keep[cut] = True
             todo += [(a, cut), (cut, b)]
     return np.flatnonzero(keep)
 
 
-def _near(xy: np.ndarray, eps: float):
-    """For each point the sorted indexes within eps, itself included, from a grid of cells of that size."""
-    cells: dict[tuple[int, int], list[int]] = {}
-    key = np.floor(xy / eps).astype(np.int64)
-    for i, k in enumerate(map(tuple, key.tolist())):
-        cells.setdefault(k, []).append(i)
-    for i, (cx, cy) in enumerate(key.tolist()):
-        around = np.array([j for dx in (-1, 0, 1) for dy in (-1, 0, 1) for j in cells.get((cx + dx, cy + dy), ())])
-        d = xy[around] - xy[i]
-        yield np.sort(around[d[:, 0] ** 2 + d[:, 1] ** 2 <= eps * eps])
+class Grid:
+    """Points in cells so small that all points of a cell are within eps of each other.
 
+    Only points in cells of few members are ever compared one by one, each with the points of the
+    cells around; two full cells are compared in blocks until a pair is found. So the work follows the
+    number of points, however many lie in one place.
+    """
 
-def haversine_m(lat1, lon1, lat2, lon2):
-    from roadloom.functions.geo import EARTH_M
+    def __init__(self, points: np.ndarray, eps: float):
+        n, d = points.shape
+        self.eps = eps
+        cells = np.floor(points / (eps / np.sqrt(d) * (1 - 1e-9))).astype(np.int64)
+        cells -= cells.min(axis=0) - 2
+        spans = cells.max(axis=0) + 3
+        steps = np.concatenate([[1], np.cumprod(spans[:-1])])
+        key = cells @ steps
+        self.order = np.argsort(key, kind="stable")
+        self.points = points[self.order]
+        self.keys, self.begin, self.count = np.unique(key[self.order], return_index=True, return_counts=True)
+        self.cell = np.repeat(np.arange(len(self.keys)), self.count)
+        axes = np.stack(np.meshgrid(*[np.arange(-2, 3)] * d, indexing="ij"), axis=-1).reshape(-1, d)
+        pairs = []
+        for move in (axes @ steps).tolist():
+            if move > 0:
+                at = np.minimum(np.searchsorted(self.keys, self.keys + move), len(self.keys) - 1)
+                hit = np.flatnonzero(self.keys[at] == self.keys + move)
+                pairs.append(np.column_stack([hit, at[hit]]))
+        self.pairs = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+
+    def within(self, i: np.ndarray, j: np.ndarray, strict: bool = False) -> np.ndarray:
+        d2 = ((self.points[i] - self.points[j]) ** 2).sum(axis=1)
+        return d2 < self.eps**2 if strict else d2 <= self.eps**2
+
+    def compared(self, a: np.ndarray, b: np.ndarray, at_once: int = 1 << 20):
+        """All pairs of points of the cells a[k] and b[k], so many at a time."""
+        size = self.count[a] * self.count[b]
+        done = np.cumsum(size)
+        lo = 0
+        while lo < len(a):
+            hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + at_once, "right")))
+            n = size[lo:hi]
+            k = np.repeat(np.arange(lo, hi), n)
+            at = np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
+            yield self.begin[a[k]] + at // self.count[b[k]], self.begin[b[k]] + at % self.count[b[k]]
+            lo = hi
+
+    def around(self, few: np.ndarray):
+        """Pairs of a cell of ``few`` and a cell around it or itself."""
+        both = np.concatenate([self.pairs, self.pairs[:, ::-1]])
+        both = both[few[both[:, 0]]]
+        own = np.flatnonzero(few)
+        return np.concatenate([both[:, 0], own]), np.concatenate([both[:, 1], own])
+
+
+def dense(points: np.ndarray, eps: float, at_least: int, strict: bool = False) -> np.ndarray:
+    """Whether so many points, itself included, are within eps of each point."""
+    out = np.ones(len(points), bool)
+    if len(points):
+        grid = Grid(points, eps)
+        out[grid.order] = _core(grid, at_least, strict)
+    return out
 
-    a, b, c, d = map(np.radians, (lat1, lon1, lat2, lon2))
-    h = np.sin((c - a) / 2) ** 2 + np.cos(a) * np.cos(c) * np.sin((d - b) / 2) ** 2
-    return 2 * EARTH_M * np.arcsin(np.sqrt(np.minimum(1.0, h)))
 
+def _core(grid: Grid, at_least: int, strict: bool = False) -> np.ndarray:
+    few = grid.count < at_least
+    near = np.where(few, 0, at_least)[grid.cell]
+    for i, j in grid.compared(*grid.around(few)):
+        ok = grid.within(i, j, strict)
+        near += np.bincount(i[ok], minlength=len(near))
+    return near >= at_least
 
-def density_labels(near: list[np.ndarray], at_least: int) -> np.ndarray:
-    """Density clusters from neighbour lists: core points with enough neighbours, joined where adjacent.
+
+def density_labels(points: np.ndarray, eps: float, at_least: int) -> np.ndarray:
+    """Density clusters: core points with enough points within eps, joined where adjacent.
 
     Clusters are numbered by their first core point; a point beside several gets the lowest number,
     others get -1.
     """
-    n = len(near)
-    core = np.array([len(x) >= at_least for x in near], bool) if n else np.zeros(0, bool)
+    n = len(points)
     label = np.full(n, -1)
-    count = 0
-    for i in range(n):
-        if not core[i] or label[i] >= 0:
-            continue
-        label[i] = count
-        todo = [i]
-        while todo:
-            for j in near[todo.pop()].tolist():
-                if core[j] and label[j] < 0:
-                    label[j] = count
-                    todo.append(j)
-        count += 1
-    for i in np.flatnonzero(~core).tolist():
-        own = [label[j] for j in near[i].tolist() if core[j]]
-        if own:
-            label[i] = min(own)
+    if not n:
+        return label
+    grid = Grid(points, eps)
+    core = _core(grid, at_least)
+    cores = np.bincount(grid.cell[core], minlength=len(grid.keys))
+    up = list(range(len(grid.keys)))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    a, b = grid.pairs.T
+    live = (cores[a] > 0) & (cores[b] > 0)
+    a, b = a[live], b[live]
+    small = grid.count[a] * grid.count[b] <= 4096
+    for i, j in grid.compared(a[small], b[small]):
+        ok = core[i] & core[j] & grid.within(i, j)
+        for x, y in set(zip(grid.cell[i[ok]].tolist(), grid.cell[j[ok]].tolist(), strict=True)):
+            up[root(x)] = root(y)
+    for x, y in zip(a[~small].tolist(), b[~small].tolist(), strict=True):
+        if root(x) != root(y) and _touch(grid, core, x, y):
+            up[root(x)] = root(y)
+    comp = np.array([root(x) for x in range(len(up))])
+    first = np.full(len(up), n)
+    np.minimum.at(first, comp[grid.cell[core]], grid.order[core])  # each cluster's first core point
+    rank = np.full(len(up), -1)
+    live = np.flatnonzero(first < n)
+    rank[live[np.argsort(first[live], kind="stable")]] = np.arange(len(live))
+    found = np.where(core, rank[comp[grid.cell]], n)
+    for i, j in grid.compared(*grid.around(grid.count < at_least)):
+        ok = ~core[i] & core[j] & grid.within(i, j)
+        np.minimum.at(found, i[ok], found[j[ok]])
+    label[grid.order] = np.where(found < n, found, -1)
     return label
 
 
-def cluster_planar(xy: np.ndarray, eps: float, at_least: int) -> np.ndarray:
-    return density_labels(list(_near(xy, eps)), at_least)
+def _touch(grid: Grid, core: np.ndarray, x: int, y: int) -> bool:
+    """Whether a core point of one cell is within eps of one of the other."""
+    i, j = (np.arange(grid.begin[c], grid.begin[c] + grid.count[c]) for c in (x, y))
+    p, q = grid.points[i[core[i]]], grid.points[j[core[j]]]
+    # the nearest points first: by their distance to the middle of the other cell's points
+    p, q = (u[np.argsort(((u - v.mean(axis=0)) ** 2).sum(axis=1))] for u, v in ((p, q), (q, p)))
+    for lo in range(0, len(p), 256):
+        for at in range(0, len(q), 1024):
+            if (((p[lo : lo + 256, None] - q[None, at : at + 1024]) ** 2).sum(axis=2) <= grid.eps**2).any():
+                return True
+    return False
+
 
+def sphere(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    """Points on the unit sphere: places a great-circle distance apart are its chord apart."""
+    a, b = np.radians(lat), np.radians(lon)
+    return np.column_stack([np.cos(a) * np.cos(b), np.cos(a) * np.sin(b), np.sin(a)])
 
-def cluster_sphere(lat: np.ndarray, lon: np.ndarray, metres: float, at_least: int) -> np.ndarray:
-    """Density clusters by great-circle distance; rows are compared in blocks."""
-    near = []
-    for lo in range(0, len(lat), 512):
-        d = haversine_m(lat[lo : lo + 512, None], lon[lo : lo + 512, None], lat[None], lon[None])
-        near += [np.flatnonzero(r <= metres) for r in d]
-    return density_labels(near, at_least)
+
+def chord(metres: float) -> float:
+    from roadloom.functions.geo import EARTH_M
+
+    return float(2 * np.sin(metres / (2 * EARTH_M)))
+
+
+def cluster_planar(xy: np.ndarray, eps: float, at_least: int) -> np.ndarray:
+    return density_labels(xy, eps, at_least)
 
 
 def low_pass(y: np.ndarray, alpha: np.ndarray) -> np.ndarray:
     """First-order filter with a weight per sample; starts at the first sample."""
-    out = np.array(y, float)
-    for i in range(1, len(out)):
-        out[i] = out[i - 1] + alpha[i] * (y[i] - out[i - 1])
-    return out
+    out, x = [], None
+    for v, w in zip(np.asarray(y, float).tolist(), np.asarray(alpha, float).tolist(), strict=True):
+        x = v if x is None else x + w * (v - x)
+        out.append(x)
+    return np.array(out)
 
 
 def steady_up(acc: np.ndarray, gyro: np.ndarray, t: np.ndarray, warm: int = 200) -> tuple[np.ndarray, np.ndarray]:
@@ -168,50 +255,3 @@ def spectrum(t: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(f, kind="stable")
     order = order[f[order] >= 0]
     return f[order], a[order]
-
-
-def line_position(line: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distance along a polyline of each point's nearest place on it, and the distance to it."""
-    a, way = line[:-1], np.diff(line, axis=0)
-    size = np.hypot(way[:, 0], way[:, 1])
-    before = np.concatenate([[0.0], np.cumsum(size)])[:-1]
-    rel = points[:, None, :] - a[None]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        u = np.clip(np.nan_to_num((rel * way[None]).sum(axis=2) / (size**2)[None]), 0, 1)
-    gap = np.hypot(*np.moveaxis(rel - u[:, :, None] * way[None], 2, 0))
-    best = gap.argmin(axis=1)
-    rows = np.arange(len(points))
-    return before[best] + u[rows, best] * size[best], gap[rows, best]
-
-
-def clip_to_capsule(p: np.ndarray, q: np.ndarray, a: np.ndarray, b: np.ndarray, r: float) -> tuple[float, float] | None:
-    """Part [s, e] of the segment p-q within r of the segment a-b: that set is convex, so one interval."""
-    d, w = q - p, b - a
-
-    def gap(t):
-        x = p + t * d - a
-        ww = w @ w
-        u = min(1.0, max(0.0, (x @ w) / ww)) if ww > 0 else 0.0
-        return np.hypot(*(x - u * w))
-
-    lo, hi = 0.0, 1.0
-    for _ in range(60):  # the distance is convex along the segment
-        m1, m2 = lo + (hi - lo) / 3, hi - (hi - lo) / 3
-        if gap(m1) <= gap(m2):
-            hi = m2
-        else:
-            lo = m1
-    best = (lo + hi) / 2
-    best = min((0.0, best, 1.0), key=gap)
-    if gap(best) > r:
-        return None
-
-    def edge(inside, outside):
-        if gap(outside) <= r:
-            return outside
-        for _ in range(50):
-            mid = (inside + outside) / 2
-            inside, outside = (mid, outside) if gap(mid) <= r else (inside, mid)
-        return inside
-
-    return edge(best, 0.0), edge(best, 1.0)

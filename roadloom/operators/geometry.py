@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions import kernels
-from roadloom.functions.geo import DEGREES_PER_METRE, EARTH_M, cell, haversine_m, in_corridor, in_ring, mercator_x, mercator_y, planar
+from roadloom.functions.geo import DEGREES_PER_METRE, EARTH_M, along, cell, haversine_m, in_corridor, in_ring, mercator_x, mercator_y, near_segment, planar, segment_cells
 from roadloom.functions.stats import kurtosis, ratio, skewness
 from roadloom.operators.prep import date_gate, deduplicate, keep_large_groups
 from roadloom.schema import BUS_TYPES, RAIL_TYPES
@@ -116,15 +116,7 @@ def stops_along(seg: DataFrame, stops: DataFrame, width_m: float = 50.0) -> Data
     """
     width = width_m * DEGREES_PER_METRE
     size = 4 * width
-    xs = F.sequence(cell(F.least("ax", "bx") - width, size), cell(F.greatest("ax", "bx") + width, size))
-    seg = seg.withColumn("cx", F.explode(xs))
-    # the part of the segment over this column of cells bounds the rows of cells
-    left, right = F.col("cx") * size - width, (F.col("cx") + 1) * size + width
-    slope = F.try_divide(F.col("by") - F.col("ay"), F.col("bx") - F.col("ax"))
-    lo, hi = F.greatest(F.least("ax", "bx"), left), F.least(F.greatest("ax", "bx"), right)
-    y0 = F.coalesce(F.col("ay") + (lo - F.col("ax")) * slope, F.col("ay"))
-    y1 = F.coalesce(F.col("ay") + (hi - F.col("ax")) * slope, F.col("by"))
-    seg = seg.withColumn("cy", F.explode(F.sequence(cell(F.least(y0, y1) - width, size), cell(F.greatest(y0, y1) + width, size))))
+    seg = segment_cells(seg, "ax", "ay", "bx", "by", width, size)
     at = stops.select("name", "lon", "lat", cell(F.col("lon"), size).alias("cx"), cell(F.col("lat"), size).alias("cy"))
     inside = in_corridor(F.col("lon"), F.col("lat"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), width, F.col("left"), ~F.col("left"))
     return seg.join(at, ["cx", "cy"]).where(inside).select("TrackId", "name", "lon", "lat").distinct()
@@ -167,74 +159,63 @@ def last_stop(walk_start: DataFrame, stops: DataFrame, metres: float = 50.0) ->
 # ---- map coverage --------------------------------------------------------------------------------
 
 
-def _metres(xy: np.ndarray, lat0: float) -> np.ndarray:
-    """Local flat coordinates in metres."""
-    k = np.radians(1.0) * EARTH_M
-    return xy * np.array([k * np.cos(np.radians(lat0)), k])
+def flat_segments(vertices: DataFrame) -> DataFrame:
+    """(TrackId, labels, seq, ax, ay, bx, by, lat0, before, size): segments in degrees, and their place on the line.
 
+    before and size are metres on a plane that touches the line's mean latitude lat0.
+    """
+    keys = ["TrackId", "labels"]
+    w = Window.partitionBy(*keys)
+    v = vertices.select(*keys, "seq", F.col("Longitude").alias("ax"), F.col("Latitude").alias("ay"), F.mean("Latitude").over(w).alias("lat0"))
+    order = w.orderBy("seq")
+    v = v.withColumn("bx", F.lead("ax").over(order)).withColumn("by", F.lead("ay").over(order))
+    step = planar(*(f(F.col(c)) for x in "ab" for f, c in ((_flat_x, f"{x}x"), (_flat_y, f"{x}y"))))
+    v = v.withColumn("size", F.coalesce(step, F.lit(0.0)))
+    v = v.withColumn("before", F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    return v.where("bx is not null and size > 0")
+
+
+def _flat_x(lon: Column) -> Column:
+    return F.radians(lon) * EARTH_M * F.cos(F.radians("lat0"))
 
-def ways_near(vertices: DataFrame, ways: DataFrame, metres: float = 50.0) -> DataFrame:
-    """(TrackId, labels, way_id, way_type, line): map lines that share a grid cell with a simplified trip."""
-    size = 0.01
-    pad = metres * DEGREES_PER_METRE * 3
-    seg = segments(vertices, ["TrackId", "labels"])
 
-    def cells(df: DataFrame, grow: float) -> DataFrame:
-        x = F.sequence(cell(F.least("ax", "bx") - grow, size), cell(F.greatest("ax", "bx") + grow, size))
-        y = F.sequence(cell(F.least("ay", "by") - grow, size), cell(F.greatest("ay", "by") + grow, size))
-        return df.withColumn("cx", F.explode(x)).withColumn("cy", F.explode(y))
+def _flat_y(lat: Column) -> Column:
+    return F.radians(lat) * EARTH_M
 
-    parts = ways.where(F.col("way_type").isin(RAIL_TYPES + BUS_TYPES)).select("way_id", "way_type", "line", F.posexplode("line").alias("k", "a"))
-    parts = parts.withColumn("b", F.get("line", F.col("k") + 1)).where("b is not null")
-    parts = parts.select("way_id", "way_type", F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"), F.col("k").alias("part"))
-    a = cells(seg, pad).select("TrackId", "labels", "seq", "cx", "cy", *(F.col(c).alias(f"t_{c}") for c in ("ax", "ay", "bx", "by")))
-    b = cells(parts, 0.0)
-    cols = ["TrackId", "labels", "seq", "way_id", "way_type", "part", "ax", "ay", "bx", "by"]
-    return a.join(b, ["cx", "cy"]).select(*cols).distinct()
+
+def ways_near(seg: DataFrame, ways: DataFrame, metres: float = 50.0) -> DataFrame:
+    """seg with way_type and the ends px, py, qx, qy of each segment of a map line in a grid cell along it."""
+    size = 0.01
+    pad = metres * DEGREES_PER_METRE * 1.01
+    lines = ways.where(F.col("way_type").isin(RAIL_TYPES + BUS_TYPES)).select("way_type", "line", F.posexplode("line").alias("k", "p"))
+    lines = lines.withColumn("q", F.get("line", F.col("k") + 1)).where("q is not null")
+    lines = lines.select("way_type", F.col("p.x").alias("px"), F.col("p.y").alias("py"), F.col("q.x").alias("qx"), F.col("q.y").alias("qy")).withColumn("__id", F.monotonically_increasing_id())
+    wide = F.greatest(F.cos(F.radians(F.greatest(F.abs("ay"), F.abs("by")) + size)), F.lit(0.05))  # degrees of longitude are shorter
+    grown = segment_cells(seg, "ax", "ay", "bx", "by", F.lit(pad) / wide, size, pad)
+    found = grown.join(segment_cells(lines, "px", "py", "qx", "qy", 0.0, size), ["cx", "cy"])
+    return found.dropDuplicates(["TrackId", "labels", "seq", "__id"]).drop("cx", "cy", "__id")
 
 
 def coverage(vertices: DataFrame, ways: DataFrame, metres: float = 50.0) -> DataFrame:
     """(TrackId, name, length): km of each trip along each way type, and its own length as 'track'.
 
-    A map segment counts where it is within 50 m of a trip segment; the ends of that part are put on
-    the trip's line, and the intervals of one type are merged, so nothing counts twice. Distances are
-    taken in local flat metres.
+    Where a map segment is within 50 m of a trip segment, that part is put on the trip segment, and the
+    intervals of one type along the trip are merged, so nothing counts twice. Distances are taken on a
+    plane. All is column arithmetic: segments meet on grid cells and the near part has a closed form.
     """
     keys = ["TrackId", "labels"]
-    near = ways_near(vertices, ways, metres)
-    kinds = dict(vertices.dtypes)
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return _frame([], 0, 0)
-        left = left.sort_values("seq")
-        deg = left[["Longitude", "Latitude"]].to_numpy()
-        lat0 = float(deg[:, 1].mean())
-        line = _metres(deg, lat0)
-        size = np.hypot(*np.diff(line, axis=0).T)
-        out = []
-        for way_type, g in right.groupby("way_type"):
-            for _, part in g.groupby(["way_id", "part"]):
-                p = _metres(part[["ax", "ay"]].to_numpy()[0], lat0)
-                q = _metres(part[["bx", "by"]].to_numpy()[0], lat0)
-                for k in np.unique(part["seq"].to_numpy()).tolist():
-                    if k + 1 >= len(line) or size[k] == 0:
-                        continue
-                    got = kernels.clip_to_capsule(p, q, line[k], line[k + 1], metres)
-                    if got is None:
-                        continue
-                    ends = np.stack([p + t * (q - p) for t in got])
-                    m, _ = kernels.line_position(line, ends)
-                    out.append((way_type, float(m.min()), float(m.max())))
-        return _frame(out, left["TrackId"].iloc[0], left["labels"].iloc[0])
-
-    def _frame(rows: list, trip, label) -> pd.DataFrame:
-        name, m0, m1 = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [])
-        return pd.DataFrame({"TrackId": np.full(len(rows), trip), "labels": np.full(len(rows), label), "way_type": np.array(name, object), "m0": np.array(m0, float), "m1": np.array(m1, float)})
-
-    schema = f"TrackId {kinds['TrackId']}, labels {kinds['labels']}, way_type string, m0 double, m1 double"
-    apart = near.select(F.col("TrackId").alias("__t"), F.col("labels").alias("__l"), *(F.col(c).alias(c) for c in near.columns if c not in keys))
-    pieces = vertices.groupBy(*keys).cogroup(apart.groupBy("__t", "__l")).applyInPandas(run, schema)
+    near = ways_near(flat_segments(vertices), ways, metres)
+    flat = {c: (_flat_x if c[1] == "x" else _flat_y)(F.col(c)) for c in ("px", "py", "qx", "qy", "ax", "ay", "bx", "by")}
+    near = near.select(*keys, "way_type", "before", "size", *(x.alias(c) for c, x in flat.items()))
+    near = near.withColumn("t", near_segment(*map(F.col, flat), metres)).where("t is not null")
+
+    def place(t: Column) -> Column:
+        x, y = (F.col(f"p{c}") + t * (F.col(f"q{c}") - F.col(f"p{c}")) for c in "xy")
+        u = along(x, y, *map(F.col, ("ax", "ay", "bx", "by")))
+        return F.col("before") + F.col("size") * F.least(F.greatest(u, F.lit(0.0)), F.lit(1.0))
+
+    one, two = place(F.col("t.lo")), place(F.col("t.hi"))
+    pieces = near.select(*keys, "way_type", F.least(one, two).alias("m0"), F.greatest(one, two).alias("m1"))
     w = Window.partitionBy(*keys, "way_type").orderBy("m0", "m1")
     reach = F.max("m1").over(w.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.greatest(F.lit(0.0), F.col("m1") - F.greatest(F.col("m0"), F.coalesce(reach, F.col("m0"))))
@@ -259,35 +240,29 @@ def speed_profile(track: DataFrame, others: DataFrame, metres: float = 35.0) ->
     track: clustered points; the clusters of a trip follow each other on the axis. Other trips'
     points are those in the trip's box and within 35 m of its line in the web projection.
     """
-    box = track.groupBy("TrackId").agg(*(f(c).alias(f"{n}_{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in ("Latitude", "Longitude")))
-    size = 0.05
-    spans = box.withColumn("cx", F.explode(F.sequence(cell(F.col("lo_Longitude"), size), cell(F.col("hi_Longitude"), size)))).withColumn("cy", F.explode(F.sequence(cell(F.col("lo_Latitude"), size), cell(F.col("hi_Latitude"), size))))
-    o = others.select(F.col("RowId"), "Latitude", "Longitude", "Speed", cell(F.col("Longitude"), size).alias("cx"), cell(F.col("Latitude"), size).alias("cy"))
+    keys = ["TrackId", "labels"]
+    trip, part = Window.partitionBy("TrackId"), Window.partitionBy(*keys)
+    order = part.orderBy("PointDate", "RowId")
+    box = [f(c).over(trip).alias(f"{n}_{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in ("Latitude", "Longitude")]
+    own = track.select(*keys, "PointDate", "RowId", "Speed", mercator_x("Longitude").alias("ax"), mercator_y("Latitude").alias("ay"), F.count("*").over(part).alias("k"), *box)
+    own = own.withColumn("bx", F.lead("ax").over(order)).withColumn("by", F.lead("ay").over(order)).withColumn("seq", F.row_number().over(order))
+    own = own.withColumn("size", F.coalesce(planar(*map(F.col, ("ax", "ay", "bx", "by"))), F.lit(0.0)))
+    # the clusters follow each other: what lies before a point are the earlier clusters and its own one's steps
+    before = F.coalesce(F.sum("size").over(trip.orderBy("labels", "PointDate", "RowId").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    own = own.withColumn("before", before).where("k > 1")
+    mine = own.select("TrackId", F.lit("own").alias("src"), "RowId", F.col("before").alias("dist"), "Speed")
+    size = 4 * metres
+    seg = segment_cells(own.where("bx is not null").drop("RowId", "Speed", "PointDate", "k"), "ax", "ay", "bx", "by", metres, size)
+    o = others.select("RowId", "Latitude", "Longitude", "Speed", mercator_x("Longitude").alias("x"), mercator_y("Latitude").alias("y"))
+    o = o.withColumn("cx", cell(F.col("x"), size)).withColumn("cy", cell(F.col("y"), size))
     inside = F.col("Latitude").between(F.col("lo_Latitude"), F.col("hi_Latitude")) & F.col("Longitude").between(F.col("lo_Longitude"), F.col("hi_Longitude"))
-    near = o.join(spans, ["cx", "cy"]).where(inside).select("TrackId", "RowId", "Latitude", "Longitude", "Speed")
-    near = near.withColumn("x", mercator_x("Longitude")).withColumn("y", mercator_y("Latitude"))
-    own = track.withColumn("x", mercator_x("Longitude")).withColumn("y", mercator_y("Latitude"))
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows, start = [], 0.0
-        for _, g in left.sort_values(["PointDate", "RowId"]).groupby("labels"):
-            line = g[["x", "y"]].to_numpy()
-            if len(line) < 2:
-                continue
-            here, _ = kernels.line_position(line, line)
-            rows += [("own", int(r), start + d, float(v)) for r, d, v in zip(g["RowId"], here, g["Speed"], strict=True)]
-            if len(right):
-                there, gap = kernels.line_position(line, right[["x", "y"]].to_numpy())
-                ok = gap <= metres
-                rows += [("other", int(r), start + d, float(v)) for r, d, v in zip(right["RowId"][ok], there[ok], right["Speed"][ok], strict=True)]
-            start += float(here.max())
-        out = pd.DataFrame(rows, columns=["src", "RowId", "dist", "Speed"])
-        out.insert(0, "TrackId", left["TrackId"].iloc[0] if len(left) else 0)
-        return out
-
-    schema = f"TrackId {dict(track.dtypes)['TrackId']}, src string, RowId bigint, dist double, Speed double"
-    apart = near.select(F.col("TrackId").alias("__t"), *(F.col(c).alias(c) for c in near.columns if c != "TrackId"))
-    return own.groupBy("TrackId").cogroup(apart.groupBy("__t")).applyInPandas(run, schema)
+    ends = [F.col(c) for c in ("ax", "ay", "bx", "by")]
+    u = F.least(F.greatest(F.coalesce(along(F.col("x"), F.col("y"), *ends), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    met = o.join(seg, ["cx", "cy"]).where(inside).withColumn("u", u)
+    gap = planar(F.col("x"), F.col("y"), F.col("ax") + F.col("u") * (F.col("bx") - F.col("ax")), F.col("ay") + F.col("u") * (F.col("by") - F.col("ay")))
+    met = met.withColumn("gap", gap).where(F.col("gap") <= metres)
+    theirs = met.groupBy("TrackId", "labels", "RowId").agg(F.min_by(F.col("before") + F.col("u") * F.col("size"), F.struct("gap", "seq")).alias("dist"), F.first("Speed").alias("Speed"))
+    return mine.unionByName(theirs.select("TrackId", F.lit("other").alias("src"), "RowId", "dist", "Speed"))
 
 
 def speed_curve(profile: DataFrame, degree: int = 10, step_m: float = 25.0) -> DataFrame:

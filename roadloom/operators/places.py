@@ -19,11 +19,10 @@ def end_clusters(ends: DataFrame, metres: float = 1000.0, others: int = 3) -> Da
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["PointDate", "Latitude", "Longitude"], kind="stable")
-        lat, lon = g["Latitude"].to_numpy(), g["Longitude"].to_numpy()
-        dense = np.concatenate([(kernels.haversine_m(lat[i : i + 512, None], lon[i : i + 512, None], lat[None], lon[None]) < metres).sum(axis=1) - 1 >= others for i in range(0, len(g), 512)])
+        at, eps = kernels.sphere(g["Latitude"].to_numpy(), g["Longitude"].to_numpy()), kernels.chord(metres)
+        dense = kernels.dense(at, eps, others + 1, strict=True)
         label = np.full(len(g), -1)
-        if dense.any():
-            label[dense] = kernels.cluster_sphere(lat[dense], lon[dense], metres, others + 1)
+        label[dense] = kernels.density_labels(at[dense], eps, others + 1)
         return g.assign(label=label.astype(np.int32))
 
     return ends.groupBy("DeviceToken").applyInPandas(run, schema)

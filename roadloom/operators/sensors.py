@@ -29,6 +29,23 @@ def orientation(points: DataFrame, acc: list[str] | None = None, gyro: list[str]
     return df.withColumn("angular_velocity", norm(gyro)) if all(c in df.columns for c in gyro) else df
 
 
+def low_pass(points: DataFrame, column: str, tau: float = 0.5) -> DataFrame:
+    """(TrackId, RowId, smooth): first-order filter with the weight dt / (tau + dt) of each step.
+
+    It starts at a trip's first value; steps of no time leave it as it is. A recursion over the whole
+    trip in order, so each trip is one group.
+    """
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["PointDate", "RowId"], kind="stable")
+        dt = g["PointDate"].diff().dt.total_seconds().fillna(0.0).to_numpy()
+        weight = np.where(dt > 0, dt / (tau + dt), 0.0)
+        return g[["TrackId", "RowId"]].assign(smooth=kernels.low_pass(g[column].to_numpy(float), weight))
+
+    kinds = dict(points.dtypes)
+    return points.select("TrackId", "RowId", "PointDate", column).groupBy("TrackId").applyInPandas(run, f"TrackId {kinds['TrackId']}, RowId {kinds['RowId']}, smooth double")
+
+
 def resample_seconds(points: DataFrame, column: str) -> DataFrame:
     """(TrackId, second, value): one row a second, the mean of its samples, others on a line between.
 
@@ -58,18 +75,23 @@ def rolling_amplitude(df: DataFrame, column: str, window: int = 30, order: str =
     return df.withColumn("amplitude", F.coalesce(before, after)).drop("__a")
 
 
-def smooth_theta(points: DataFrame, window: int = 200, amplitude: int = 30) -> DataFrame:
-    """Adds smoothed_theta and theta_amplitude to oriented points, by way of a value a second."""
-    grid = resample_seconds(points, "theta")
+def smooth(grid: DataFrame, window: int = 200) -> DataFrame:
+    """(TrackId, second, smooth): centred Parzen means of (TrackId, second, value), the nearest one where the window does not fit."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("second")
-        return g[["TrackId", "second"]].assign(smoothed_theta=kernels.smooth_centred(g["value"].to_numpy(), window))
+        return g[["TrackId", "second"]].assign(smooth=kernels.smooth_centred(g["value"].to_numpy(), window))
+
+    out = grid.groupBy("TrackId").applyInPandas(run, f"TrackId {dict(grid.dtypes)['TrackId']}, second timestamp_ntz, smooth double")
+    return out.withColumn("smooth", F.nanvl("smooth", F.lit(None).cast("double")))
 
-    smooth = grid.groupBy("TrackId").applyInPandas(run, f"TrackId {dict(points.dtypes)['TrackId']}, second timestamp_ntz, smoothed_theta double")
-    smooth = rolling_amplitude(smooth.withColumn("smoothed_theta", F.nanvl("smoothed_theta", F.lit(None).cast("double"))), "smoothed_theta", amplitude)
+
+def smooth_theta(points: DataFrame, window: int = 200, amplitude: int = 30) -> DataFrame:
+    """Adds smoothed_theta and theta_amplitude to oriented points, by way of a value a second."""
+    smoothed = smooth(resample_seconds(points, "theta"), window).withColumnRenamed("smooth", "smoothed_theta")
+    smoothed = rolling_amplitude(smoothed, "smoothed_theta", amplitude)
     out = points.withColumn("second", F.date_trunc("second", "PointDate").cast("timestamp_ntz"))
-    return out.join(smooth.withColumnRenamed("amplitude", "theta_amplitude"), ["TrackId", "second"]).drop("second")
+    return out.join(smoothed.withColumnRenamed("amplitude", "theta_amplitude"), ["TrackId", "second"]).drop("second")
 
 
 def positions(points: DataFrame, max_amp: float = 4.0, min_secs: float = 600.0, max_std: float = 3.5) -> DataFrame:

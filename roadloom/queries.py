@@ -269,23 +269,6 @@ def win_drop_last(spark, d):
     return drop_last(_points(spark, d), 10).select("TrackId", "RowId")
 
 
-@query("win_low_pass")
-def win_low_pass(spark, d):
-    """First-order filter of the speed with a weight by the time step: a fold over the ordered trip."""
-    step = F.coalesce(F.unix_micros(F.col("PointDate").cast("timestamp")) - F.lag(F.unix_micros(F.col("PointDate").cast("timestamp"))).over(in_order()), F.lit(0)) / 1e6
-    p = _points(spark, d).withColumn("dt", step)
-    item = F.struct("PointDate", "RowId", "dt", "Speed")
-    g = p.groupBy("TrackId").agg(F.sort_array(F.collect_list(item)).alias("xs"))
-    zero = F.struct(F.get("xs", F.lit(0))["Speed"].alias("x"), F.array().cast("array<struct<RowId:bigint,smooth:double>>").alias("out"))
-
-    def fold(a, s):
-        x = a["x"] + F.coalesce(F.try_divide(s["dt"], 0.5 + s["dt"]), F.lit(0.0)) * (s["Speed"] - a["x"])
-        return F.struct(x.alias("x"), F.array_append(a["out"], F.struct(s["RowId"].alias("RowId"), x.alias("smooth"))).alias("out"))
-
-    out = g.select("TrackId", F.explode(F.aggregate("xs", zero, fold)["out"]).alias("o"))
-    return rounded(out.select("TrackId", "o.RowId", "o.smooth"))
-
-
 # ---- features ------------------------------------------------------------------------------------
 
 
@@ -358,15 +341,6 @@ def ftr_header(spark, d):
     return rounded(ft.header_features(_tracks(spark, d)))
 
 
-@query("ftr_all")
-def ftr_all(spark, d):
-    """The whole plan: cleaning with clusters, and all features of the three tables."""
-    from roadloom.plans.features import driver_features
-
-    points = _points(spark, d)
-    return rounded(driver_features(points.withColumn("IncomingTrackId", F.col("TrackId")), _rich(spark, d).withColumn("RichTrackId", F.col("TrackId")), _tracks(spark, d)))
-
-
 # ---- joins, aggregates, sets ---------------------------------------------------------------------
 
 
@@ -513,16 +487,6 @@ def geo_clusters(spark, d):
 ORACLE_SQL["geo_clusters"] = ORACLE_SQL["geo_clusters"].replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@query("geo_simplify")
-def geo_simplify(spark, d):
-    return geometry.simplify(deduplicate(_points(spark, d)), 50.0)
-
-
-@query("geo_corridors")
-def geo_corridors(spark, d):
-    return geometry.corridors(deduplicate(_points(spark, d))).select("TrackId", F.size("rings").alias("n"))
-
-
 def _stops(spark, d):
     s = _t(spark, d, "supplier")
     return s.select("s_name", "s_suppkey").select(F.col("s_name").alias("name"), F.round(F.lit(37.0) + (F.col("s_suppkey") * 31 % 43) * F.lit(0.0001), 6).alias("lon"), F.round(F.lit(55.0) + (F.col("s_suppkey") * 17 % 500) * F.lit(0.0001), 6).alias("lat"))
@@ -591,26 +555,6 @@ def _ways(spark, d):
     return _t(spark, d, "nation").select(n.cast("long").alias("way_id"), F.get(kinds, n % 9).alias("way_type"), F.array(end(36.999), end(37.002), end(37.006)).alias("line"))
 
 
-@query("geo_coverage")
-def geo_coverage(spark, d):
-    track = geometry.without_outliers(_points(spark, d))
-    return rounded(geometry.way_features(geometry.coverage(geometry.simplify(track, 25.0, ["TrackId", "labels"]), _ways(spark, d))))
-
-
-@query("geo_features")
-def geo_features(spark, d):
-    from roadloom.plans.features import geo_features as plan
-
-    track = geometry.without_outliers(_points(spark, d))
-    return rounded(plan(track, _stops(spark, d), _ways(spark, d), geometry.left_hand(track, _countries(spark, d), spark.createDataFrame([("AS",)], "ISO2 string"))))
-
-
-@query("geo_speed_profile")
-def geo_speed_profile(spark, d):
-    p = _points(spark, d)
-    return rounded(geometry.speed_profile(geometry.without_outliers(p), p).groupBy("TrackId", "src").agg(F.count("*").alias("n"), F.max("dist").alias("dist")), 3)
-
-
 @query("geo_speed_curve")
 def geo_speed_curve(spark, d):
     p = _points(spark, d)
@@ -621,11 +565,6 @@ def geo_speed_curve(spark, d):
 # ---- rules, places, sensors, models, streams -----------------------------------------------------
 
 
-@query("rul_airport_taxi")
-def rul_airport_taxi(spark, d):
-    return rounded(rules.airport_taxi(_points(spark, d), _airports(spark, d)))
-
-
 @query("rul_home", ", a AS (SELECT TrackId, min(DeviceToken) AS DeviceToken, avg(Latitude) AS la, avg(Longitude) AS lo FROM tp GROUP BY TrackId) SELECT DeviceToken, round(median(round_even(la, 1)), 6) AS home_lat, round(median(round_even(lo, 1)), 6) AS home_lon FROM a GROUP BY DeviceToken")
 def rul_home(spark, d):
     return rounded(rules.homes(rules.start_end(_points(spark, d))))
@@ -688,17 +627,6 @@ def sen_orientation(spark, d):
     return rounded(sensors.orientation(p, ["ax", "ay", "az"], ["none"]).select("RowId", "R", "theta"))
 
 
-@query("sen_parking")
-def sen_parking(spark, d):
-    return rounded(sensors.parking(segments.split_walk(deduplicate(_points(spark, d))).where("is_walk")))
-
-
-@query("sen_spectrum")
-def sen_spectrum(spark, d):
-    s = _points(spark, d).select("TrackId", F.row_number().over(in_order()).cast("double").alias("t"), F.col("Speed").alias("X"), F.col("SpeedLimit").alias("Y"), F.lit(0.0).alias("Z"))
-    return rounded(sensors.spectrum(s))
-
-
 def _scored(spark, d):
     return _t(spark, d, "lineitem").select(F.col("l_returnflag") == "R", "l_discount", "l_quantity").toDF("y", "s", "q").withColumn("y", F.col("y").cast("int"))
 
@@ -747,12 +675,4 @@ def str_sessions(spark, d):
     return rounded(out.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("stop", F.col("stop").cast("timestamp_ntz")))
 
 
-@query("predict")
-def predict(spark, d):
-    """Labels of all trips by the whole plan, without a model."""
-    from roadloom.plans.predict import Maps
-    from roadloom.plans.predict import predict as plan
-
-    points = _points(spark, d)
-    tracks = _tracks(spark, d).withColumn("CompanyId", F.col("DeviceToken").cast("int")).withColumn("DeviceToken", F.col("DeviceToken").cast("string"))
-    return plan(points.withColumn("IncomingTrackId", F.col("TrackId")), _rich(spark, d).withColumn("RichTrackId", F.col("TrackId")), tracks, maps=Maps(airports=_airports(spark, d)))
+from roadloom import queries_more  # noqa: E402, F401  registers its queries here

@@ -6,7 +6,7 @@ TRACKS = """
 DeviceToken string, Id int, TrackToken string, IncomingTrackId int, StartDate timestamp_ntz, EndDate timestamp_ntz,
 Distance double, Duration double, AccelerationCount int, DecelerationCount int, Rating int, CompanyId int,
 PhoneUsage boolean, TrackOrigin string, OriginChanged boolean, AddressStart string, AddressFinish string,
-DistanceGPS double, Urban boolean, Region string, Country string, OverSpeedMileage int, MidOverSpeedMileage int, HighOverSpeedMileage int
+DistanceGPS double, Urban boolean, Region string, Country string, OverSpeedMileage double, MidOverSpeedMileage double, HighOverSpeedMileage double
 """
 INCOMING_POINTS = """
 DeviceToken string, IncomingTrackId int, RichTrackId int, TotalMeters double, Speed double, Midspeed double,

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -25,3 +27,13 @@ def session(master: str | None = None, partitions: int | None = None, **more: st
     for k, v in (settings | more).items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: in spark.checkpoint.dir, or a temporary one of a local session."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="roadloom-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import re
+import zipfile
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,8 +27,12 @@ def read_csv(spark: SparkSession, path: str | list[str], schema_: str, columns:
     Columns are matched by name; those of the schema that a file lacks come back as null. decimal
     is the decimal sign of numbers.
     """
+    return _typed(spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE").csv(path), schema_, columns, decimal)
+
+
+def _typed(raw: DataFrame, schema_: str, columns: list[str] | None, decimal: str) -> DataFrame:
+    """Text columns as those of the schema."""
     wanted = T._parse_datatype_string(schema_)
-    raw = spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE").csv(path)
     there = {c.lower(): c for c in raw.columns}
     out = []
     for f in wanted.fields:
@@ -44,6 +51,31 @@ def read_csv(spark: SparkSession, path: str | list[str], schema_: str, columns:
     return raw.select(*out)
 
 
+def read_zip(spark: SparkSession, path: str, schema_: str, sep: str = ",", decimal: str = ".") -> DataFrame:
+    """CSV files inside zip archives, read as ``read_csv`` reads plain ones.
+
+    An archive is one upload: a task unpacks it whole. All members are tables of the same columns, and
+    their lines are records (no line breaks inside quotes).
+    """
+
+    def unpack(batches):
+        for b in batches:
+            for content in b["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for member in z.namelist():
+                        lines = z.read(member).decode("utf-8-sig").splitlines()
+                        yield pd.DataFrame({"head": [lines[0]] * (len(lines) - 1), "line": lines[1:]}) if lines else pd.DataFrame({"head": [], "line": []})
+
+    lines = spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, "head string, line string")
+    heads = [r["head"] for r in lines.select("head").distinct().limit(2).collect()]
+    if len(heads) > 1:
+        raise ValueError("the files of the archives have different columns")
+    names = [n.strip().strip('"') for n in heads[0].split(sep)] if heads else []
+    raw = ", ".join(f"`{n}` string" for n in names) or "none string"
+    parsed = lines.select(F.from_csv("line", F.lit(raw), {"sep": sep}).alias("r")).select("r.*")
+    return _typed(parsed, schema_, None, decimal)
+
+
 def load(spark: SparkSession, tracks: str, rich: str, incoming: str) -> Trips:
     """The three tables of a set of trips."""
     return Trips(read_csv(spark, tracks, schema.TRACKS), read_csv(spark, rich, schema.RICH_POINTS), read_csv(spark, incoming, schema.INCOMING_POINTS))

@@ -16,14 +16,23 @@ def watch(spark: SparkSession, folder: str, schema: str, files_per_batch: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def score_stream(points: DataFrame, plan: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
+def score_stream(points: DataFrame, plan: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, also: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> StreamingQuery:
     """Runs the batch plan on each micro-batch of whole trips and writes it once.
 
-    A batch goes to a folder of its own number, overwritten if it is run again after a failure.
+    A batch goes to a folder of its own number, overwritten if it is run again after a failure. also:
+    further sinks by folder, each with what it gets of the plan's result, which is computed once. The
+    plan may join static tables; they are read as usual, or broadcast by Spark where they are small.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        plan(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        result = plan(batch)
+        if also:
+            result = result.persist()
+        result.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        for folder, part in (also or {}).items():
+            part(result).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        if also:
+            result.unpersist()
 
     return points.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -25,11 +25,10 @@ def test_simplify_keeps_within_eps(xy, eps):
     assert at[0] == 0 and at[-1] == len(xy) - 1
     for a, b in zip(at, at[1:], strict=False):
         if b - a > 1:
-            _, gap = k.line_position(xy[[a, b]], xy[a + 1 : b])
             way = xy[b] - xy[a]
             span = np.hypot(*way)
             rel = xy[a + 1 : b] - xy[a]
-            d = np.abs(way[0] * rel[:, 1] - way[1] * rel[:, 0]) / span if span else gap
+            d = np.abs(way[0] * rel[:, 1] - way[1] * rel[:, 0]) / span if span else np.hypot(*rel.T)
             assert d.max() <= eps + 1e-9
 
 
@@ -71,17 +70,29 @@ def test_spectrum_finds_sine():
     assert abs(f[a.argmax()] - 1) < 0.01 and f.min() >= 0
 
 
-def test_line_position():
-    line = np.array([[0, 0], [10, 0], [10, 10]], float)
-    m, gap = k.line_position(line, np.array([[5, 1], [12, 5], [-3, 0]], float))
-    assert m.tolist() == [5, 15, 0] and gap.tolist() == [1, 2, 3]
-
-
-def test_capsule():
-    p, q, a, b = (np.array(x, float) for x in ([-10, 0], [10, 0], [0, 0], [0, 5]))
-    s, e = k.clip_to_capsule(p, q, a, b, 2.0)
-    assert abs(s - 0.4) < 1e-6 and abs(e - 0.6) < 1e-6
-    assert k.clip_to_capsule(p + [0, 50], q + [0, 50], a, b, 2.0) is None
+def test_clusters_of_a_parked_phone():
+    rng = np.random.default_rng(0)
+    xy = np.concatenate([rng.normal(0, 5, (40_000, 2)), rng.normal(0, 5, (20_000, 2)) + [400, 0], [[1000.0, 0.0], [95.0, 0.0]]])
+    got = k.cluster_planar(xy, 100.0, 3)
+    assert set(got[:40_000]) == {0} and set(got[40_000:60_000]) == {1} and got[-2] == -1 and got[-1] == 0
+
+
+def test_clusters_on_the_sphere():
+    rng = np.random.default_rng(1)
+    lat = np.concatenate([rng.normal(60, 0.01, 60), rng.normal(-89.99, 0.01, 40), [0.0, 0.0, 0.0]])
+    lon = np.concatenate([rng.normal(180, 0.02, 60), rng.uniform(-180, 180, 40), [179.999, -179.999, 0.0]])
+    r = 6_371_000.0
+    a, b = np.radians(lat), np.radians(lon)
+    h = np.sin((a[:, None] - a) / 2) ** 2 + np.cos(a[:, None]) * np.cos(a) * np.sin((b[:, None] - b) / 2) ** 2
+    near = 2 * r * np.arcsin(np.sqrt(np.minimum(1, h))) <= 1000
+    at = k.sphere(lat, lon)
+    assert (k.dense(at, k.chord(1000), 4) == (near.sum(axis=1) >= 4)).all()
+    got = k.density_labels(at, k.chord(1000), 2)
+    core = near.sum(axis=1) >= 2
+    for i in range(len(lat)):
+        for j in np.flatnonzero(near[i] & core):
+            assert not core[i] or got[i] == got[j]
+    assert got[-3] == got[-2] >= 0 and got[-1] == -1
 
 
 def test_smoothing():

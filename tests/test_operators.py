@@ -1,10 +1,14 @@
 """Operators on small hand-made trips, degenerate inputs among them."""
 
+import zipfile
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from roadloom import schema
+from roadloom.functions import geo as gx
 from roadloom.functions.stats import density_histogram
 from roadloom.operators import features as ft
 from roadloom.operators import geometry, history, learning, places, rules, segments, sensors
@@ -150,6 +154,24 @@ def test_coverage_merges_overlaps(spark):
     assert row.rail_uncovered_len == pytest.approx(0.4 * 0.638, abs=0.02)
 
 
+def test_near_part_matches_sampling(spark):
+    rng = np.random.default_rng(2)
+    rows = [tuple(map(float, rng.uniform(-10, 10, 8))) for _ in range(200)]
+    rows += [(0.0, 1.0, 5.0, 1.0, 0.0, 0.0, 5.0, 0.0), (0.0, 9.0, 5.0, 9.0, 0.0, 0.0, 5.0, 0.0), (2.0, 1.0, 2.0, 1.0, 0.0, 0.0, 5.0, 0.0), (2.0, 8.0, 2.0, 8.0, 0.0, 0.0, 5.0, 0.0), (2.0, -5.0, 2.0, 5.0, 0.0, 0.0, 5.0, 0.0)]
+    names = ["px", "py", "qx", "qy", "ax", "ay", "bx", "by"]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, " + ", ".join(f"{n} double" for n in names))
+    got = {r.i: r.t for r in df.select("i", gx.near_segment(*map(F.col, names), 3.0).alias("t")).collect()}
+    t = np.linspace(0, 1, 2001)
+    for i, (px, py, qx, qy, ax, ay, bx, by) in enumerate(rows):
+        x, y, w = px + t * (qx - px), py + t * (qy - py), np.array([bx - ax, by - ay])
+        u = np.clip(((x - ax) * w[0] + (y - ay) * w[1]) / (w @ w), 0, 1)
+        near = t[np.hypot(x - ax - u * w[0], y - ay - u * w[1]) <= 3]
+        if len(near):
+            assert abs(got[i].lo - near[0]) < 1e-3 and abs(got[i].hi - near[-1]) < 1e-3, i
+        else:
+            assert got[i] is None or got[i].hi - got[i].lo < 1e-3, i
+
+
 def test_places(spark):
     rows = [("d", T0 + timedelta(days=i % 5, hours=20), 55.0 + i * 1e-5, 37.0) for i in range(8)] + [("d", T0 + timedelta(days=i % 5, hours=9), 55.1 + i * 1e-5, 37.0) for i in range(6)]
     rows += [("d", T0 + timedelta(days=5 + i % 2), 55.2 + i * 1e-5, 37.0) for i in range(5)] + [("d", T0, 56.0, 37.0), ("e", T0, 55.0, 37.0)]
@@ -182,6 +204,48 @@ def test_csv_round_trip(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "by")).select("TrackId").distinct().count() == 2
 
 
+def test_zip_archives_read_as_csv(spark, tmp_path):
+    for k in range(2):
+        with zipfile.ZipFile(tmp_path / f"{k}.zip", "w") as z:
+            z.writestr("a.csv", f"Id,DeviceToken,OverSpeedMileage\n{k},\"A,B\",0.7\nNA,,\n")
+    df = trips.read_zip(spark, str(tmp_path / "*.zip"), "Id int, DeviceToken string, OverSpeedMileage double, Missing string")
+    assert sorted(map(tuple, df.collect()), key=repr) == sorted([(0, "A,B", 0.7, None), (1, "A,B", 0.7, None), (None, None, None, None), (None, None, None, None)], key=repr)
+    with zipfile.ZipFile(tmp_path / "2.zip", "w") as z:
+        z.writestr("a.csv", "Other\n1\n")
+    with pytest.raises(ValueError, match="different columns"):
+        trips.read_zip(spark, str(tmp_path / "*.zip"), "Id int")
+
+
+def test_mileage_keeps_its_fraction(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("Id,OverSpeedMileage,MidOverSpeedMileage,HighOverSpeedMileage\n1,0.7,1.5,2\n")
+    r = trips.read_csv(spark, str(tmp_path / "t.csv"), schema.TRACKS).first()
+    assert (r.OverSpeedMileage, r.MidOverSpeedMileage, r.HighOverSpeedMileage) == (0.7, 1.5, 2.0)
+
+
+def test_balanced_matches_a_sort(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(i), "abc"[int(rng.integers(0, 3))], int(rng.integers(0, 40))) for i in range(3000)] + [(9000 + i, "d", i % 7) for i in range(150)] + [(9999, "a", None)]
+    df = spark.createDataFrame(rows, "id long, c string, v long")
+    got = {r.id for r in history.balanced(df, "c", ["v", "id"]).collect()}
+    want = set()
+    for c in "abcd":
+        mine = sorted((r for r in rows if r[1] == c), key=lambda r: (r[2] is not None, r[2] or 0, r[0]))
+        want |= {r[0] for r in mine[:150]}
+    assert got == want and history.balanced(df.limit(0), "c", ["v"]).count() == 0
+
+
+def test_end_counts_match_brute_force(spark):
+    rng = np.random.default_rng(5)
+    m = 8.9883063456985468e-06
+    at = np.concatenate([rng.normal(0, 150 * m, (60, 2)), rng.normal(0, 50_000 * m, (60, 2)), rng.normal(3, 1, (10, 2)), [[0.0, 0.0]] * 3]) + [37, 55]
+    p = spark.createDataFrame([(i, i, "d", T0, float(y), float(x), 1.0, 1.0) for i, (x, y) in enumerate(at)], SCHEMA)
+    got = {r.TrackId: r for r in history.end_counts(p).collect()}
+    gap = np.hypot(at[:, None, 0] - at[None, :, 0], at[:, None, 1] - at[None, :, 1])
+    for r in history.END_RADII:
+        want = ((gap < r * m).sum(axis=1) - 1) / len(at)
+        assert np.allclose([got[i][f"rel_end_count_{r}"] for i in range(len(at))], want)
+
+
 def test_names():
     assert sorted(["v(10,15)", "v(5,10)", "a(-23,-20)"], key=trips.natural_key) == ["a(-23,-20)", "v(5,10)", "v(10,15)"]
     files = ["/x/10_T.csv", "/x/2_T.csv", "/x/2_R.csv", "/x/2_I.csv"]
