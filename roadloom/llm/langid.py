@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import FIT_TEXT_BYTES, bounded_sample, crc_mod, map_texts, text_parts
+from roadloom.llm.common import FIT_TEXT_BYTES, bounded_sample, crc_mod, map_texts, sampling_shares, text_parts
 from roadloom.llm.textbytes import LOWER, NOT_SPACE, blocks, release_memory, row_sums
 
 BITS = 16
 #: Rows per language in the fit sample.
 FIT_ROWS = 1000
+#: Rows of a language that has only texts beyond the bound of the sample.
+LONG_ROWS = 3
 #: Below this difference of the two best probabilities a prediction is ambiguous.
 AMBIGUOUS = 0.1
 
@@ -90,9 +92,16 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, rows: int = FIT_ROWS) -> LanguageModel:
-    """Fits on a bounded sample of ``rows`` documents a language; docs: (doc_id, text, lang)."""
-    fit_rows = docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= FIT_TEXT_BYTES))
-    got = bounded_sample(fit_rows, "doc_id", "lang", rows, ["doc_id", "lang", "text"])
+    """Fits on a bounded sample of ``rows`` documents a language; docs: (doc_id, text, lang).
+
+    The sample holds texts up to FIT_TEXT_BYTES; a language that has longer ones only gives its shortest.
+    """
+    docs = docs.where(F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    short = docs.where(F.octet_length("text") <= FIT_TEXT_BYTES)
+    every, there = sampling_shares(docs, "lang", rows), sampling_shares(short, "lang", rows)
+    got = bounded_sample(short, "doc_id", "lang", rows, ["doc_id", "lang", "text"], there)
+    long = [docs.where(F.col("lang") == lang).orderBy(F.octet_length("text"), "doc_id").limit(LONG_ROWS).toArrow() for lang in sorted(set(every) - set(there))]
+    got = pa.concat_tables([got, *(x.cast(got.schema) for x in long)])
     lang = np.array(got.column("lang").to_pylist(), dtype=object)
     langs = sorted(set(lang))
     code = codewords(len(langs))

@@ -6,7 +6,7 @@ frequency. A score is the logistic of the sparse dot product, which for relative
 the mean weight over the n-grams of the text.
 
 Defined results: null and empty texts have no n-gram and get the logistic of the bias; without
-labelled rows all weights are 0 and scores 0.5; repeated rows get equal scores; labels that occur
+labelled rows all weights are 0 and scores 0.5, with one class only they are 0.98 or 0.02; repeated rows get equal scores; labels that occur
 twice for a document count once, with the larger value.
 """
 

@@ -8,7 +8,7 @@ sequence. Forward-backward marginals give each token's probability; the document
 calibrated logistic of its largest marginal, its expected number of toxic tokens and its length; tokens over one half are its offending spans.
 
 Defined results: null, empty and wordless texts get the lowest score and no span; without labelled
-rows, or with one class only, every score is that class's base rate; repeated rows get equal
+rows every score is 0.5, with one class only it is 0.98 or 0.02; repeated rows get equal
 results; a document labelled twice counts once, as toxic if either row says so.
 """
 
