@@ -232,6 +232,21 @@ def sen_parking(spark, d):
     return q.rounded(out.withColumns({c: F.round(c, 4) for c in ("angle_mean", "angle_max")}))
 
 
+def _taxi_sql() -> str:
+    parking = q.ORACLE_SQL["sen_parking"].split(q.BASE, 1)[1].lstrip().removeprefix(",")
+    cols = ["time_delta", "theta_0", "rstd", "amp", "screen_direction"]
+    best = ", ".join(f"round(coalesce(arg_max({c}, (time_delta, t0)), -1), 4) AS {c}" for c in cols)
+    zeros = ", ".join(f"CAST(0 AS DOUBLE) AS z_f{k}" for k in range(4))
+    return f"{_STILL.format(amp=10.0, secs=300.0, std=8.0)}, bp AS (SELECT TrackId, {best} FROM (SELECT DISTINCT TrackId FROM tp) LEFT JOIN st0 USING (TrackId) GROUP BY TrackId) SELECT bp.*, {zeros}, pk.* EXCLUDE (TrackId) FROM bp LEFT JOIN (WITH {parking}) pk USING (TrackId)"
+
+
+def sen_taxi_row(spark, d):
+    """The feature row of a possible taxi; no trip here has the 300 samples that vertical features need."""
+    walk = segments.split_walk(deduplicate(q._points(spark, d))).where("is_walk")
+    out = sensors.taxi_row(_oriented(spark, d), walk)
+    return q.rounded(out.withColumns({c: F.round(c, 4) for c in ("theta_0", "rstd", "amp", "angle_mean", "angle_max")}))
+
+
 @q.query("sen_spectrum", """
 , b AS (SELECT TrackId, row_number() OVER (PARTITION BY TrackId ORDER BY PointDate, RowId) - 1 AS j, sqrt(power(Speed, 2) + power(SpeedLimit, 2)) / CAST(9.81523 AS DOUBLE) AS y0 FROM tp),
 c AS (SELECT TrackId, j, y0 - avg(y0) OVER (PARTITION BY TrackId) AS y, count(*) OVER (PARTITION BY TrackId) AS n FROM b),
@@ -251,13 +266,13 @@ def win_low_pass(spark, d):
 
 
 def _sampled(spark, d) -> DataFrame:
-    """Trip points with their moments 7 seconds apart, so that a trip is a few minutes long."""
+    """Trip points with their moments 15 seconds apart, so that a trip is a few minutes long."""
     n = F.row_number().over(in_order())
-    return q._points(spark, d).withColumn("__n", n).withColumn("PointDate", F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("__n") * 7)).drop("__n")
+    return q._points(spark, d).withColumn("__n", n).withColumn("PointDate", F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("__n") * 15)).drop("__n")
 
 
 _SAMPLED = """
-, sa AS (SELECT TrackId, RowId, Speed, (row_number() OVER (PARTITION BY TrackId ORDER BY PointDate, RowId)) * 7 AS t FROM tp),
+, sa AS (SELECT TrackId, RowId, Speed, (row_number() OVER (PARTITION BY TrackId ORDER BY PointDate, RowId)) * 15 AS t FROM tp),
 ge AS (SELECT TrackId, unnest(range(min(t), max(t) + 1)) AS t FROM sa GROUP BY TrackId),
 jo AS (SELECT ge.TrackId, ge.t, Speed AS v FROM ge LEFT JOIN sa USING (TrackId, t)),
 fi AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER a AS t0, last_value(v IGNORE NULLS) OVER a AS v0, first_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER b AS t1, first_value(v IGNORE NULLS) OVER b AS v1
@@ -286,6 +301,42 @@ def win_parzen(spark, d):
     return q.rounded(out.select("TrackId", (F.unix_seconds(F.col("second").cast("timestamp")) - 1704067200).alias("t"), "smooth"))
 
 
+_THETA = _SAMPLED.replace("RowId, Speed, (row_number()", "RowId, degrees(acos(1 / sqrt(power(Speed, 2) + power(SpeedLimit, 2) + 1))) AS Speed, (row_number()")
+#: Still stretches (st0) of the trips of _SAMPLED by the smoothed angle of a made-up phone.
+_STILL = f"""{_THETA}
+, we AS (SELECT o, {_PARZEN} AS w FROM (SELECT unnest(range(0, 60)) AS o)),
+po AS (SELECT TrackId, t, v, row_number() OVER (PARTITION BY TrackId ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY TrackId) AS n FROM rs),
+av AS (SELECT a.TrackId, a.i, sum(b.v * w) / (SELECT sum(w) FROM we) AS y FROM po a CROSS JOIN we JOIN po b ON b.TrackId = a.TrackId AND b.i = a.i - 30 + o WHERE a.i >= 30 AND a.i + 30 <= a.n GROUP BY a.TrackId, a.i),
+al AS (SELECT po.TrackId, t, po.i, y FROM po LEFT JOIN av ON av.TrackId = po.TrackId AND av.i = po.i),
+so AS (SELECT TrackId, t, coalesce(last_value(y IGNORE NULLS) OVER (PARTITION BY TrackId ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(y IGNORE NULLS) OVER (PARTITION BY TrackId ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS y FROM al),
+ra AS (SELECT TrackId, t, y, CASE WHEN count(y) OVER w = 30 THEN max(y) OVER w - min(y) OVER w END AS r FROM so WINDOW w AS (PARTITION BY TrackId ORDER BY t ROWS BETWEEN 15 PRECEDING AND 14 FOLLOWING)),
+am AS (SELECT TrackId, t, y, coalesce(last_value(r IGNORE NULLS) OVER (PARTITION BY TrackId ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(r IGNORE NULLS) OVER (PARTITION BY TrackId ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS amp FROM ra),
+pp AS (SELECT TrackId, RowId, Speed, SpeedLimit, row_number() OVER (PARTITION BY TrackId ORDER BY PointDate, RowId) AS i, count(*) OVER (PARTITION BY TrackId) AS n FROM tp),
+pj0 AS (SELECT pp.*, y, amp, amp <= {{amp}} AS s FROM pp JOIN am ON am.TrackId = pp.TrackId AND am.t = pp.i * 15),
+pe AS (SELECT *, CASE WHEN i > 1 AND s = lag(s) OVER o THEN 0 ELSE 1 END AS e FROM pj0 WINDOW o AS (PARTITION BY TrackId ORDER BY i)),
+pr AS (SELECT *, sum(e) OVER (PARTITION BY TrackId ORDER BY i) AS r FROM pe),
+pd AS (SELECT *, coalesce(Speed - lag(Speed) OVER (PARTITION BY TrackId, r ORDER BY i), 0) AS dv FROM pr WHERE i < n AND s),
+pg0 AS (SELECT TrackId, r, min(i) * 15 AS t0, max(i) * 15 AS t1, CAST((max(i) - min(i)) * 15 AS DOUBLE) AS time_delta, avg(y) AS theta_0, stddev_samp(y) AS rstd, max(amp) AS amp, corr(dv, SpeedLimit) AS c FROM pd GROUP BY TrackId, r),
+st0 AS (SELECT TrackId, t0, t1, time_delta, theta_0, rstd, amp, CASE WHEN c > 0 THEN 0.5 WHEN c < 0 THEN -0.5 ELSE 0 END AS screen_direction FROM pg0 WHERE time_delta >= {{secs}} AND NOT coalesce(rstd > {{std}}, false))"""
+
+
+def _oriented(spark, d) -> DataFrame:
+    p = _sampled(spark, d).withColumns({"ax": F.col("Speed"), "ay": F.col("SpeedLimit"), "az": F.lit(1.0)})
+    p = sensors.orientation(p, ["ax", "ay", "az"], ["none"]).withColumns({**dict.fromkeys(sensors.ACC[:2], F.lit(0.0)), sensors.ACC[2]: F.col("SpeedLimit"), **dict.fromkeys(sensors.GYRO, F.lit(0.0))})
+    return sensors.smooth_theta(p, 60, 30)
+
+
+@q.query("sen_positions", f"{_STILL.format(amp=6.0, secs=75.0, std=3.5)} SELECT TrackId, t0, t1, time_delta, round(theta_0, 5) AS theta_0, round(rstd, 5) AS rstd, round(amp, 5) AS amp, CAST(screen_direction AS DOUBLE) AS screen_direction FROM st0")
+def sen_positions(spark, d):
+    """Stretches in which a made-up phone lay still."""
+    out = sensors.positions(_oriented(spark, d), 6.0, 75.0, 3.5)
+    second = lambda c: (F.unix_seconds(F.col(c).cast("timestamp")) - 1704067200)
+    return q.rounded(out.select("TrackId", second("start").alias("t0"), second("end").alias("t1"), "time_delta", "theta_0", "rstd", "amp", "screen_direction"), 5)
+
+
+q.query("sen_taxi_row", _taxi_sql())(sen_taxi_row)
+
+
 # ---- the whole feature plan ----------------------------------------------------------------------
 
 #: The prepared rows (sm) of clustered points instead of those of de-duplicated ones.
