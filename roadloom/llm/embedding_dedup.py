@@ -4,10 +4,10 @@ Equal vectors are reduced to one class with a count first, so a group of copies
 The number of classes sets the bits of a bucket (so that about BUCKET classes share one) and the
 number of tables (so that a pair at the cosine bound meets in one with probability RECALL).
 
-Each class goes to one bucket in each table as (table, bucket, class, sketch), where the sketch is 128
+Each class goes to one bucket in each table as (table, bucket, class, sketch), where the sketch is 256
 further sign bits; no vector travels yet. The classes of a bucket are cut into blocks along a range
 partitioning (a very full bucket spreads over many tasks), blocks of one bucket are joined, and classes
-are marked that have a partner with a sketch near enough: SKETCH differing bits lie six deviations
+are marked that have a partner with a sketch near enough: the bound lies four deviations
 beyond what the cosine bound makes likely. Only marked classes get their vectors, in the buckets they
 are marked in, and meet there again in blocks. A pair is verified by its cosine in double precision and
 counted in the first table where it meets, so per-vector link counts need no list of pairs; tasks
@@ -34,9 +34,9 @@ from roadloom.llm.textbytes import released
 
 COSINE = 0.9
 #: Classes expected in a bucket, and the probability that a pair at the bound meets in some table.
-BUCKET, RECALL = 256, 0.995
+BUCKET, RECALL = 256, 0.999
 #: Bits of the sketch, and deviations of slack that its test leaves a pair at the bound.
-SKETCH_BITS, SLACK = 128, 6
+SKETCH_BITS, SLACK = 256, 4
 BLOCK = 256
 
 
@@ -48,7 +48,7 @@ def design(n: int, cosine: float = COSINE) -> tuple[int, int]:
 
 
 def sketch_bound(cosine: float = COSINE) -> int:
-    """Differing sketch bits that a pair at the bound has at most, but for a chance of about 1e-8."""
+    """Differing sketch bits that a pair at the bound has at most, but for a chance of about 1e-4."""
     apart = math.acos(cosine) / math.pi
     return int(SKETCH_BITS * apart + SLACK * math.sqrt(SKETCH_BITS * apart * (1 - apart)))
 
