@@ -11,6 +11,7 @@ from roadloom.operators import features as ft
 from roadloom.operators import geometry as geo
 from roadloom.operators.prep import with_row_id
 from roadloom.operators.segments import intervals, split_walk
+from roadloom.session import materialised
 from roadloom.sources.trips import natural_key
 
 
@@ -47,6 +48,8 @@ def driver_features(incoming: DataFrame, rich: DataFrame, tracks: DataFrame, sto
     """One row per incoming trip, columns in natural order; trips without clean points have no row."""
     points = with_row_id(incoming.withColumn("TrackId", F.col("IncomingTrackId")))
     track = geo.clean(points)
+    if stops is not None and ways is not None:
+        track = materialised(track)  # six branches read the clustered points
     mine = incoming_features(track)
     if stops is not None and ways is not None:
         sides = sides if sides is not None else track.select("TrackId").distinct().withColumn("left", F.lit(False))

@@ -657,7 +657,7 @@ def ml_mutual_information(spark, d):
     return rounded(learning.mutual_information(_scored(spark, d), "y", ["q", "s"]))
 
 
-@query("ml_split")
+@query("ml_split", "WITH c AS (SELECT event_type, count(*) AS k, CAST(ceil(count(*) * 0.7) AS BIGINT) AS n FROM events GROUP BY event_type) SELECT event_type, 'train' AS part, n FROM c UNION ALL SELECT event_type, 'test', k - n FROM c")
 def ml_split(spark, d):
     e = _t(spark, d, "events").select("event_id", "event_type")
     train, test = learning.stratified_split(e, "event_type", "event_id", 0.7)
