@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from roadloom.llm import decontaminate, embedding_dedup, langid, mixing, ngram_lr, pii, secrets, simhash, token_files, toxicity
+from roadloom.llm import decontaminate, embedding_dedup, importance, langid, mixing, ngram_lr, pii, secrets, simhash, token_files, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_quality": ngram_lr.op8_quality,
     "op9_token_files": token_files.op9_token_files,
     "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
+    "op11_importance": importance.op11_importance,
 }
 
 #: The others are tested against brute-force versions, exact round trips or held-out accuracy.
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": decontaminate.ORACLE_SQL,
     "op10_embedding_dedup": embedding_dedup.ORACLE_SQL,
+    "op11_importance": importance.ORACLE_SQL,
 }
