@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from roadloom.llm import decontaminate, embedding_dedup, importance, langid, mixing, ngram_lr, pii, secrets, simhash, token_files, toxicity
+from roadloom.llm import decontaminate, embedding_dedup, importance, langid, mixing, ngram_lr, pii, prefix_trie, secrets, simhash, token_files, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_token_files": token_files.op9_token_files,
     "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
     "op11_importance": importance.op11_importance,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
 }
 
 #: The others are tested against brute-force versions, exact round trips or held-out accuracy.
@@ -23,4 +24,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": decontaminate.ORACLE_SQL,
     "op10_embedding_dedup": embedding_dedup.ORACLE_SQL,
     "op11_importance": importance.ORACLE_SQL,
+    "op12_prefix_trie": prefix_trie.ORACLE_SQL,
 }
