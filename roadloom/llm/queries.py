@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from roadloom.llm import decontaminate, embedding_dedup, importance, langid, mixing, ngram_lr, pii, prefix_trie, secrets, simhash, token_files, toxicity
+from roadloom.llm import decontaminate, embedding_dedup, importance, langid, mixing, ngram_lr, packing, pii, prefix_trie, secrets, simhash, token_files, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
     "op11_importance": importance.op11_importance,
     "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_packing": packing.op13_packing,
 }
 
 #: The others are tested against brute-force versions, exact round trips or held-out accuracy.
