@@ -1,4 +1,4 @@
-"""The ten operators on small fixtures, held against brute force, round trips and held-out labels."""
+"""The first ten operators on small fixtures, held against brute force, round trips and held-out labels."""
 
 import hashlib
 import os
