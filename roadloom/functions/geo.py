@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Sphere radius of the distance formula, radius of the web projection, degrees per metre.
@@ -89,39 +89,45 @@ def segment_cells(df, ax: str, ay: str, bx: str, by: str, reach, size: float, re
     return df.withColumn("cy", F.explode(F.sequence(cell(F.least(y0, y1) - reach_y, size), cell(F.greatest(y0, y1) + reach_y, size))))
 
 
-def _between(c0, c1, lo, hi) -> Column:
-    """The stretch (lo, hi) of t in 0..1 where c0 + t * c1 is between lo and hi; null if there is none."""
-    a, b = F.try_divide(lo - c0, c1), F.try_divide(hi - c0, c1)
-    flat = F.when((c0 >= lo) & (c0 <= hi), F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")))
-    return F.when(c1 == 0, flat).otherwise(_stretch(F.least(a, b), F.greatest(a, b)))
+def _clip(lo: Column, hi: Column, name: str) -> dict[str, Column]:
+    return {f"{name}_lo": F.greatest(lo, F.lit(0.0)), f"{name}_hi": F.least(hi, F.lit(1.0))}
 
 
-def _stretch(lo, hi) -> Column:
-    known = lo.isNotNull() & hi.isNotNull()  # least and greatest skip nulls
-    lo, hi = F.greatest(lo, F.lit(0.0)), F.least(hi, F.lit(1.0))
-    return F.when(known & (lo <= hi), F.struct(lo.alias("lo"), hi.alias("hi")))
+def _between(c0: str, c1: str, lo: Column, hi: Column, name: str) -> tuple[dict[str, Column], dict[str, Column]]:
+    """Two steps to the stretch of t in 0..1 where c0 + t * c1 is between lo and hi; an empty one ends before it begins."""
+    a, b = F.try_divide(lo - F.col(c0), F.col(c1)), F.try_divide(hi - F.col(c0), F.col(c1))
+    first = {f"{name}_a": a, f"{name}_b": b, f"{name}_all": F.when(F.col(c0).between(lo, hi), F.lit(0.0)).otherwise(F.lit(2.0))}
+    flat, least, most = F.col(c1) == 0, F.least(f"{name}_a", f"{name}_b"), F.greatest(f"{name}_a", f"{name}_b")
+    return first, _clip(F.when(flat, F.col(f"{name}_all")).otherwise(least), F.when(flat, F.lit(1.0)).otherwise(most), name)
 
 
-def _in_circle(px, py, dx, dy, cx, cy, r: float) -> Column:
-    a, b = dx * dx + dy * dy, (px - cx) * dx + (py - cy) * dy
-    c = F.pow(px - cx, 2) + F.pow(py - cy, 2) - r * r
-    root = F.sqrt(F.when(b * b - a * c >= 0, b * b - a * c))
-    all_in = F.when(c <= 0, F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")))
-    return F.when(a == 0, all_in).otherwise(_stretch(F.try_divide(-b - root, a), F.try_divide(-b + root, a)))
+def near_part(df: DataFrame, r: float) -> DataFrame:
+    """df with lo and hi: the part, in 0..1 from p to q, of the segment p-q within r of the segment a-b; other rows go.
 
-
-def near_segment(px, py, qx, qy, ax, ay, bx, by, r: float) -> Column:
-    """The part (lo, hi), in 0..1 from p to q, of the segment p-q within r of the segment a-b; null if there is none.
-
-    What is within r of a segment is a strip with a half circle at each end. It is convex, so the parts
-    in the strip and in the two circles make up one stretch.
+    df: with px, py, qx, qy, ax, ay, bx, by. Also f0 and f1: p + t * (q - p) has its foot at f0 + t * f1 of
+    a-b. What is within r of a segment is a strip with a half circle at each end. It is convex, so the
+    parts in the strip and in the two circles make up one stretch. Each value is a column of its own, made
+    in steps, so that no expression is written out twice; the last step is a generator, because a filter
+    would be pushed through the steps and copy them all.
     """
-    dx, dy, wx, wy = qx - px, qy - py, bx - ax, by - ay
-    size2 = wx * wx + wy * wy
-    foot = _between(((px - ax) * wx + (py - ay) * wy) / size2, (dx * wx + dy * wy) / size2, F.lit(0.0), F.lit(1.0))
-    reach = F.lit(r) * F.sqrt(size2)
-    side = _between(wx * (py - ay) - wy * (px - ax), wx * dy - wy * dx, -reach, reach)
-    strip = _stretch(F.greatest(foot["lo"], side["lo"]), F.least(foot["hi"], side["hi"]))
-    strip = F.when(foot.isNotNull() & side.isNotNull(), strip)
-    parts = F.filter(F.array(strip, _in_circle(px, py, dx, dy, ax, ay, r), _in_circle(px, py, dx, dy, bx, by, r)), lambda x: x.isNotNull())
-    return F.when(F.size(parts) > 0, F.struct(F.array_min(F.transform(parts, lambda x: x["lo"])).alias("lo"), F.array_max(F.transform(parts, lambda x: x["hi"])).alias("hi")))
+    c, kept = F.col, df.columns
+    df = df.withColumns({f"__{d}": c(q) - c(p) for d, p, q in (("dx", "px", "qx"), ("dy", "py", "qy"), ("wx", "ax", "bx"), ("wy", "ay", "by"), ("ox", "ax", "px"), ("oy", "ay", "py"), ("ex", "bx", "px"), ("ey", "by", "py"))})
+    dot = lambda a, b: c(f"__{a}x") * c(f"__{b}x") + c(f"__{a}y") * c(f"__{b}y")
+    cross = lambda a, b: c(f"__{a}x") * c(f"__{b}y") - c(f"__{a}y") * c(f"__{b}x")
+    df = df.withColumns({"__ww": dot("w", "w"), "__dd": dot("d", "d"), "__ow": dot("o", "w"), "__dw": dot("d", "w"), "__od": dot("o", "d"), "__ed": dot("e", "d"), "__s0": cross("w", "o"), "__s1": cross("w", "d"), "__oo": dot("o", "o") - r * r, "__ee": dot("e", "e") - r * r})
+    df = df.withColumns({"f0": F.try_divide("__ow", "__ww"), "f1": F.try_divide("__dw", "__ww"), "__reach": F.lit(r) * F.sqrt("__ww"), "__od_root": c("__od") * c("__od") - c("__dd") * c("__oo"), "__ed_root": c("__ed") * c("__ed") - c("__dd") * c("__ee")})
+    df = df.withColumns({n: F.when(c(n) >= 0, F.sqrt(F.greatest(c(n), F.lit(0.0)))) for n in ("__od_root", "__ed_root")})
+    foot, foot_part = _between("f0", "f1", F.lit(0.0), F.lit(1.0), "__foot")
+    side, side_part = _between("__s0", "__s1", -c("__reach"), c("__reach"), "__side")
+    rounds = {}
+    for n, inside in (("od", "__oo"), ("ed", "__ee")):  # a point p-q is in no circle, or all in it
+        lone = F.when(c(inside) <= 0, F.lit(0.0)).otherwise(F.lit(2.0))
+        rounds |= {f"__{n}_{e}": F.when(c("__dd") == 0, x).otherwise(F.try_divide(-c(f"__{n}") + s * c(f"__{n}_root"), c("__dd"))) for e, s, x in (("lo", -1, lone), ("hi", 1, F.lit(1.0)))}
+    df = df.withColumns({**foot, **side, **rounds}).withColumns({**foot_part, **side_part, **{k: x for n in ("__od", "__ed") for k, x in _clip(c(f"{n}_lo"), c(f"{n}_hi"), n).items()}})
+    known = {n: c(f"__{n}_root").isNotNull() for n in ("od", "ed")}
+    strip = F.greatest("__foot_lo", "__side_lo"), F.least("__foot_hi", "__side_hi")
+    ends = {"strip": (*strip, F.lit(True)), **{n: (c(f"__{n}_lo"), c(f"__{n}_hi"), known[n]) for n in known}}
+    df = df.withColumns({f"__{n}_{e}2": F.when((lo <= hi) & ok, x) for n, (lo, hi, ok) in ends.items() for e, x in (("lo", lo), ("hi", hi))})
+    whole = F.struct(*(f(*(f"__{n}_{e}2" for n in ends)).alias(e) for e, f in (("lo", F.least), ("hi", F.greatest))))
+    found = F.filter(F.array(whole), lambda x: x["lo"].isNotNull())
+    return df.select(*kept, "f0", "f1", F.inline(found))

@@ -6,30 +6,47 @@ import numpy as np
 
 
 def simplify(xy: np.ndarray, eps: float) -> np.ndarray:
-    """Indexes that stay: a stretch is split at its farthest point while that is farther than eps.
+    """Indexes that stay of one line, see ``simplify_many``."""
+    return simplify_many(xy, np.zeros(min(1, len(xy)), np.int64), eps)
+
+
+def simplify_many(xy: np.ndarray, starts: np.ndarray, eps: float) -> np.ndarray:
+    """Indexes that stay of lines that begin at ``starts``: a stretch is split at its farthest point while that is farther than eps.
 
     Farthest from the straight line through the stretch's ends, or from the end itself where both
-    coincide; the first one at a tie. Both ends of the input always stay, a single point twice.
+    coincide; the first one at a tie. Both ends of a line always stay, a single point twice. All
+    stretches of all lines are split together, level by level.
     """
     n = len(xy)
-    if n < 2:
-        return np.zeros(2 * n, np.int64)
-    keep = np.zeros(n, bool)
-    keep[[0, n - 1]] = True
-    todo = [(0, n - 1)]
-    while todo:
-        a, b = todo.pop()
-        if b - a < 2:
-            continue
-        rel, way = xy[a + 1 : b] - xy[a], xy[b] - xy[a]
-        span = np.sqrt(way[0] * way[0] + way[1] * way[1])
-        d = np.abs(way[0] * rel[:, 1] - way[1] * rel[:, 0]) if span > 0 else rel[:, 0] * rel[:, 0] + rel[:, 1] * rel[:, 1]
-        far = int(np.argmax(d))  # of the areas, or of the squares: in the order of the distances
-        if (d[far] / span if span > 0 else np.sqrt(d[far])) > eps:
-            cut = a + 1 + far
-            keep[cut] = True
-            todo += [(a, cut), (cut, b)]
-    return np.flatnonzero(keep)
+    x, y = (np.ascontiguousarray(xy[:, k], float) for k in (0, 1)) if n else (np.zeros(0), np.zeros(0))
+    ends = np.append(starts[1:], n)[: len(starts)] - 1
+    stays = np.zeros(n, np.int64)
+    np.add.at(stays, starts, 1)
+    np.add.at(stays, ends, 1)
+    a, b = starts, ends
+    while True:
+        open_now = b - a >= 2
+        a, b = a[open_now], b[open_now]
+        if not len(a):
+            return np.repeat(np.arange(n), stays)
+        size = b - a - 1
+        begin = np.cumsum(size) - size
+        part = np.repeat(np.arange(len(a)), size)
+        at = np.arange(len(part)) - begin[part] + a[part] + 1
+        rx, ry = x[at] - x[a][part], y[at] - y[a][part]
+        wx, wy = x[b] - x[a], y[b] - y[a]
+        span = np.sqrt(wx * wx + wy * wy)
+        # areas, or squares: in the order of the distances
+        d = np.where(span[part] > 0, np.abs(wx[part] * ry - wy[part] * rx), rx * rx + ry * ry)
+        d[np.isnan(d)] = -1.0
+        top = np.maximum.reduceat(d, begin)
+        hit = np.flatnonzero(d == top[part])
+        cut = at[hit[np.unique(part[hit], return_index=True)[1]]]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            far = np.where(span > 0, top / span, np.sqrt(np.maximum(top, 0.0))) > eps
+        cut = cut[far]
+        stays[cut] = 1
+        a, b = np.concatenate([a[far], cut]), np.concatenate([cut, b[far]])
 
 
 class Grid:

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions import kernels
-from roadloom.functions.geo import DEGREES_PER_METRE, EARTH_M, along, cell, haversine_m, in_corridor, in_ring, mercator_x, mercator_y, near_segment, planar, segment_cells
+from roadloom.functions.geo import DEGREES_PER_METRE, EARTH_M, along, cell, haversine_m, in_corridor, in_ring, mercator_x, mercator_y, near_part, planar, segment_cells
 from roadloom.functions.stats import kurtosis, ratio, skewness
+from roadloom.operators.grouped import map_groups
 from roadloom.operators.prep import date_gate, deduplicate, keep_large_groups
 from roadloom.schema import BUS_TYPES, RAIL_TYPES
 
@@ -43,20 +45,21 @@ def clean(points: DataFrame) -> DataFrame:
 
 
 def simplify(points: DataFrame, metres: float, keys: list[str] | None = None) -> DataFrame:
-    """(keys, seq, Longitude, Latitude): the vertices of each trip's simplified line."""
+    """(keys, seq, Longitude, Latitude): the vertices of each trip's simplified line. Many trips go through the kernel at once."""
     keys = keys or ["TrackId"]
     eps = metres * DEGREES_PER_METRE
     kinds = dict(points.dtypes)
     schema = f"{', '.join(f'`{k}` {kinds[k]}' for k in keys)}, seq int, Longitude double, Latitude double"
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["PointDate", "RowId"], kind="stable")
-        at = kernels.simplify(g[["Longitude", "Latitude"]].to_numpy(), eps)
-        out = g.iloc[at][[*keys, "Longitude", "Latitude"]].reset_index(drop=True)
-        out.insert(len(keys), "seq", np.arange(len(out), dtype=np.int32))
-        return out
+    def run(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        x, y = (rows.column(len(keys) + k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        at = kernels.simplify_many(np.column_stack([x, y]), starts, eps)
+        line = np.searchsorted(starts, at, "right") - 1
+        seq = np.arange(len(at)) - np.searchsorted(line, np.arange(len(starts)))[line]
+        mine = [rows.column(k).take(pa.array(at)) for k in range(len(keys))]
+        return pa.RecordBatch.from_arrays([*mine, pa.array(seq.astype(np.int32)), pa.array(x[at]), pa.array(y[at])], names=[*keys, "seq", "Longitude", "Latitude"])
 
-    return points.select(*keys, "PointDate", "RowId", "Longitude", "Latitude").groupBy(*keys).applyInPandas(run, schema)
+    return map_groups(points, keys, ["PointDate", "RowId"], ["Longitude", "Latitude"], schema, run)
 
 
 def segments(vertices: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -206,16 +209,10 @@ def coverage(vertices: DataFrame, ways: DataFrame, metres: float = 50.0) -> Data
     keys = ["TrackId", "labels"]
     near = ways_near(flat_segments(vertices), ways, metres)
     flat = {c: (_flat_x if c[1] == "x" else _flat_y)(F.col(c)) for c in ("px", "py", "qx", "qy", "ax", "ay", "bx", "by")}
-    near = near.select(*keys, "way_type", "before", "size", *(x.alias(c) for c, x in flat.items()))
-    near = near.withColumn("t", near_segment(*map(F.col, flat), metres)).where("t is not null")
-
-    def place(t: Column) -> Column:
-        x, y = (F.col(f"p{c}") + t * (F.col(f"q{c}") - F.col(f"p{c}")) for c in "xy")
-        u = along(x, y, *map(F.col, ("ax", "ay", "bx", "by")))
-        return F.col("before") + F.col("size") * F.least(F.greatest(u, F.lit(0.0)), F.lit(1.0))
-
-    one, two = place(F.col("t.lo")), place(F.col("t.hi"))
-    pieces = near.select(*keys, "way_type", F.least(one, two).alias("m0"), F.greatest(one, two).alias("m1"))
+    near = near_part(near.select(*keys, "way_type", "before", "size", *(x.alias(c) for c, x in flat.items())), metres)
+    # the feet of both ends of the part on the trip segment, from foot = f0 + t * f1
+    place = {t: F.col("before") + F.col("size") * F.least(F.greatest(F.col("f0") + F.col(t) * F.col("f1"), F.lit(0.0)), F.lit(1.0)) for t in ("lo", "hi")}
+    pieces = near.select(*keys, "way_type", place["lo"].alias("one"), place["hi"].alias("two")).select(*keys, "way_type", F.least("one", "two").alias("m0"), F.greatest("one", "two").alias("m1"))
     w = Window.partitionBy(*keys, "way_type").orderBy("m0", "m1")
     reach = F.max("m1").over(w.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.greatest(F.lit(0.0), F.col("m1") - F.greatest(F.col("m0"), F.coalesce(reach, F.col("m0"))))

@@ -18,6 +18,34 @@ def test_simplify_cases():
     assert k.simplify(loop, 5.0).tolist() == [0, 2]
 
 
+def plain_simplify(xy, eps):
+    """A stretch at a time."""
+    n = len(xy)
+    keep, todo = {0, n - 1}, [(0, n - 1)]
+    while todo:
+        a, b = todo.pop()
+        if b - a < 2:
+            continue
+        rel, way = xy[a + 1 : b] - xy[a], xy[b] - xy[a]
+        span = np.sqrt(way[0] * way[0] + way[1] * way[1])
+        d = np.abs(way[0] * rel[:, 1] - way[1] * rel[:, 0]) if span > 0 else rel[:, 0] * rel[:, 0] + rel[:, 1] * rel[:, 1]
+        far = int(np.argmax(d))
+        if (d[far] / span if span > 0 else np.sqrt(d[far])) > eps:
+            keep.add(a + 1 + far)
+            todo += [(a, a + 1 + far), (a + 1 + far, b)]
+    return sorted(keep) if n > 1 else [0, 0]
+
+
+def test_simplify_many_lines_at_once():
+    rng = np.random.default_rng(8)
+    lines = [np.round(np.cumsum(rng.normal(size=(n, 2)), axis=0), 1) for n in (1, 2, 300, 1, 3, 57, 2000, 2)]
+    lines.append(np.zeros((40, 2)))
+    starts = np.cumsum([0, *(len(x) for x in lines[:-1])])
+    got = k.simplify_many(np.concatenate(lines), starts, 1.3).tolist()
+    assert got == [int(s) + i for s, x in zip(starts, lines, strict=True) for i in plain_simplify(x, 1.3)]
+    assert k.simplify_many(np.zeros((0, 2)), np.zeros(0, int), 1.0).tolist() == []
+
+
 @given(points, st.integers(1, 5))
 @settings(max_examples=60, deadline=None)
 def test_simplify_keeps_within_eps(xy, eps):

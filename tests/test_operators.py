@@ -4,6 +4,7 @@ import zipfile
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from roadloom.functions import geo as gx
 from roadloom.functions.stats import density_histogram
 from roadloom.operators import features as ft
 from roadloom.operators import geometry, history, learning, places, rules, segments, sensors
+from roadloom.operators.grouped import map_groups
 from roadloom.operators.prep import deduplicate
 from roadloom.sources import sinks, trips
 
@@ -160,7 +162,7 @@ def test_near_part_matches_sampling(spark):
     rows += [(0.0, 1.0, 5.0, 1.0, 0.0, 0.0, 5.0, 0.0), (0.0, 9.0, 5.0, 9.0, 0.0, 0.0, 5.0, 0.0), (2.0, 1.0, 2.0, 1.0, 0.0, 0.0, 5.0, 0.0), (2.0, 8.0, 2.0, 8.0, 0.0, 0.0, 5.0, 0.0), (2.0, -5.0, 2.0, 5.0, 0.0, 0.0, 5.0, 0.0)]
     names = ["px", "py", "qx", "qy", "ax", "ay", "bx", "by"]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, " + ", ".join(f"{n} double" for n in names))
-    got = {r.i: r.t for r in df.select("i", gx.near_segment(*map(F.col, names), 3.0).alias("t")).collect()}
+    got = {r.i: r for r in gx.near_part(df, 3.0).collect()}
     t = np.linspace(0, 1, 2001)
     for i, (px, py, qx, qy, ax, ay, bx, by) in enumerate(rows):
         x, y, w = px + t * (qx - px), py + t * (qy - py), np.array([bx - ax, by - ay])
@@ -169,7 +171,7 @@ def test_near_part_matches_sampling(spark):
         if len(near):
             assert abs(got[i].lo - near[0]) < 1e-3 and abs(got[i].hi - near[-1]) < 1e-3, i
         else:
-            assert got[i] is None or got[i].hi - got[i].lo < 1e-3, i
+            assert i not in got or got[i].hi - got[i].lo < 1e-3, i
 
 
 def test_places(spark):
@@ -273,3 +275,30 @@ def test_models(spark, tmp_path):
 def test_irrelevant_names(spark):
     df = spark.createDataFrame([(1, 2, 3)], "weekday int, speed_max int, height_min int")
     assert learning.drop_irrelevant(df).columns == ["speed_max"]
+
+
+def test_groups_go_on_over_batches(spark):
+    sizes = {1: 7000, 2: 1, 3: 2500, None: 5}
+    rows = [(k, i, float(i)) for k, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "k int, i int, v double").repartition(3)
+
+    def kernel(rows, starts):
+        ends = np.append(starts[1:], rows.num_rows)
+        v = rows.column(1).to_numpy()
+        assert all((np.diff(v[a:b]) == 1).all() for a, b in zip(starts, ends, strict=True))
+        return pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(starts)), pa.array(ends - starts)], names=["k", "n"])
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    try:
+        got = {r.k: r.n for r in map_groups(df, ["k"], ["i"], ["v"], "k int, n bigint", kernel).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sizes
+    assert map_groups(df.where("false"), ["k"], ["i"], ["v"], "k int, n bigint", kernel).count() == 0
+
+
+def test_coverage_arithmetic_is_written_once(spark):
+    v = spark.createDataFrame([], "TrackId long, labels int, seq int, Longitude double, Latitude double")
+    ways = spark.createDataFrame([], "way_id long, way_type string, line array<struct<x:double,y:double>>")
+    plan = geometry.coverage(v, ways)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 50_000
