@@ -68,6 +68,13 @@ def _sides(v: np.ndarray, planes: np.ndarray) -> np.ndarray:
     return (v / np.abs(v).max(axis=1, keepdims=True)) @ planes > 0
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Vectors times powers of two that bring their largest component to 0.5 and more: squares neither overflow nor vanish."""
+    _, power = np.frexp(np.abs(v).max(axis=1))
+    half = -power // 2  # in two steps, as one may be beyond the largest power
+    return np.ldexp(np.ldexp(v, half[:, None]), (-power - half)[:, None])
+
+
 def _signatures(v: np.ndarray, planes: np.ndarray, tables: int, bits: int) -> np.ndarray:
     side = _sides(v, planes[:, SKETCH_BITS:]).reshape(len(v), tables, bits)
     return (side @ (1 << np.arange(bits))).astype(np.int32)
@@ -163,7 +170,7 @@ def verified(blocks: DataFrame, tables: int, bits: int, cosine: float) -> DataFr
                 dim, tab = b.column(0)[r].as_py(), b.column(1)[r].as_py()
                 n1, n2 = (np.frombuffer(b.column(i)[r].as_buffer(), np.int64) for i in (3, 5))
                 both = [np.frombuffer(b.column(i)[r].as_buffer(), np.float64).reshape(-1, dim + 1) for i in (4, 6)]
-                (c1, v1), (c2, v2) = ((x[:, 0], np.ascontiguousarray(x[:, 1:])) for x in both)
+                (c1, v1), (c2, v2) = ((x[:, 0], _scaled(x[:, 1:])) for x in both)
                 cos = (v1 @ v2.T) / (np.sqrt((v1 * v1).sum(axis=1))[:, None] * np.sqrt((v2 * v2).sum(axis=1))[None])
                 link = cos >= cosine
                 if n1[0] == n2[0]:

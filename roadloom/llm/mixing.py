@@ -12,13 +12,14 @@ size), halved until the distance falls, so rare domains converge as fast as freq
 A round is one aggregation of a narrow table; the driver gets a few sums. A document's rate follows
 from its posteriors and the list of multipliers, so ``resample`` makes the copies in the pass that
 scores the text again: no text is joined or shuffled. A rate is an expected number of copies; the
-dice are a hash of the id.
+dice are a hash of the id and the text.
 
 Defined results: null and wordless texts have no tokens, weigh nothing and keep rate 1; an empty
-table gives an empty result; repeated rows get equal rates; other columns of docs may have any name.
-Targets that the posteriors can't meet (no labels, labels of one class) are approached as far as
-least squares goes. If a domain then misses its target by more than TOLERANCE, ``mix`` and
-``resample`` leave all rates at 1, so that nothing is lost to an impossible aim. Both warn with the residuals.
+table gives an empty result; repeated rows get equal rates and copies; other columns of docs may have any
+name. Targets that the posteriors can't meet are approached as far as least squares goes: these rates
+are used, with a warning and, in ``mix``, columns that tell by which share each domain misses its target.
+``missed`` asks for an error or for an unmixed result (rates of 1) instead. Labels that don't know both
+classes of quality and of toxicity define no domains: all rates are 1.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.llm import ngram_lr
-from roadloom.llm.common import cut, map_texts, named, numbered, sigmoid, unit_hash
+from roadloom.llm.common import cut, map_texts, named, numbered, sigmoid, text_key, unit_hash
 from roadloom.llm.ngram_lr import NgramModel
 
 DOMAINS = ("good", "low", "toxic")
@@ -40,11 +41,11 @@ TARGETS = {"good": 0.90, "low": 0.07, "toxic": 0.03}
 #: Without a size, the targets add up to what makes the first domain's HEADROOM times its own tokens,
 #: so that its documents stay and the others are thinned out or repeated.
 HEADROOM = 1.1
-#: Rounds, and halvings of one step, before targets count as out of reach.
-ROUNDS, HALVINGS = 60, 12
+#: Rounds, many times those needed, and halvings of one step, before the nearest rates are taken as they are.
+ROUNDS, HALVINGS = 300, 12
 #: Distance from each domain's own target, as a share of it, at which the fit ends.
 NEAR = 1e-4
-#: Beyond this distance the mixture is not applied.
+#: Distance of a domain beyond which ``missed`` says what happens.
 TOLERANCE = 0.1
 
 
@@ -144,35 +145,50 @@ def fit_rates(soft: DataFrame, targets: dict[str, float] | None = None, size: fl
     return out
 
 
-def copies(rate: Column, doc_id: Column) -> Column:
-    """A whole number of copies with the rate as its expectation over ids."""
-    return F.floor(rate + unit_hash(doc_id, F.lit(5))).cast("int")
+def copies(rate: Column, doc_id: Column, key: Column) -> Column:
+    """A whole number of copies with the rate as its expectation over rows. key: of the text, as null and repeated ids occur."""
+    return F.floor(rate + unit_hash(doc_id, key, F.lit(5))).cast("int")
 
 
-def _fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None, size: float | None) -> tuple[tuple, DataFrame, Mixture]:
+def _fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None, size: float | None, missed: str) -> tuple[tuple, DataFrame, Mixture]:
+    """docs: with __key, the key of the text."""
+    if missed not in ("best", "raise", "unmixed"):
+        raise ValueError(f"missed: best, raise or unmixed, not {missed}")
     parts = fit_classifier(docs, labels)
-    soft = cut(posteriors(docs, parts, ["doc_id"]))
+    soft = cut(posteriors(docs, parts, ["doc_id", "__key"]))
+    if not all(m.weight.any() for m in parts):
+        warnings.warn("targets are out of reach: the labels don't know both classes of quality and of toxicity", stacklevel=3)
+        return parts, soft, Mixture([], dict.fromkeys(DOMAINS))
     found = fit_rates(soft, targets, size)
     if max(map(abs, found.residuals.values())) > TOLERANCE:
-        found = Mixture([], found.residuals)
+        if missed == "raise":
+            raise ValueError(f"targets are out of reach: {found.residuals}")
+        if missed == "unmixed":
+            found = Mixture([], found.residuals)
     return parts, soft, found
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, size: float | None = None) -> DataFrame:
-    """(doc_id, n_tokens, posteriors, rate) per row of docs."""
-    _, soft, found = _fit(docs, labels, targets, size)
-    return soft.withColumn("rate", found.rate())
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, size: float | None = None, missed: str = "best") -> DataFrame:
+    """(doc_id, n_tokens, posteriors, rate, copies, misses) per row of docs.
+
+    miss_<domain>: what the expected tokens are off the target, as a share of it; null without domains.
+    """
+    _, soft, found = _fit(docs.select("doc_id", "text").withColumn("__key", text_key()), labels, targets, size, missed)
+    out = soft.withColumn("rate", found.rate()).withColumns({f"miss_{d}": F.lit(found.residuals[d]).cast("double") for d in DOMAINS})
+    return out.withColumn("copies", copies(F.col("rate"), F.col("doc_id"), F.col("__key"))).drop("__key")
 
 
-def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, size: float | None = None) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, size: float | None = None, missed: str = "best") -> DataFrame:
     """docs with each document as often as its rate says."""
     plain, names = numbered(docs)
-    parts, _, found = _fit(plain, labels, targets, size)
-    scored = posteriors(plain, parts, names)
-    return named(scored.withColumn("__i", F.explode(F.array_repeat(F.lit(0), copies(found.rate(), F.col("doc_id"))))), names, docs)
+    plain = plain.withColumn("__key", text_key())
+    parts, _, found = _fit(plain, labels, targets, size, missed)
+    scored = posteriors(plain, parts, [*names, "__key"])
+    n = copies(found.rate(), F.col("doc_id"), F.col("__key"))
+    return named(scored.withColumn("__i", F.explode(F.array_repeat(F.lit(0), n))), names, docs)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", "toxic")
-    return mix(docs, labels).select("doc_id", "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+    return mix(docs, labels).select("doc_id", "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate", "copies", *(f"miss_{d}" for d in DOMAINS))

@@ -87,6 +87,23 @@ def test_mixing_with_labels_of_one_class_loses_nothing(spark, quality):
         assert mixing.resample(docs, labels).count() == 40
 
 
+def test_mixing_keeps_the_nearest_rates(spark):
+    good = [f"fine words here with sense {i % 7} and more" for i in range(60)]
+    low = [f"bad bad bad buy buy click {i % 5}" for i in range(60)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 20) for i, t in enumerate(good + low)], DOCS)
+    labels = spark.createDataFrame([(i, int(i < 60), int(i % 40 == 39)) for i in range(120)], "doc_id long, quality int, toxic int")
+    goal = {"good": 0.2, "low": 0.01, "toxic": 0.79}
+    with pytest.warns(UserWarning, match="out of reach"):
+        out = mixing.mix(docs, labels, goal).toPandas()
+    assert out.rate.nunique() > 1 and abs(out.miss_toxic[0]) + abs(out.miss_good[0]) + abs(out.miss_low[0]) > mixing.TOLERANCE
+    with pytest.warns(UserWarning, match="out of reach"), pytest.raises(ValueError, match="out of reach"):
+        mixing.resample(docs, labels, goal, missed="raise")
+    with pytest.warns(UserWarning, match="out of reach"):
+        assert mixing.resample(docs, labels, goal, missed="unmixed").count() == 120
+    with pytest.raises(ValueError, match="missed"):
+        mixing.mix(docs, labels, missed="never")
+
+
 def test_mixing_moves_no_text(spark):
     docs = spark.createDataFrame([(i, f"some words of text {i}", "en", "s", 20) for i in range(40)], DOCS)
     labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")

@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from roadloom.llm import decontaminate, embedding_dedup, langid, mixing, ngram_lr, pii, queries, secrets, simhash, token_files, toxicity
+from roadloom.llm.common import text_key
 from roadloom.llm.components import connected_components
 
 DATA = "/root/testdata/sf0.01"
@@ -230,6 +231,15 @@ def test_embeddings_match_brute_force(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_over_the_range_of_doubles(spark):
+    pairs = [([x, 2 * x], [x, 2.0000001 * x]) for x in (1e-170, 1e200, 5e-324 * 2**20, 1e-320, 8e307, 1.0)]
+    rows = [v for p in pairs for v in p] + [[-1e-170, 1e-300], [1e200, -1e200]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert {i: got[i] for i in range(12)} == dict.fromkeys(range(12), (11, 0))
+    assert got[12] == (0, 12) and got[13] == (0, 13)
+
+
 def test_embedding_design_grows_with_the_corpus():
     for n in (1, 500, 50_000, 10**7, 10**9):
         tables, bits = embedding_dedup.design(n)
@@ -482,8 +492,12 @@ def test_scores_of_odd_texts(spark):
 
 
 def test_copies_have_the_rate_as_mean(spark):
-    m = spark.range(20_000).select(mixing.copies(F.lit(1.3), F.col("id")).alias("c")).agg(F.mean("c"), F.max("c")).first()
+    m = spark.range(20_000).select(mixing.copies(F.lit(1.3), F.col("id"), F.lit(b"x")).alias("c")).agg(F.mean("c"), F.max("c")).first()
     assert abs(m[0] - 1.3) < 0.02 and m[1] == 2
+    # rows with null ids each have dice of their own, by their texts
+    texts = spark.range(1000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    n = texts.select(mixing.copies(F.lit(0.4), F.col("doc_id"), text_key()).alias("c")).agg(F.sum("c")).first()[0]
+    assert 340 < n < 460
 
 
 @real
@@ -505,7 +519,7 @@ def test_mixing_of_documents(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_same_as_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "embeddings"):
+    for t in ("documents", "benchmark", "embeddings", "conversations"):
         c.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     want = c.sql(queries.ORACLE_SQL[name]).df()
     got = queries.QUERIES[name](spark, DATA).toPandas()[list(want.columns)]
