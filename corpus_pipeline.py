@@ -41,7 +41,8 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or left out so that the domains' token totals meet their targets.
 
-    Rows of one id get equal dice. Labels that know one class only leave all documents as they are.
+    Out of reach, the targets are met as far as least squares goes, with a warning. Labels that know one
+    class only leave all documents as they are.
     """
     return mixing.resample(docs, table(spark, sf_dir, "labels"))
 
