@@ -33,6 +33,12 @@ def mercator_y(lat) -> Column:
     return F.log(F.tan(math.pi / 4 + F.radians(lat) / 2)) * MERCATOR_R
 
 
+def on_sphere(lat: str, lon: str) -> dict[str, Column]:
+    """Coordinates on the unit sphere: places a great-circle distance apart are its chord apart."""
+    a, b = F.radians(lat), F.radians(lon)
+    return {"x": F.cos(a) * F.cos(b), "y": F.cos(a) * F.sin(b), "z": F.sin(a)}
+
+
 def planar(x1, y1, x2, y2) -> Column:
     return F.sqrt(F.pow(x2 - x1, 2) + F.pow(y2 - y1, 2))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 
@@ -54,17 +56,21 @@ class Grid:
 
     Only points in cells of few members are ever compared one by one, each with the points of the
     cells around; two full cells are compared in blocks until a pair is found. So the work follows the
-    number of points, however many lie in one place.
+    number of points, however many lie in one place. group: numbers from 0, ascending; points of two
+    groups never meet.
     """
 
-    def __init__(self, points: np.ndarray, eps: float):
+    def __init__(self, points: np.ndarray, eps: float, group: np.ndarray | None = None):
         n, d = points.shape
         self.eps = eps
         cells = np.floor(points / (eps / np.sqrt(d) * (1 - 1e-9))).astype(np.int64)
-        cells -= cells.min(axis=0) - 2
-        spans = cells.max(axis=0) + 3
-        steps = np.concatenate([[1], np.cumprod(spans[:-1])])
-        key = cells @ steps
+        group = np.zeros(n, np.int64) if group is None else group
+        begin = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        low = np.minimum.reduceat(cells, begin) - 2
+        cells -= np.repeat(low, np.diff(np.append(begin, n)), axis=0)
+        spans = [int(x) + 3 for x in cells.max(axis=0)]
+        steps = np.array([math.prod(spans[:k]) for k in range(d)])
+        key = cells @ steps + group * math.prod(spans)
         self.order = np.argsort(key, kind="stable")
         self.points = points[self.order]
         self.keys, self.begin, self.count = np.unique(key[self.order], return_index=True, return_counts=True)
@@ -103,11 +109,11 @@ class Grid:
         return np.concatenate([both[:, 0], own]), np.concatenate([both[:, 1], own])
 
 
-def dense(points: np.ndarray, eps: float, at_least: int, strict: bool = False) -> np.ndarray:
-    """Whether so many points, itself included, are within eps of each point."""
+def dense(points: np.ndarray, eps: float, at_least: int, strict: bool = False, group: np.ndarray | None = None) -> np.ndarray:
+    """Whether so many points of its group, itself included, are within eps of each point."""
     out = np.ones(len(points), bool)
     if len(points):
-        grid = Grid(points, eps)
+        grid = Grid(points, eps, group)
         out[grid.order] = _core(grid, at_least, strict)
     return out
 
@@ -121,17 +127,17 @@ def _core(grid: Grid, at_least: int, strict: bool = False) -> np.ndarray:
     return near >= at_least
 
 
-def density_labels(points: np.ndarray, eps: float, at_least: int) -> np.ndarray:
+def density_labels(points: np.ndarray, eps: float, at_least: int, group: np.ndarray | None = None) -> np.ndarray:
     """Density clusters: core points with enough points within eps, joined where adjacent.
 
-    Clusters are numbered by their first core point; a point beside several gets the lowest number,
-    others get -1.
+    Clusters are numbered by their first core point, in each group from 0; a point beside several gets
+    the lowest number, others get -1.
     """
     n = len(points)
     label = np.full(n, -1)
     if not n:
         return label
-    grid = Grid(points, eps)
+    grid = Grid(points, eps, group)
     core = _core(grid, at_least)
     cores = np.bincount(grid.cell[core], minlength=len(grid.keys))
     up = list(range(len(grid.keys)))
@@ -164,6 +170,10 @@ def density_labels(points: np.ndarray, eps: float, at_least: int) -> np.ndarray:
         ok = ~core[i] & core[j] & grid.within(i, j)
         np.minimum.at(found, i[ok], found[j[ok]])
     label[grid.order] = np.where(found < n, found, -1)
+    if group is not None:  # clusters of earlier groups come first
+        lowest = np.full(int(group.max()) + 1, n)
+        np.minimum.at(lowest, group[label >= 0], label[label >= 0])
+        label[label >= 0] -= lowest[group[label >= 0]]
     return label
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from roadloom.functions import kernels
 from roadloom.functions.geo import DEGREES_PER_METRE, EARTH_M, along, cell, haversine_m, in_corridor, in_ring, mercator_x, mercator_y, near_part, planar, segment_cells
 from roadloom.functions.stats import kurtosis, ratio, skewness
+from roadloom.operators import density
 from roadloom.operators.grouped import map_groups
 from roadloom.operators.prep import date_gate, deduplicate, keep_large_groups
 from roadloom.schema import BUS_TYPES, RAIL_TYPES
@@ -24,15 +25,7 @@ CLUSTER_EPS, CLUSTER_MIN = 100.0, 3
 
 def cluster(points: DataFrame, eps: float = CLUSTER_EPS, at_least: int = CLUSTER_MIN) -> DataFrame:
     """Adds labels: density clusters of each trip in the web projection, -1 for noise."""
-    df = points.withColumn("__x", mercator_x("Longitude")).withColumn("__y", mercator_y("Latitude"))
-    schema = f"{', '.join(f'`{c}` {t}' for c, t in points.dtypes)}, labels int"
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["PointDate", "RowId"], kind="stable")
-        g["labels"] = kernels.cluster_planar(g[["__x", "__y"]].to_numpy(), eps, at_least)
-        return g.drop(columns=["__x", "__y"])
-
-    return df.groupBy("TrackId").applyInPandas(run, schema)
+    return density.labelled(points, "TrackId", ["PointDate", "RowId"], {"x": mercator_x("Longitude"), "y": mercator_y("Latitude")}, eps, at_least)
 
 
 def without_outliers(points: DataFrame) -> DataFrame:

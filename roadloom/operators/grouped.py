@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 Kernel = Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch]
 
 
-def _changes(batch: pa.RecordBatch, keys: int) -> np.ndarray:
+def changes(batch: pa.RecordBatch, keys: int) -> np.ndarray:
     """Rows, but the first, whose key differs from the row before."""
     new = np.zeros(max(batch.num_rows - 1, 0), bool)
     for k in range(keys):
@@ -49,7 +49,7 @@ def map_groups(df: DataFrame, keys: list[str], order: list[str], columns: list[s
             if not b.num_rows:
                 continue
             key = [b.column(k)[0].as_py() for k in range(len(keys))]
-            starts = _changes(b, len(keys))
+            starts = changes(b, len(keys))
             if key != last:
                 starts = np.append(0, starts)
             last = [b.column(k)[b.num_rows - 1].as_py() for k in range(len(keys))]

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions import kernels
+from roadloom.functions.geo import on_sphere
+from roadloom.operators import density
 
 
 def end_clusters(ends: DataFrame, metres: float = 1000.0, others: int = 3) -> DataFrame:
@@ -15,17 +15,7 @@ def end_clusters(ends: DataFrame, metres: float = 1000.0, others: int = 3) -> Da
 
     ends: (DeviceToken, PointDate, Latitude, Longitude).
     """
-    schema = f"{', '.join(f'`{c}` {t}' for c, t in ends.dtypes)}, label int"
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["PointDate", "Latitude", "Longitude"], kind="stable")
-        at, eps = kernels.sphere(g["Latitude"].to_numpy(), g["Longitude"].to_numpy()), kernels.chord(metres)
-        dense = kernels.dense(at, eps, others + 1, strict=True)
-        label = np.full(len(g), -1)
-        label[dense] = kernels.density_labels(at[dense], eps, others + 1)
-        return g.assign(label=label.astype(np.int32))
-
-    return ends.groupBy("DeviceToken").applyInPandas(run, schema)
+    return density.labelled(ends, "DeviceToken", ["PointDate", "Latitude", "Longitude"], on_sphere("Latitude", "Longitude"), kernels.chord(metres), others + 1, True, "label")
 
 
 def cluster_stats(labelled: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from roadloom.functions import kernels
 from roadloom.functions.geo import angle, haversine_m, planar
 from roadloom.functions.stats import seconds
 from roadloom.operators.prep import in_order
+from roadloom.operators.scans import first_order
 from roadloom.operators.segments import longest_run
 
 ACC = ["AccelerationXOriginal", "AccelerationYOriginal", "AccelerationZOriginal"]
@@ -32,18 +33,10 @@ def orientation(points: DataFrame, acc: list[str] | None = None, gyro: list[str]
 def low_pass(points: DataFrame, column: str, tau: float = 0.5) -> DataFrame:
     """(TrackId, RowId, smooth): first-order filter with the weight dt / (tau + dt) of each step.
 
-    It starts at a trip's first value; steps of no time leave it as it is. A recursion over the whole
-    trip in order, so each trip is one group.
+    It starts at a trip's first value; steps of no time leave it as it is. A trip of any length is spread
+    over ranges of time, see ``scans``.
     """
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["PointDate", "RowId"], kind="stable")
-        dt = g["PointDate"].diff().dt.total_seconds().fillna(0.0).to_numpy()
-        weight = np.where(dt > 0, dt / (tau + dt), 0.0)
-        return g[["TrackId", "RowId"]].assign(smooth=kernels.low_pass(g[column].to_numpy(float), weight))
-
-    kinds = dict(points.dtypes)
-    return points.select("TrackId", "RowId", "PointDate", column).groupBy("TrackId").applyInPandas(run, f"TrackId {kinds['TrackId']}, RowId {kinds['RowId']}, smooth double")
+    return first_order(points, column, tau)
 
 
 def resample_seconds(points: DataFrame, column: str) -> DataFrame:

@@ -397,10 +397,12 @@ _FILE = "RowId bigint, TrackId bigint, DeviceToken string, PointDate timestamp_n
 
 def _filed(spark, d) -> DataFrame:
     p = q._points(spark, d)
-    return p.select("RowId", "TrackId", F.col("DeviceToken").cast("string").alias("DeviceToken"), "PointDate", "Speed", F.when(F.col("SpeedLimit") >= 30, F.col("SpeedLimit")).alias("SpeedLimit"))
+    return p.select((F.col("RowId") + _BEYOND).alias("RowId"), "TrackId", F.col("DeviceToken").cast("string").alias("DeviceToken"), "PointDate", "Speed", F.when(F.col("SpeedLimit") >= 30, F.col("SpeedLimit")).alias("SpeedLimit"))
 
 
-_FILED = ", x AS (SELECT 1) SELECT RowId, TrackId, CAST(DeviceToken AS VARCHAR) AS DeviceToken, PointDate, Speed, CASE WHEN SpeedLimit >= 30 THEN SpeedLimit END AS SpeedLimit, CAST(NULL AS BIGINT) AS Number FROM tp"
+#: Ids beyond the whole numbers that doubles tell apart.
+_BEYOND = 1 << 53
+_FILED = f", x AS (SELECT 1) SELECT RowId + {_BEYOND} AS RowId, TrackId, CAST(DeviceToken AS VARCHAR) AS DeviceToken, PointDate, Speed, CASE WHEN SpeedLimit >= 30 THEN SpeedLimit END AS SpeedLimit, CAST(NULL AS BIGINT) AS Number FROM tp"
 
 
 @q.query("src_csv", _FILED)

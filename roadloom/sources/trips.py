@@ -25,7 +25,8 @@ def read_csv(spark: SparkSession, path: str | list[str], schema_: str, columns:
     """CSV with a header, compressed or not; '' and NA are null, whatever the column's type.
 
     Columns are matched by name; those of the schema that a file lacks come back as null. decimal
-    is the decimal sign of numbers.
+    is the decimal sign of numbers. Integers are exact; text that isn't a whole number of the column's
+    range is null.
     """
     return _typed(spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE").csv(path), schema_, columns, decimal)
 
@@ -45,9 +46,11 @@ def _typed(raw: DataFrame, schema_: str, columns: list[str] | None, decimal: str
         text = F.when(~text.isin("", "NA"), text)
         if decimal != "." and isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             text = F.replace(text, F.lit(decimal), F.lit("."))
-        if isinstance(f.dataType, (T.IntegerType, T.LongType)):
-            text = text.try_cast("double")
-        out.append(text.try_cast(f.dataType).alias(f.name))
+        value = text.try_cast(f.dataType)
+        if isinstance(f.dataType, (T.IntegerType, T.LongType)):  # whole numbers with decimals, as 7.0, too; never by way of a double
+            exact = text.try_cast("decimal(38,18)")
+            value = F.coalesce(value, F.when(exact == F.floor(exact), exact).try_cast(f.dataType))
+        out.append(value.alias(f.name))
     return raw.select(*out)
 
 
