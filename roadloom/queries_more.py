@@ -15,7 +15,7 @@ from roadloom.plans.predict import predict as predict_plan
 from roadloom.schema import BUS_TYPES, RAIL_TYPES
 from roadloom.session import materialised, scratch_folder
 from roadloom.sources import sinks, trips
-from roadloom.streaming import online
+from roadloom.streaming import online, uploads
 
 #: Clusters of each trip (lb) and the points of those of more than four (wo).
 _CLUSTERED = """
@@ -516,6 +516,41 @@ def str_score(spark, d):
     return q.rounded(out.unionByName(spark.read.parquet(f"{base}/fast").drop("batch"), allowMissingColumns=True))
 
 
+_PARTS = {"tracks": "TrackId bigint, Distance double", "rich": "TrackId bigint, SpeedLimit double", "incoming": "TrackId bigint, Speed double"}
+
+
+@q.query("str_uploads", """, x AS (SELECT 1)
+SELECT TrackId, round(Distance, 6) AS Distance, rich, incoming, fast, '' AS error
+FROM (SELECT TrackId, max(TotalMeters) AS Distance, count(SpeedLimit) AS rich, count(*) AS incoming, max(Speed) > 60 AS fast FROM tp WHERE DeviceToken % 5 <> 4 GROUP BY TrackId)
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, 'missing: rich'""")
+def str_uploads(spark, d):
+    """Uploads of three files each, put together over several batches of a stream of files; one lacks a part and expires."""
+    base = scratch_folder(spark, "uploads")
+    p = q._points(spark, d).withColumn("upload", F.col("DeviceToken") % 5)
+    heads = p.groupBy("upload", "TrackId").agg(F.max("TotalMeters").alias("Distance"))
+    for kind, df in (("tracks", heads), ("rich", p.where("upload <> 4").select("upload", "TrackId", "SpeedLimit")), ("incoming", p.select("upload", "TrackId", "Speed"))):
+        df.withColumn("kind", F.lit(kind)).repartition("upload").write.mode("append").partitionBy("upload", "kind").option("header", True).csv(f"{base}/in")
+    _age(spark, f"{base}/in")
+    files = uploads.parts(spark, f"{base}/in", r"upload=([^/]+)/kind=([a-z]+)/", 6)
+
+    def plan(tracks, rich, incoming):
+        n, m = rich.groupBy("TrackId").agg(F.count("SpeedLimit").alias("rich")), incoming.groupBy("TrackId").agg(F.count("*").alias("incoming"), (F.max("Speed") > 60).alias("fast"))
+        return tracks.join(n, "TrackId").join(m, "TrackId").withColumn("error", F.lit(""))
+
+    uploads.score_uploads(uploads.assembled(files, tuple(_PARTS), "10 minutes"), plan, f"{base}/out", f"{base}/bad", f"{base}/state", _PARTS).awaitTermination()
+    bad = spark.read.parquet(f"{base}/bad").select("error")
+    return q.rounded(spark.read.parquet(f"{base}/out").drop("batch").unionByName(bad, allowMissingColumns=True))
+
+
+def _age(spark, folder: str) -> None:
+    """Gives the few files of uploads times an hour apart from upload to upload, the last upload being the oldest."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path").collect():
+        hours = 10 - int(r["path"].split("upload=")[1].split("/")[0])
+        fs.setTimes(spark._jvm.org.apache.hadoop.fs.Path(r["path"]), (1_700_000_000 + hours * 3600) * 1000, -1)
+
+
 @q.query("str_last_trip", ", x AS (SELECT 1) SELECT DeviceToken, arg_max(TrackId, (EndDate, TrackId)) AS TrackId FROM hd GROUP BY DeviceToken")
 def str_last_trip(spark, d):
     """Each device's latest trip, from a stream of headers in several batches with state per device."""
