@@ -82,14 +82,22 @@ def corridors(points: DataFrame, simplify_m: float = 50.0, width_m: float = 30.0
 
 
 def country_of(points: DataFrame, countries: DataFrame, lat: str, lon: str, keys: list[str]) -> DataFrame:
-    """Rows of points with iso2; countries (iso2, rings) are a fixed small table, pre-checked by their boxes."""
-    ring = countries.select("iso2", F.explode("rings").alias("ring"))
+    """Rows of points (by keys) with iso2 of each country (iso2, rings) they are in.
+
+    A place is in a country if it is in an odd number of the rings of one of its rows, so holes count.
+    Places meet the rings on cells of one degree in both axes, and then by the rings' boxes.
+    """
+    ring = countries.withColumn("__row", F.monotonically_increasing_id()).select("__row", "iso2", F.posexplode("rings").alias("__ring", "ring"))
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
     box = ring.withColumn("x0", F.array_min(xs)).withColumn("x1", F.array_max(xs)).withColumn("y0", F.array_min(ys)).withColumn("y1", F.array_max(ys))
-    p = points.select(*keys, F.col(lon).alias("__px"), F.col(lat).alias("__py")).withColumn("__deg", F.floor("__px"))
-    box = box.withColumn("__deg", F.explode(F.sequence(F.floor("x0"), F.floor("x1"))))
+    for c in "xy":
+        box = box.withColumn(f"__c{c}", F.explode(F.sequence(F.floor(f"{c}0"), F.floor(f"{c}1"))))
+    p = points.select(*keys, F.col(lon).alias("__px"), F.col(lat).alias("__py")).withColumn("__cx", F.floor("__px")).withColumn("__cy", F.floor("__py"))
     inside = F.col("__px").between(F.col("x0"), F.col("x1")) & F.col("__py").between(F.col("y0"), F.col("y1")) & in_ring(F.col("__px"), F.col("__py"), F.col("ring"))
-    return p.join(box, "__deg").where(inside).select(*keys, "iso2").distinct()
+    met = p.join(box, ["__cx", "__cy"]).where(inside)
+    # a repeated point meets each ring as often as it is there, so points are kept apart by place
+    odd = met.select(*keys, "__px", "__py", "__row", "iso2", "__ring").distinct().groupBy(*keys, "__px", "__py", "__row", "iso2").count()
+    return odd.where("count % 2 = 1").select(*keys, "iso2").distinct()
 
 
 def left_hand(points: DataFrame, countries: DataFrame, left_traffic: DataFrame) -> DataFrame:

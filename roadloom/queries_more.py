@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from roadloom.plans.predict import Maps, validate
 from roadloom.plans.predict import predict as predict_plan
 from roadloom.schema import BUS_TYPES, RAIL_TYPES
 from roadloom.session import materialised, scratch_folder
-from roadloom.sources import sinks, trips
+from roadloom.sources import shapefile, sinks, trips
 from roadloom.streaming import online, uploads
 
 #: Clusters of each trip (lb) and the points of those of more than four (wo).
@@ -405,6 +407,26 @@ _BEYOND = 1 << 53
 _FILED = f", x AS (SELECT 1) SELECT RowId + {_BEYOND} AS RowId, TrackId, CAST(DeviceToken AS VARCHAR) AS DeviceToken, PointDate, Speed, CASE WHEN SpeedLimit >= 30 THEN SpeedLimit END AS SpeedLimit, CAST(NULL AS BIGINT) AS Number FROM tp"
 
 
+@q.query("src_shapefile", """
+, tri AS (SELECT substr(r_name, 1, 2) AS iso2, r_regionkey AS code, CAST(54.0 AS DOUBLE) + r_regionkey * CAST(1.5 AS DOUBLE) AS lo FROM region)
+SELECT DISTINCT RowId, iso2, code FROM tp JOIN tri ON Latitude > lo AND Latitude < lo + 1.5 AND Longitude > 36.5 + (Latitude - lo) / 3 AND Longitude < 37.5 - (Latitude - lo) / 3
+  AND NOT (Latitude > lo + 1.00005 AND Latitude < lo + 1.03005 AND Longitude > 37.00105 AND Longitude < 37.00305)""")
+def src_shapefile(spark, d):
+    """Points in the countries of a shapefile, each with a hole, read in parts of two records."""
+    folder = scratch_folder(spark, "borders").removeprefix("file://")
+    os.makedirs(folder)
+    rows = []
+    for r in q._t(spark, d, "region").select("r_name", "r_regionkey").collect():
+        lo, corner = 54.0 + r.r_regionkey * 1.5, [37.00105, 1.00005, 37.00305, 1.03005]
+        hole = [(corner[i], lo + corner[j]) for i, j in ((0, 1), (2, 1), (2, 3), (0, 3), (0, 1))]
+        rows.append((r.r_name[:2], r.r_regionkey, [[(36.5, lo), (37.5, lo), (37.0, lo + 1.5), (36.5, lo)], hole]))
+    shapefile.write_polygons(f"{folder}/borders.shp", rows, [("ISO2", "C", 2, 0), ("CODE", "N", 5, 0)])
+    spark.dataSource.register(shapefile.Shapefile)
+    lands = spark.read.format("shapefile").option("recordsPerPartition", 2).load(f"{folder}/borders.shp").withColumnRenamed("ISO2", "iso2")
+    found = geometry.country_of(q._points(spark, d), lands, "Latitude", "Longitude", ["RowId"])
+    return found.join(lands.select("iso2", F.col("CODE").alias("code")), "iso2").select("RowId", "iso2", "code")
+
+
 @q.query("src_csv", _FILED)
 def src_csv(spark, d):
     """Written as compressed CSV and read again by the schema; a column that the file lacks is null."""
