@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom import queries as q
-from roadloom.operators import geometry, learning, rules, segments, sensors
+from roadloom.operators import boosting, geometry, learning, rules, segments, sensors
 from roadloom.operators.prep import deduplicate, in_order
 from roadloom.plans.features import driver_features
 from roadloom.plans.features import geo_features as geo_plan
@@ -614,3 +614,35 @@ def predict(spark, d):
     maps = Maps(q._airports(spark, d), q._stops(spark, d), q._ways(spark, d), _sides(spark, d, points), allowed)
     moved = points.withColumns({c: F.col("SpeedLimit") / 50 for c in sensors.GYRO}).withColumn("IncomingTrackId", F.col("TrackId"))
     return predict_plan(moved, q._rich(spark, d).withColumn("RichTrackId", F.col("TrackId")), tracks, model, maps)
+
+
+# ---- learning without SQL: tested against plain versions ----------------------------------------
+
+_ITEM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "days"]
+
+
+def _items(spark, d) -> DataFrame:
+    """Order lines, whether they were returned, and when they were shipped."""
+    return q._t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *_ITEM[:4], F.datediff("l_shipdate", F.lit("1992-01-01")).alias("days"), (F.col("l_returnflag") == "R").cast("int").alias("label"))
+
+
+@q.query("ml_information_coefficient")
+def ml_information_coefficient(spark, d):
+    """The maximal information coefficient of the return of an order line with each of its columns."""
+    return q.rounded(learning.information_coefficients(_items(spark, d), "label", _ITEM))
+
+
+@q.query("ml_boosting")
+def ml_boosting(spark, d):
+    """Order lines scored by second-order boosted trees with the tuned set of hyper-parameters, a few rounds of them."""
+    items = _items(spark, d)
+    model = boosting.fit(items, "label", _ITEM, **{**boosting.BUS_TUNED, "rounds": 4})
+    return q.rounded(model.score(items).select("l_orderkey", "l_linenumber", "proba"))
+
+
+@q.query("ml_staged_cv")
+def ml_staged_cv(spark, d):
+    """(round, fold, auc, best): held-out AUC of each round of five boosters that are trained together."""
+    items = _items(spark, d).withColumn("fold", F.pmod(F.hash("l_orderkey"), F.lit(5)))
+    aucs, best = boosting.cross_validated(items, "label", _ITEM, "fold", 5, **{**boosting.BUS_TUNED, "rounds": 3})
+    return q.rounded(spark.createDataFrame([(r + 1, f, a, r + 1 == best) for r, row in enumerate(aucs) for f, a in enumerate(row)], "round int, fold int, auc double, best boolean"))
