@@ -18,7 +18,9 @@ from roadloom.operators import geometry, history, learning, places, rules, segme
 from roadloom.operators.prep import date_gate, deduplicate, drop_last, in_order, keep_large_groups
 from roadloom.plans.features import prepared
 from roadloom.schema import BUS_TYPES, RAIL_TYPES
+from roadloom.session import scratch_folder
 from roadloom.sources import sinks, trips
+from roadloom.sources.store import KeyedStore
 from roadloom.streaming import online
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,6 +165,18 @@ def snk_update_prediction(spark, d):
 # ---- filters, windows ----------------------------------------------------------------------------
 
 
+@query("snk_store", ", x AS (SELECT 1) SELECT TrackId AS Id, n_points, CASE WHEN n_points > 20 THEN 'Bus' END AS Prediction FROM hd UNION ALL SELECT -1, count(*), 'first version' FROM hd")
+def snk_store(spark, d):
+    """Headers in a keyed store; predictions of known trips are merged into their buckets, the first version stays."""
+    h = _header(spark, d).select(F.col("TrackId").alias("Id"), "n_points", F.lit(None).cast("string").alias("Prediction"))
+    held = KeyedStore(spark, scratch_folder(spark, "store"), ["Id"], 16)
+    first = held.upsert(h)
+    labels = h.where("n_points > 20").select("Id", F.lit("Bus").alias("Prediction"))
+    held.upsert(labels.union(labels.select(F.col("Id") + 10**9, "Prediction")), insert=False)
+    old = held.read(first).where("Prediction is null").agg(F.lit(-1).cast("long").alias("Id"), F.count("*").alias("n_points"), F.lit("first version").alias("Prediction"))
+    return held.read().unionByName(old)
+
+
 @query("flt_date_gate", ", x AS (SELECT 1) SELECT RowId FROM tp WHERE PointDate > TIMESTAMP '2024-01-10'")
 def flt_date_gate(spark, d):
     return date_gate(_points(spark, d), "2024-01-10").select("RowId")
