@@ -7,7 +7,6 @@ meet on grid cells, so no trip is paired with the whole map.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +15,7 @@ from roadloom.functions import kernels
 from roadloom.functions.geo import DEGREES_PER_METRE, EARTH_M, along, cell, haversine_m, in_corridor, in_ring, mercator_x, mercator_y, near_part, planar, segment_cells
 from roadloom.functions.stats import kurtosis, ratio, skewness
 from roadloom.operators import density
-from roadloom.operators.grouped import map_groups
+from roadloom.operators.grouped import map_groups, spans
 from roadloom.operators.prep import date_gate, deduplicate, keep_large_groups
 from roadloom.schema import BUS_TYPES, RAIL_TYPES
 
@@ -266,14 +265,18 @@ def speed_profile(track: DataFrame, others: DataFrame, metres: float = 35.0) ->
 def speed_curve(profile: DataFrame, degree: int = 10, step_m: float = 25.0) -> DataFrame:
     """(TrackId, dist, Speed): a polynomial through a profile, sampled about every 25 m."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("dist")
-        x, y = g["dist"].to_numpy(), g["Speed"].to_numpy()
-        n = int(x.max() / step_m) if len(x) else 0
-        if n < 1 or len(np.unique(x)) <= degree:
-            return pd.DataFrame({"TrackId": [], "dist": [], "Speed": []})
-        f = np.polynomial.Polynomial.fit(x, y, degree)
-        at = np.linspace(x[0], x[-1], n)
-        return pd.DataFrame({"TrackId": g["TrackId"].iloc[0], "dist": at, "Speed": f(at)})
-
-    return profile.groupBy("TrackId").applyInPandas(run, f"TrackId {dict(profile.dtypes)['TrackId']}, dist double, Speed double")
+    def run(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        x, y = (rows.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+        sizes, found = [], [(np.zeros(0), np.zeros(0))]
+        for a, b in spans(starts, rows.num_rows):
+            n = int(x[b - 1] / step_m)
+            if n < 1 or len(np.unique(x[a:b])) <= degree:
+                found.append(found[0])
+            else:
+                at = np.linspace(x[a], x[b - 1], n)
+                found.append((at, np.polynomial.Polynomial.fit(x[a:b], y[a:b], degree)(at)))
+            sizes.append(len(found[-1][0]))
+        dist, speed = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(np.repeat(starts, sizes))), pa.array(dist), pa.array(speed)], names=["TrackId", "dist", "Speed"])
+
+    return map_groups(profile, ["TrackId"], ["dist", "Speed"], ["dist", "Speed"], f"TrackId {dict(profile.dtypes)['TrackId']}, dist double, Speed double", run)

@@ -27,6 +27,11 @@ def changes(batch: pa.RecordBatch, keys: int) -> np.ndarray:
     return np.flatnonzero(new) + 1
 
 
+def spans(starts: np.ndarray, rows: int) -> list[tuple[int, int]]:
+    """First and last row, the latter not included, of each group."""
+    return list(zip(starts.tolist(), [*starts[1:].tolist(), rows], strict=True))
+
+
 def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     if len(parts) == 1:
         return parts[0]

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions import kernels
 from roadloom.functions.geo import angle, haversine_m, planar
 from roadloom.functions.stats import seconds
+from roadloom.operators.grouped import map_groups, spans
 from roadloom.operators.prep import in_order
 from roadloom.operators.scans import first_order
 from roadloom.operators.segments import longest_run
@@ -71,11 +72,12 @@ def rolling_amplitude(df: DataFrame, column: str, window: int = 30, order: str =
 def smooth(grid: DataFrame, window: int = 200) -> DataFrame:
     """(TrackId, second, smooth): centred Parzen means of (TrackId, second, value), the nearest one where the window does not fit."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("second")
-        return g[["TrackId", "second"]].assign(smooth=kernels.smooth_centred(g["value"].to_numpy(), window))
+    def run(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        y = rows.column(2).to_numpy(zero_copy_only=False)
+        out = np.concatenate([kernels.smooth_centred(y[a:b], window) for a, b in spans(starts, rows.num_rows)])
+        return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(out)], names=["TrackId", "second", "smooth"])
 
-    out = grid.groupBy("TrackId").applyInPandas(run, f"TrackId {dict(grid.dtypes)['TrackId']}, second timestamp_ntz, smooth double")
+    out = map_groups(grid, ["TrackId"], ["second"], ["second", "value"], f"TrackId {dict(grid.dtypes)['TrackId']}, second timestamp_ntz, smooth double", run)
     return out.withColumn("smooth", F.nanvl("smooth", F.lit(None).cast("double")))
 
 
@@ -132,21 +134,23 @@ def vertical_features(points: DataFrame) -> DataFrame:
     0 for trips of fewer than 300 samples, without acceleration, or with fewer than 300 small values.
     """
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["PointDate", "RowId"], kind="stable")
-        out = np.zeros(4)
-        acc = g[ACC].to_numpy(float)
-        if len(g) >= 300 and not np.isnan(acc[0, 0]) and acc[:, 0].sum() != 0:
-            t = (g["PointDate"] - g["PointDate"].iloc[0]).dt.total_seconds().to_numpy()
-            up, spin = kernels.steady_up(acc, g[GYRO].to_numpy(float), t)
-            for k, v in ((0, spin[np.abs(spin) < 0.1]), (2, up[np.abs(up) < 1.0])):
-                if len(v) >= 300:
-                    out[k], out[k + 1] = v.mean(), v.std()
-        return pd.DataFrame({"TrackId": [g["TrackId"].iloc[0]], **{f"z_f{k}": [out[k]] for k in range(4)}})
-
-    cols = ["TrackId", "PointDate", "RowId", *ACC, *GYRO]
+    cols = [*ACC, *GYRO]
+
+    def run(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        t = rows.column(1).to_numpy(zero_copy_only=False).astype("datetime64[us]").astype(np.int64) / 1e6
+        xyz = np.column_stack([rows.column(2 + i).to_numpy(zero_copy_only=False) for i in range(len(cols))])
+        out = np.zeros((len(starts), 4))
+        for k, (a, b) in enumerate(spans(starts, rows.num_rows)):
+            acc = xyz[a:b, :3]
+            if b - a >= 300 and not np.isnan(acc[0, 0]) and acc[:, 0].sum() != 0:
+                up, spin = kernels.steady_up(acc, xyz[a:b, 3:], t[a:b] - t[a])
+                for j, v in ((0, spin[np.abs(spin) < 0.1]), (2, up[np.abs(up) < 1.0])):
+                    if len(v) >= 300:
+                        out[k, j : j + 2] = v.mean(), v.std()
+        return pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(starts)), *map(pa.array, out.T)], names=["TrackId", *(f"z_f{k}" for k in range(4))])
+
     schema = f"TrackId {dict(points.dtypes)['TrackId']}, " + ", ".join(f"z_f{k} double" for k in range(4))
-    return points.select(*cols).groupBy("TrackId").applyInPandas(run, schema)
+    return map_groups(points, ["TrackId"], ["PointDate", "RowId"], ["PointDate", *cols], schema, run)
 
 
 def parking(walk: DataFrame) -> DataFrame:
@@ -201,11 +205,13 @@ def spectrum(samples: DataFrame, key: str = "TrackId", gravity: float = 9.81523,
         df = df.where(F.col("t") < hi)
     df = df.withColumn("t", F.col("t") - F.min("t").over(Window.partitionBy(key)))
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("t")
-        if len(g) < 2 or g["t"].max() <= 0:
-            return pd.DataFrame({key: [], "freq": [], "amp": []})
-        f, a = kernels.spectrum(g["t"].to_numpy(), g["y"].to_numpy())
-        return pd.DataFrame({key: g[key].iloc[0], "freq": f, "amp": a})
+    def run(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        t, y = (rows.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+        n, found = [], [(np.zeros(0), np.zeros(0))]
+        for a, b in spans(starts, rows.num_rows):
+            found.append(kernels.spectrum(t[a:b], y[a:b]) if b - a > 1 and t[b - 1] > 0 else found[0])
+            n.append(len(found[-1][0]))
+        freq, amp = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(np.repeat(starts, n))), pa.array(freq), pa.array(amp)], names=[key, "freq", "amp"])
 
-    return df.select(key, "t", "y").groupBy(key).applyInPandas(run, f"{key} {dict(samples.dtypes)[key]}, freq double, amp double")
+    return map_groups(df, [key], ["t"], ["t", "y"], f"{key} {dict(samples.dtypes)[key]}, freq double, amp double", run)

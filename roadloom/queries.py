@@ -573,7 +573,7 @@ def _ways(spark, d):
 def geo_speed_curve(spark, d):
     p = _points(spark, d)
     profile = geometry.speed_profile(geometry.without_outliers(p), p)
-    return rounded(geometry.speed_curve(profile, degree=3).groupBy("TrackId").agg(F.count("*").alias("n"), F.max("dist").alias("dist")), 3)
+    return rounded(geometry.speed_curve(profile), 3)
 
 
 # ---- rules, places, sensors, models, streams -----------------------------------------------------

@@ -248,6 +248,33 @@ def sen_taxi_row(spark, d):
     return q.rounded(out.withColumns({c: F.round(c, 4) for c in ("theta_0", "rstd", "amp", "angle_mean", "angle_max")}))
 
 
+#: One step of the recursion: smoothed samples, then the angles that turn to gravity, then the vertical.
+_STEADY = """
+, va AS (SELECT DeviceToken % 5 AS TrackId, PointDate, RowId, CAST(0.9 + Speed / 1000 AS DOUBLE) AS x0, CAST(coalesce(SpeedLimit, 0) / 500 AS DOUBLE) AS x1, CAST((RowId % 7) / 50 AS DOUBLE) AS x2, CAST(Speed / 2000 - 0.02 AS DOUBLE) AS y0, CAST((RowId % 5) / 100 - 0.02 AS DOUBLE) AS y1, CAST(0.01 AS DOUBLE) AS y2 FROM tp),
+vb AS (SELECT *, row_number() OVER o - 1 AS i, coalesce(epoch_us(PointDate) - epoch_us(lag(PointDate) OVER o), 0) / CAST(1000000 AS DOUBLE) AS dt FROM va WINDOW o AS (PARTITION BY TrackId ORDER BY PointDate, RowId)),
+vr AS (
+  SELECT TrackId, i, x0 AS a0, x1 AS a1, x2 AS a2, y0 AS g0, y1 AS g1, y2 AS g2, CAST(0 AS DOUBLE) AS s1, CAST(1 AS DOUBLE) AS c1, CAST(0 AS DOUBLE) AS s2, CAST(1 AS DOUBLE) AS c2, x2 AS up FROM vb WHERE i = 0
+  UNION ALL
+  SELECT TrackId, i, a0, a1, a2, g0, g1, g2, s1, c1, s2, c2, (a2 * c1 + a1 * s1) * c2 + a0 * s2 FROM (
+    SELECT TrackId, i, a0, a1, a2, g0, g1, g2, CASE WHEN go THEN f * a1 / flat + (1 - f) * s1 ELSE s1 END AS s1, CASE WHEN go THEN f * a2 / flat + (1 - f) * c1 ELSE c1 END AS c1,
+      CASE WHEN go THEN f * a0 / whole + (1 - f) * s2 ELSE s2 END AS s2, CASE WHEN go THEN f * flat / whole + (1 - f) * c2 ELSE c2 END AS c2 FROM (
+      SELECT *, CASE WHEN i < 200 THEN flat < 1.3 AND whole > 0.7 ELSE NOT (up >= 0.85 AND up <= 1.15) END AS go FROM (
+        SELECT *, sqrt(a1 * a1 + a2 * a2 + a0 * a0) AS whole, sqrt(a1 * a1 + a2 * a2) AS flat FROM (
+          SELECT vb.TrackId, vb.i, CASE WHEN dt > 0 THEN dt / (0.03 + dt) ELSE 0 END AS f, s1, c1, s2, c2, up, a0 + w * (x0 - a0) AS a0, a1 + w * (x1 - a1) AS a1, a2 + w * (x2 - a2) AS a2, g0 + w * (y0 - g0) AS g0, g1 + w * (y1 - g1) AS g1, g2 + w * (y2 - g2) AS g2
+          FROM vr JOIN (SELECT *, CASE WHEN dt > 0 THEN dt / (0.5 + dt) ELSE 0 END AS w FROM vb) vb ON vb.TrackId = vr.TrackId AND vb.i = vr.i + 1))))),
+vs AS (SELECT TrackId, up, (g2 * c1 + g1 * s1) * c2 + g0 * s2 AS spin FROM vr)"""
+_MANY = "CASE WHEN count(CASE WHEN abs({0}) < {1} THEN 1 END) >= 300 THEN round({2}(CASE WHEN abs({0}) < {1} THEN {0} END), 6) ELSE 0 END AS {3}"
+
+
+@recursive("sen_vertical", _STEADY + " SELECT TrackId, " + ", ".join(_MANY.format(c, least, f, n) for c, least, f, n in (("spin", 0.1, "avg", "z_f0"), ("spin", 0.1, "stddev_pop", "z_f1"), ("up", "CAST(1 AS DOUBLE)", "avg", "z_f2"), ("up", "CAST(1 AS DOUBLE)", "stddev_pop", "z_f3"))) + " FROM vs GROUP BY TrackId")
+def sen_vertical(spark, d):
+    """Vertical rotation and acceleration of long made-up trips, all points of a fifth of the devices, with axes turned to gravity."""
+    x = [0.9 + F.col("Speed") / 1000, F.coalesce("SpeedLimit", F.lit(0.0)) / 500, F.col("RowId") % 7 / 50]
+    y = [F.col("Speed") / 2000 - 0.02, F.col("RowId") % 5 / 100 - 0.02, F.lit(0.01)]
+    p = q._points(spark, d).withColumn("TrackId", F.col("DeviceToken") % 5).withColumns(dict(zip([*sensors.ACC, *sensors.GYRO], [*x, *y], strict=True)))
+    return q.rounded(sensors.vertical_features(p))
+
+
 @q.query("sen_spectrum", """
 , b AS (SELECT TrackId, row_number() OVER (PARTITION BY TrackId ORDER BY PointDate, RowId) - 1 AS j, sqrt(power(Speed, 2) + power(SpeedLimit, 2)) / CAST(9.81523 AS DOUBLE) AS y0 FROM tp),
 c AS (SELECT TrackId, j, y0 - avg(y0) OVER (PARTITION BY TrackId) AS y, count(*) OVER (PARTITION BY TrackId) AS n FROM b),

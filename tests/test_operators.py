@@ -302,3 +302,18 @@ def test_coverage_arithmetic_is_written_once(spark):
     ways = spark.createDataFrame([], "way_id long, way_type string, line array<struct<x:double,y:double>>")
     plan = geometry.coverage(v, ways)._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan) < 50_000
+
+
+def test_speed_curve_of_degree_ten(spark):
+    rng = np.random.default_rng(9)
+    profiles = {1: np.sort(rng.uniform(0, 900, 80)), 2: np.sort(rng.uniform(0, 400, 11)), 3: np.arange(10) * 50.0, 4: np.arange(30) * 0.5}
+    rows = [(k, float(x), float(30 + 10 * np.sin(x / 90) + rng.normal())) for k, xs in profiles.items() for x in xs]
+    df = spark.createDataFrame(rows, "TrackId long, dist double, Speed double").repartition(3)
+    out = geometry.speed_curve(df).collect()
+    assert {r.TrackId for r in out} == {1, 2}  # too few places, and too short
+    for k in (1, 2):
+        x, y = (np.array([r[i] for r in rows if r[0] == k]) for i in (1, 2))
+        got = sorted((r.dist, r.Speed) for r in out if r.TrackId == k)
+        want = np.polynomial.Legendre.fit(x, y, 10)  # another basis, the same least squares
+        assert len(got) == int(x.max() / 25) and np.allclose([s for _, s in got], want([d for d, _ in got]), atol=1e-5)
+        assert got[0][0] == x.min() and got[-1][0] == x.max()
