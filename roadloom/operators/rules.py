@@ -9,6 +9,7 @@ from roadloom.functions.geo import cell, haversine_m
 from roadloom.functions.stats import ratio, seconds
 from roadloom.operators.prep import deduplicate
 from roadloom.schema import AIRPORT, BIG_GAP, NEAR_AIRPORT, NOT_AIRPORT, SMALL_GAP, VERY_BIG_GAP
+from roadloom.session import materialised
 
 # Distances in metres and times in seconds that divide the classes.
 AIRPORT_M, NEAR_M, FAR_M, CLOSE_M = 1500.0, 3500.0, 400_000.0, 100_000.0
@@ -94,8 +95,8 @@ def airport_taxi(points: DataFrame, airports: DataFrame, labels: DataFrame | Non
     and away from home and airports is -1. old: the earlier variant of the rule, in which trips of
     fewer than ten points are the driver's and a trip to an airport is compared with the next start.
     """
-    trips = start_end(deduplicate(points))
-    trips = trips.join(homes(trips), "DeviceToken")
+    ends = materialised(start_end(deduplicate(points)))  # a row a trip, read by all that follows
+    trips = materialised(ends.join(homes(ends), "DeviceToken"))
     for side in ("start", "end"):
         found = nearest_airport(trips.select("TrackId", f"{side}_lat", f"{side}_lon"), airports, f"{side}_lat", f"{side}_lon", ["TrackId"])
         trips = trips.join(found.select("TrackId", F.col("airport_m").alias(f"{side}_m")), "TrackId")

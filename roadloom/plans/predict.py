@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from roadloom.operators import learning, rules
 from roadloom.operators.prep import with_row_id
 from roadloom.plans.features import driver_features
+from roadloom.session import materialised
 
 
 class Maps(NamedTuple):
@@ -36,7 +37,7 @@ def predict(incoming: DataFrame, rich: DataFrame, tracks: DataFrame, model: Pipe
     model scores features under plain names; without one no trip is a bus by the model.
     """
     tracks = tracks.withColumn("DeviceToken", F.lower("DeviceToken"))
-    ftrs = driver_features(incoming, rich, tracks, maps.stops, maps.ways, maps.sides)
+    ftrs = materialised(driver_features(incoming, rich, tracks, maps.stops, maps.ways, maps.sides))  # scored and joined again
     have = ftrs.columns
     if model is not None:
         scored = learning.score(learning.plain_names(ftrs), model).select("IncomingTrackId", "proba")

@@ -434,6 +434,25 @@ _BEYOND = 1 << 53
 _FILED = f", x AS (SELECT 1) SELECT RowId + {_BEYOND} AS RowId, TrackId, CAST(DeviceToken AS VARCHAR) AS DeviceToken, PointDate, Speed, CASE WHEN SpeedLimit >= 30 THEN SpeedLimit END AS SpeedLimit, CAST(NULL AS BIGINT) AS Number FROM tp"
 
 
+@q.query("src_three_tables", """, x AS (SELECT 1)
+SELECT TrackId AS Id, CAST(DeviceToken AS VARCHAR) AS DeviceToken, CASE n_points % 3 WHEN 2 THEN round(Distance, 6) END AS Distance, n_points AS n_rich, k AS n_limits, s AS speed_max
+FROM hd JOIN (SELECT TrackId, count(CASE WHEN SpeedLimit >= 30 THEN 1 END) AS k, max(Speed) AS s FROM tp GROUP BY TrackId) USING (TrackId)""")
+def src_three_tables(spark, d):
+    """A set of trips written as three tables and loaded by their schemas; blanks and NA are nulls, missing columns too."""
+    base = scratch_folder(spark, "tables")
+    p, h = q._points(spark, d), q._header(spark, d)
+    blank = F.when(F.col("n_points") % 3 == 0, "").when(F.col("n_points") % 3 == 1, "NA").otherwise(F.col("Distance").cast("string"))
+    sinks.write_csv(h.select(F.col("TrackId").alias("Id"), F.col("TrackId").alias("IncomingTrackId"), "DeviceToken", blank.alias("Distance")), f"{base}/tracks")
+    limit = F.when(F.col("SpeedLimit") >= 30, F.col("SpeedLimit").cast("string")).otherwise("NA")
+    sinks.write_csv(p.select(F.col("TrackId").alias("RichTrackId"), "PointDate", limit.alias("SpeedLimit")), f"{base}/rich")
+    sinks.write_csv(p.select(F.col("TrackId").alias("IncomingTrackId"), "PointDate", "Speed", F.col("RowId").alias("Number")), f"{base}/incoming")
+    t = trips.load(spark, f"{base}/tracks", f"{base}/rich", f"{base}/incoming")
+    rich = t.rich.groupBy(F.col("RichTrackId").alias("Id")).agg(F.count("PointDate").alias("n_rich"), F.count("SpeedLimit").alias("n_limits"))
+    raw = t.incoming.where("Height is null").groupBy("IncomingTrackId").agg(F.max("Speed").alias("speed_max"))
+    out = t.tracks.join(rich, "Id").join(raw, "IncomingTrackId")
+    return q.rounded(out.select("Id", "DeviceToken", "Distance", "n_rich", "n_limits", "speed_max"))
+
+
 @q.query("src_shapefile", """
 , tri AS (SELECT substr(r_name, 1, 2) AS iso2, r_regionkey AS code, CAST(54.0 AS DOUBLE) + r_regionkey * CAST(1.5 AS DOUBLE) AS lo FROM region)
 SELECT DISTINCT RowId, iso2, code FROM tp JOIN tri ON Latitude > lo AND Latitude < lo + 1.5 AND Longitude > 36.5 + (Latitude - lo) / 3 AND Longitude < 37.5 - (Latitude - lo) / 3
