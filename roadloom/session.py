@@ -23,6 +23,8 @@ def session(master: str | None = None, partitions: int | None = None, **more: st
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        # else each column expression makes several calls to the JVM to note its place in the source
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     for k, v in (settings | more).items():
         b = b.config(k, v)
