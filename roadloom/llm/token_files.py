@@ -211,25 +211,32 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _encode_batches(path: str, end_id: int):
-    """Batches (doc_id, text) into (doc_ids, ids of a block with end ids, where each document's begin)."""
+def _encode_batches(path: str, end_id: int, keep: bool = True):
+    """Batches (doc_id, text) into (doc_ids, ids of a block with end ids, where each document's begin).
+
+    keep: the worker holds its tokenizer and table of pieces for the next task.
+    """
 
     def run(batches):
         enc = _worker(path)
-        for b in batches:
-            data, off = text_buffer(b.column(1))
-            for lo, hi in blocks(off):
-                ids, first = enc.encode_block(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                yield b.column(0).slice(lo, hi - lo), np.insert(ids, first[1:], end_id), first + np.arange(len(first))
+        try:
+            for b in batches:
+                data, off = text_buffer(b.column(1))
+                for lo, hi in blocks(off):
+                    ids, first = enc.encode_block(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                    yield b.column(0).slice(lo, hi - lo), np.insert(ids, first[1:], end_id), first + np.arange(len(first))
+        finally:
+            if not keep:
+                _workers.pop(path, None)
 
     return run
 
 
-def train_dictionary(docs: DataFrame, path: str, width: int, end_id: int = END_ID, rows: int = FIT_ROWS) -> bytes:
+def train_dictionary(docs: DataFrame, path: str, width: int, end_id: int = END_ID, rows: int = FIT_ROWS, keep: bool = True) -> bytes:
     """A zstandard dictionary from the serialized ids of a bounded sample of shorter documents."""
     total = docs.select("doc_id").count()
     part = docs.where(F.length("text") <= FIT_CHARS).where(unit_hash(F.col("doc_id"), F.col("text"), F.lit(11)) < rows / max(total, 1))
-    step = _encode_batches(path, end_id)
+    step = _encode_batches(path, end_id, keep)
 
     def run(batches):
         for _, ids, first in step(batches):
@@ -254,8 +261,11 @@ def _wide(ids: bytes, width: int) -> bytes:
 _PACKS = "shard int, pack int, first_id bigint, last_id bigint, dictionary_sha256 string, payload binary, doc_ids array<bigint>, offsets array<bigint>, counts array<bigint>, starts array<bigint>"
 
 
-def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID) -> str:
-    """Writes the ids of docs (doc_id, text) in ascending doc_id order; returns the folder."""
+def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID, keep: bool = True) -> str:
+    """Writes the ids of docs (doc_id, text) in ascending doc_id order; returns the folder.
+
+    keep: Python workers hold their tokenizer between tasks, which saves time and costs some 80 MB each.
+    """
     spark = docs.sparkSession
     path = path or default_tokenizer()
     small_batches(spark)
@@ -263,11 +273,11 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
 
     width = 2 if max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    words = train_dictionary(docs, path, width, end_id)
+    words = train_dictionary(docs, path, width, end_id, keep=keep)
     sha = hashlib.sha256(words).hexdigest()
     spark.createDataFrame([(bytearray(words), sha, width)], "content binary, sha256 string, width int").coalesce(1).write.parquet(f"{folder}/dictionary")
     shared = spark.sparkContext.broadcast(words)
-    step = _encode_batches(path, end_id)
+    step = _encode_batches(path, end_id, keep)
 
     def compress(batches):
         z = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(shared.value), write_content_size=True)
@@ -366,9 +376,9 @@ def summary(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder).select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
-def encode_and_read(docs: DataFrame) -> DataFrame:
+def encode_and_read(docs: DataFrame, keep: bool = True) -> DataFrame:
     spark = docs.sparkSession
-    return summary(spark, write(docs.select("doc_id", "text"), scratch(spark, "token-files")))
+    return summary(spark, write(docs.select("doc_id", "text"), scratch(spark, "token-files"), keep=keep))
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
