@@ -44,6 +44,8 @@ FIT_ROWS, FIT_CHARS = 1500, 8000
 #: Pieces in a generation of the table of ids that a worker keeps.
 MEMO = 350_000
 LEVEL = 3
+#: Bytes of text that are encoded at a time.
+BLOCK = 2 << 20
 _ODD = re.compile(r"\s[ ]|[ ]\s")
 _NOT_BLANK = np.ones(256, bool)
 _NOT_BLANK[32] = False
@@ -214,7 +216,7 @@ def default_tokenizer() -> str:
 def _encode_batches(path: str, end_id: int, keep: bool = True):
     """Batches (doc_id, text) into (doc_ids, ids of a block with end ids, where each document's begin).
 
-    keep: the worker holds its tokenizer and table of pieces for the next task.
+    keep: the worker holds its tokenizer and table of pieces for the next task, and larger blocks are encoded at a time.
     """
 
     def run(batches):
@@ -222,7 +224,7 @@ def _encode_batches(path: str, end_id: int, keep: bool = True):
         try:
             for b in batches:
                 data, off = text_buffer(b.column(1))
-                for lo, hi in blocks(off):
+                for lo, hi in blocks(off, BLOCK if keep else BLOCK // 2):
                     ids, first = enc.encode_block(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                     yield b.column(0).slice(lo, hi - lo), np.insert(ids, first[1:], end_id), first + np.arange(len(first))
         finally:
