@@ -48,7 +48,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of all documents, read back as one row per document. Workers don't hold the tokenizer, as other stages may follow."""
+    """Token files of all documents, read back as one row per document. Workers don't hold tables of pieces, as other stages may follow."""
     return token_files.encode_and_read(docs, keep=False)
 
 

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import os
 import re
 
 import numpy as np
@@ -120,17 +121,23 @@ class PieceEncoder:
     """
 
     def __init__(self, path: str):
+        # a task has one core; the library's threads would each keep caches that outlive the tokenizer
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.added = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         self.parts = self.tok.normalizer is None and isinstance(self.tok.pre_tokenizer, pre_tokenizers.ByteLevel) and not self.tok.pre_tokenizer.add_prefix_space and not any(b" " in a for a in self.added)
-        self.table = IdTable(MEMO)
+        self.forget()
         self.opens = np.zeros(self.tok.get_vocab_size(), bool)
         if self.parts:
             blank = self.tok.pre_tokenizer.pre_tokenize_str(" ")[0][0]
             self.opens[[i for t, i in self.tok.get_vocab().items() if t.startswith(blank)]] = True
 
+    def forget(self) -> None:
+        """Drops the table of pieces. The tokenizer stays: the library keeps memory of each one that is dropped."""
+        self.table = IdTable(MEMO)
+
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
 
@@ -216,7 +223,7 @@ def default_tokenizer() -> str:
 def _encode_batches(path: str, end_id: int, keep: bool = True):
     """Batches (doc_id, text) into (doc_ids, ids of a block with end ids, where each document's begin).
 
-    keep: the worker holds its tokenizer and table of pieces for the next task, and larger blocks are encoded at a time.
+    keep: the worker holds its table of pieces for the next task, and larger blocks are encoded at a time.
     """
 
     def run(batches):
@@ -229,7 +236,7 @@ def _encode_batches(path: str, end_id: int, keep: bool = True):
                     yield b.column(0).slice(lo, hi - lo), np.insert(ids, first[1:], end_id), first + np.arange(len(first))
         finally:
             if not keep:
-                _workers.pop(path, None)
+                enc.forget()
 
     return run
 
@@ -266,7 +273,7 @@ _PACKS = "shard int, pack int, first_id bigint, last_id bigint, dictionary_sha25
 def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID, keep: bool = True) -> str:
     """Writes the ids of docs (doc_id, text) in ascending doc_id order; returns the folder.
 
-    keep: Python workers hold their tokenizer between tasks, which saves time and costs some 80 MB each.
+    keep: Python workers hold their table of pieces between tasks and encode larger blocks, which saves time and costs memory.
     """
     spark = docs.sparkSession
     path = path or default_tokenizer()
