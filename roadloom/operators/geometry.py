@@ -84,6 +84,7 @@ def country_of(points: DataFrame, countries: DataFrame, lat: str, lon: str, keys
     """Rows of points (by keys) with iso2 of each country (iso2, rings) they are in.
 
     A place is in a country if it is in an odd number of the rings of one of its rows, so holes count.
+    The border is in no country, and a hole's edge isn't in the hole.
     Places meet the rings on cells of one degree in both axes, and then by the rings' boxes.
     """
     ring = countries.withColumn("__row", F.monotonically_increasing_id()).select("__row", "iso2", F.posexplode("rings").alias("__ring", "ring"))

@@ -17,3 +17,12 @@ def test_positions_of_constant_values(spark):
     assert {r.TrackId: r.screen_direction for r in sensors.positions(p).collect()} == {1: 0.0, 2: 0.5}
     flat = p.withColumn(sensors.ACC[2], F.lit(1.0))
     assert {r.TrackId: r.screen_direction for r in sensors.positions(flat).collect()} == {1: 0.0, 2: 0.0}
+
+
+def test_borders_are_in_no_country(spark):
+    square = lambda a, b: [(a, a), (b, a), (b, b), (a, b)]
+    lands = spark.createDataFrame([("A", [square(0.0, 4.0), square(1.0, 2.0)]), ("B", [[(10.0, 0.0), (12.0, 0.0), (11.0, 1.0)]])], "iso2 string, rings array<array<struct<x:double,y:double>>>")
+    places = {1: (0.5, 0.5), 2: (0.0, 0.5), 3: (0.5, 0.0), 4: (4.0, 3.0), 5: (0.0, 0.0), 6: (1.0, 1.5), 7: (1.5, 1.5), 8: (1.5, 2.0), 9: (10.5, 0.5), 10: (11.0, 1.0), 11: (11.0, 0.5), 12: (11.0, 0.0)}
+    p = spark.createDataFrame([(i, x, y) for i, (x, y) in places.items()], "RowId long, lon double, lat double")
+    found = {(r.RowId, r.iso2) for r in geometry.country_of(p, lands, "lat", "lon", ["RowId"]).collect()}
+    assert found == {(1, "A"), (6, "A"), (8, "A"), (11, "B")}
