@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
@@ -47,16 +49,25 @@ def codes(df: DataFrame, column: str, out: str) -> DataFrame:
 
 
 def stratified_split(df: DataFrame, label: str, key: str, share: float, seed: int = 223) -> tuple[DataFrame, DataFrame]:
-    """Two parts with the same share of each class, by a hash of the key.
+    """Two parts with the same share of each class, rounded up to whole rows, by a hash of the key.
 
-    The bound of the hash is a quantile per class, from an aggregate that keeps a sketch, so a class
-    with most of the rows isn't sorted in one task.
+    Rows are counted by class and range of the hash; only those of the range that the cut falls in are
+    numbered, so a class with most of the rows isn't sorted in one task. Rows of one key stay together.
     """
     h = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40))
-    bounds = df.groupBy(F.col(label).alias("__class")).agg(F.percentile_approx(h, share, 100_000).alias("__bound"))
-    marked = df.join(F.broadcast(bounds), F.col(label).eqNullSafe(F.col("__class")), "left").drop("__class").withColumn("__h", h)
-    first = F.col("__h") <= F.col("__bound")
-    return marked.where(first).drop("__h", "__bound"), marked.where(~first).drop("__h", "__bound")
+    ranked = df.select(F.col(label).alias("__class"), F.col(key).alias("__key"), h.alias("__hash")).withColumn("__range", F.shiftright("__hash", 40 - 12))
+    sizes = ranked.groupBy("__class", "__range").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("__class")
+    upto = F.sum("n").over(w.orderBy("__range"))
+    wanted = F.ceil(F.sum("n").over(w).cast("decimal(19,0)") * F.lit(Decimal(str(share)))).cast("long")
+    sizes = sizes.select("__class", "__range", "n", upto.alias("upto"), wanted.alias("wanted"))
+    cut = sizes.where((F.col("upto") >= F.col("wanted")) & (F.col("upto") - F.col("n") < F.col("wanted"))).select(F.col("__class").alias("__c"), F.col("__range").alias("__r"), (F.col("wanted") - F.col("upto") + F.col("n")).alias("__nth"))
+    inside = ranked.join(F.broadcast(cut), F.col("__class").eqNullSafe(F.col("__c")) & (F.col("__range") == F.col("__r")))
+    nth = F.row_number().over(Window.partitionBy("__class").orderBy("__hash", "__key"))
+    bounds = inside.withColumn("__n", nth).where("__n = __nth").select("__class", F.struct("__hash", "__key").alias("__bound"))
+    marked = df.join(F.broadcast(bounds), F.col(label).eqNullSafe(F.col("__class")), "left").drop("__class")
+    first = F.coalesce(F.struct(h.alias("__hash"), F.col(key).alias("__key")) <= F.col("__bound"), F.lit(False))
+    return marked.where(first).drop("__bound"), marked.where(~first).drop("__bound")
 
 
 def _features_of(df: DataFrame, label: str, drop: tuple[str, ...]) -> list[str]:

@@ -26,3 +26,13 @@ def test_borders_are_in_no_country(spark):
     p = spark.createDataFrame([(i, x, y) for i, (x, y) in places.items()], "RowId long, lon double, lat double")
     found = {(r.RowId, r.iso2) for r in geometry.country_of(p, lands, "lat", "lon", ["RowId"]).collect()}
     assert found == {(1, "A"), (6, "A"), (8, "A"), (11, "B")}
+
+
+def test_shares_of_large_classes_are_exact(spark):
+    """More rows of a class than a sketch tells apart; 7 of 10 is no double."""
+    e = spark.range(250_000).withColumn("label", F.when(F.col("id") < 3, None).otherwise(F.col("id") % 7 == 0))
+    train, test = (x.cache() for x in learning.stratified_split(e, "label", "id", 0.7))
+    sizes = [{r.label: r["count"] for r in x.groupBy("label").count().collect()} for x in (train, test)]
+    for k, n in e.groupBy("label").count().collect():
+        assert sizes[0][k] == -(-7 * n // 10) and sizes[0][k] + sizes[1].get(k, 0) == n
+    assert train.intersect(test).isEmpty()
