@@ -36,3 +36,9 @@ def test_shares_of_large_classes_are_exact(spark):
     for k, n in e.groupBy("label").count().collect():
         assert sizes[0][k] == -(-7 * n // 10) and sizes[0][k] + sizes[1].get(k, 0) == n
     assert train.intersect(test).isEmpty()
+
+
+def test_halves_are_rounded_as_by_sql(spark):
+    values = [4.0453125, 7.949375, -7.949375, 12.5, 1e300, float("nan"), float("inf"), None]
+    out = [r.x for r in queries.rounded(spark.createDataFrame([(v,) for v in values], "x double").coalesce(1), 6).collect()]
+    assert out[:5] == [4.045312, 7.949375, -7.949375, 12.5, 1e300] and out[5] != out[5] and out[6:] == [float("inf"), None]
