@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,17 +30,8 @@ def incoming_features(track: DataFrame) -> DataFrame:
 
 def geo_features(track: DataFrame, stops: DataFrame, ways: DataFrame, sides: DataFrame) -> DataFrame:
     """Features of bus stops and map lines along the trip."""
-    found = materialised(geo.bus_stops(track, stops, sides))  # two branches each read the stops and the line
     line = materialised(geo.simplify(track, 25.0, ["TrackId", "labels"]))
-    split = split_walk(track)
-    first = F.struct("PointDate", "RowId")
-    walk = split.where("is_walk").groupBy("TrackId").agg(F.min_by("Latitude", first).alias("lat"), F.min_by("Longitude", first).alias("lon"))
-    parts = [
-        geo.last_stop(walk, found),
-        geo.stop_speeds(track, geo.project_stops(track, found)),
-        geo.way_features(geo.coverage(line, ways)),
-    ]
-    return reduce(lambda a, b: a.join(b, "TrackId"), parts)
+    return geo.bus_stop_features(split_walk(track), stops, sides).join(geo.way_features(geo.coverage(line, ways)), "TrackId")
 
 
 def driver_features(incoming: DataFrame, rich: DataFrame, tracks: DataFrame, stops: DataFrame | None = None, ways: DataFrame | None = None, sides: DataFrame | None = None) -> DataFrame:
