@@ -42,3 +42,20 @@ def test_halves_are_rounded_as_by_sql(spark):
     values = [4.0453125, 7.949375, -7.949375, 12.5, 1e300, float("nan"), float("inf"), None]
     out = [r.x for r in queries.rounded(spark.createDataFrame([(v,) for v in values], "x double").coalesce(1), 6).collect()]
     assert out[:5] == [4.045312, 7.949375, -7.949375, 12.5, 1e300] and out[5] != out[5] and out[6:] == [float("inf"), None]
+
+
+def test_seconds_are_not_broadcast(spark):
+    """Few samples far apart make many seconds; these are never taken for a small table, and gaps stay as they were."""
+    rows = [(t, 10 * t + i, T0 + timedelta(seconds=s), v) for t in range(3) for i, (s, v) in enumerate([(0, None), (40, 1.0), (40, 3.0), (100, None), (160, 8.0), (200, None)])]
+    p = spark.createDataFrame(rows, "TrackId long, RowId long, PointDate timestamp_ntz, theta double")
+    grid = sensors.resample_seconds(p, "theta")
+    value = {(r.second - T0).seconds: r.value for r in grid.where("TrackId = 1").collect()}
+    assert len(value) == 201 and grid.count() == 603
+    assert [value[s] for s in (0, 39, 40, 41, 100, 160, 161, 200)] == [None, None, 2.0, 2.05, 5.0, 8.0, None, None]
+    out = sensors.smooth_theta(p, 20, 6)
+    plain = sensors.rolling_amplitude(sensors.smooth(grid, 20), "smooth", 6)
+    want = {(r.TrackId, r.second): (r.smooth, r.amplitude) for r in plain.collect()}
+    got = out.collect()
+    assert len(got) == 18 and all((r.smoothed_theta, r.theta_amplitude) == want[r.TrackId, r.PointDate] for r in got) and got[0].theta_amplitude is not None
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Broadcast" not in plan
