@@ -197,3 +197,29 @@ def test_coefficients_of_a_frame(spark):
         if values == 1000:
             for c in ("half", "noise"):
                 assert got[c] == pytest.approx(information.coefficient(cols[c], y, np.ones(n), most_cells=200))
+
+
+def test_trees_of_rounds_are_in_one_pass(spark, monkeypatch):
+    """Margins are written every few rounds; before that a pass goes through Python once, whatever the round. Nine features take two numbers."""
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(500, 9)), 1)
+    y = (x[:, 0] + x[:, 8] + rng.normal(size=500) * 0.3 > 0).astype(int)
+    names = [f"c{i}" for i in range(9)]
+    df = spark.createDataFrame([(*map(float, r), int(t)) for r, t in zip(x, y, strict=True)], [*names, "label"]).coalesce(1)
+    told = []
+    for keep in (10, 2):
+        monkeypatch.setattr(boosting, "KEEP", keep)
+        t = boosting.Training(df, "label", names, boosting.Params(rounds=5, depth=3), None, 1)
+        for r in range(5):
+            t.round(r)
+            assert str(t.rows._jdf.queryExecution().optimizedPlan()).count("MapInArrow") == 0
+        told.append(boosting.Booster(names, t.edges, t.trees[0]).score(df).select("proba").toPandas().proba.to_numpy())
+    assert np.allclose(*told) and boosting.auc_of_counts(np.column_stack([np.bincount((told[0] * 99).astype(int)[y == k], minlength=100) for k in (0, 1)])) > 0.95
+
+
+def test_few_and_many_values(spark):
+    """Cuts lie between values where there are few, missing ones and NaN aside, and at quantiles from BINS values on."""
+    df = spark.range(2000).select((F.col("id") % 63).cast("double").alias("few"), (F.col("id") % 64).cast("double").alias("many"), F.when(F.col("id") % 2 == 0, F.lit(float("nan"))).when(F.col("id") % 3 == 0, F.col("id") % 4).alias("gaps"), F.lit(None).cast("double").alias("none")).repartition(5)
+    few, many, gaps, none = boosting.edges_of(df, ["few", "many", "gaps", "none"])
+    assert few.tolist() == [k + 0.5 for k in range(62)] and gaps.tolist() == [2.0] and len(none) == 0
+    assert len(many) == 62 and set(many) <= set(map(float, range(64)))
