@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from roadloom import queries
 from roadloom.operators import geometry, learning, sensors
+from roadloom.sources import sinks
 
 T0 = datetime(2024, 1, 8)
 
@@ -59,3 +60,12 @@ def test_seconds_are_not_broadcast(spark):
     assert len(got) == 18 and all((r.smoothed_theta, r.theta_amplitude) == want[r.TrackId, r.PointDate] for r in got) and got[0].theta_amplitude is not None
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Broadcast" not in plan
+
+
+def test_folders_of_small_trips_are_written_by_all_tasks(spark, tmp_path):
+    """Adaptive execution would draw the small data into one task; each task names its files by its own number."""
+    p = spark.range(400).select((F.col("id") % 40).alias("TrackId"), "id")
+    sinks.write_by_trip(p, str(tmp_path / "trips"), "TrackId")
+    files = list((tmp_path / "trips").glob("TrackId=*/part-*.parquet"))
+    assert len(files) == 40 and len({f.name.split("-")[1] for f in files}) == 4
+    assert spark.read.parquet(str(tmp_path / "trips")).count() == 400
